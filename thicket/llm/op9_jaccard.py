@@ -64,14 +64,14 @@ def counted(it: Iterator[pa.RecordBatch], size: int, pct: int) -> Iterator[pa.Re
         own = list({s.tobytes(): s for s in sets(c, size) if len(s)}.values())
         if own:
             token, n = np.unique(np.concatenate(own), return_counts=True)
-            first = np.unique(np.concatenate([s[: len(s) - bounds(len(s), pct)[0] + 3] for s in own]))
+            first = np.unique(np.concatenate([s[: len(s) - bounds(len(s), pct)[0] + 8 + len(s) // 4] for s in own]))
             keep = n >= LOCAL
             keep[np.searchsorted(token, first)] = True
             yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
 
 
-def keys(s: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and what each counts for."""
+def keys(s: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index keys of a set, what each counts for, and the number of its rare tokens."""
     n = len(s)
     o, d, k = bounds(n, pct)
     often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(n, dtype=bool)
@@ -79,22 +79,22 @@ def keys(s: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.
     single = rare[: n - o + k]
     pairs = common[: max(0, n - o + d + 1 + k - len(rare))]
     pairs = mix(pairs[:-1] * U(0x9E3779B97F4A7C15) + pairs[1:])
-    return np.concatenate([single, pairs]), np.repeat([1, WHOLE], [len(single), len(pairs)])
+    return np.concatenate([single, pairs]), np.repeat([1, WHOLE], [len(single), len(pairs)]), len(rare)
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.struct([("key", pa.int64()), ("w", pa.int8())])))])
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.struct([("key", pa.int64()), ("w", pa.int8())])))])
 
 
 def described(it: Iterator[pa.RecordBatch], size: int, pct: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     for c in chunks(it, lower=True):
         own = sets(c, size)
-        found = [keys(s, frequent, pct) if len(s) and ok else (s[:0], np.empty(0, int)) for s, ok in zip(own, c.known, strict=True)]
+        found = [keys(s, frequent, pct) if len(s) and ok else (s[:0], np.empty(0, int), 0) for s, ok in zip(own, c.known, strict=True)]
         key = np.concatenate([f[0] for f in found]).view(np.int64)
         weight = np.concatenate([f[1] for f in found]).astype(np.int8)
         at = np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)
         nested = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(key), pa.array(weight)], names=["key", "w"]))
         sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) and ok else None for s, ok in zip(own, c.known, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=~c.known), pa.array([len(s) for s in own], pa.int64()), pa.array(sig, pa.binary()), nested.cast(SETS.field("keys").type)], schema=SETS)
+        yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=~c.known), pa.array([len(s) for s in own], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array(sig, pa.binary()), nested.cast(SETS.field("keys").type)], schema=SETS)
 
 
 def checked(it: Iterator[pa.RecordBatch], size: int, pct: int) -> Iterator[pa.RecordBatch]:
@@ -126,21 +126,29 @@ def join(docs: DataFrame, size: int = 5, pct: int = 80) -> DataFrame:
     top = docs.where("doc_id is not null").mapInArrow(lambda it: counted(it, size, pct), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = top.where(F.col("n") >= COUNTED).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
     frequent = np.sort(top.column("token").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(U))
-    every = cut(docs.mapInArrow(lambda it: described(it, size, pct, frequent), "doc_id long, n long, sig binary, keys array<struct<key: bigint, w: tinyint>>"))
-    reps = cut(every.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "keys")).alias("x")).select("sig", "x.*"))
+    every = cut(docs.mapInArrow(lambda it: described(it, size, pct, frequent), "doc_id long, n long, r long, sig binary, keys array<struct<key: bigint, w: tinyint>>"))
+    reps = cut(every.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "r", "keys")).alias("x")).select("sig", "x.*"))
 
-    posts = reps.select("doc_id", "n", F.explode("keys").alias("x")).select("doc_id", "n", "x.key", "x.w")
+    alone = f"filter(keys, x -> x.w < {WHOLE})"
+    posts = reps.selectExpr("doc_id", "n", "r", f"r - size({alone}) as unseen", "explode(keys) as x").select("doc_id", "n", "r", "unseen", "x.key", "x.w")
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     posts = cut(posts.join(shared, "key"))
-    fits = f"100 * least(a.n, b.n) >= {pct} * greatest(a.n, b.n)"
+    # m bounds the rare tokens that a set shares with a set that it meets in pairs of frequent ones
+    alike = posts.where(f"w < {WHOLE}").groupBy("doc_id").agg(F.count("*").alias("alike"))
+    ones = posts.where(f"w < {WHOLE}").withColumn("m", F.lit(0).cast("long"))
+    twos = posts.where(f"w = {WHOLE}").join(alike, "doc_id", "left").withColumn("m", F.expr(f"least({WHOLE - 1}, unseen + coalesce(alike, 0))")).select(*ones.columns)
+    posts = cut(ones.unionByName(twos).drop("unseen"))
+    most = "(least(a.n - a.r, b.n - b.r) + least(a.m, b.m))"
+    fits = f"100 * least(a.n, b.n) >= {pct} * greatest(a.n, b.n) and (a.w < {WHOLE} or 100 * {most} >= {pct} * (a.n + b.n - {most}))"
     few, many = posts.where(f"df <= {SMALL}"), posts.where(f"df > {SMALL}")
-    scored = lambda rows: rows.groupBy("a", "b").agg(F.sum("w").alias("w"), F.min("k").alias("k"))
-    pick = ["a.doc_id as a", "b.doc_id as b", "a.w as w", f"{least_count('least(a.n, b.n)', pct)} as k"]
+    pick = ["a.doc_id as a", "b.doc_id as b", f"if(a.w < {WHOLE}, 1, 0) as single", f"if(a.w < {WHOLE}, 0, 1) as pair", "a.n + b.n as n", "least(a.n - a.r, b.n - b.r) as common", f"{least_count('least(a.n, b.n)', pct)} as k"]
+    scored = lambda rows: rows.groupBy("a", "b", "n", "common", "k").agg(F.sum("single").alias("single"), F.sum("pair").alias("pair"))
+    likely = f"single >= k or (pair > 0 and 100 * (common + single) >= {pct} * (n - common - single))"
     meet = few.alias("a").join(few.alias("b"), F.expr(f"a.key = b.key and a.doc_id < b.doc_id and {fits}")).selectExpr(*pick)
     small = cut(scored(meet))
-    hubs = many.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("h")).selectExpr("key", "h.doc_id as hub", "h.n as hub_n")
-    star = many.join(hubs, "key").where(f"doc_id > hub and 100 * least(n, hub_n) >= {pct} * greatest(n, hub_n)").selectExpr("hub as a", "doc_id as b")
-    pairs = cut(small.where("w >= k").select("a", "b").unionByName(star).distinct())
+    hubs = many.groupBy("key").agg(F.min(F.struct("r", "doc_id", "n")).alias("h")).selectExpr("key", "h.doc_id as hub", "h.n as hub_n")
+    star = many.join(hubs, "key").where(f"doc_id <> hub and 100 * least(n, hub_n) >= {pct} * greatest(n, hub_n)").selectExpr("least(hub, doc_id) as a", "greatest(hub, doc_id) as b")
+    pairs = cut(small.where(likely).select("a", "b").unionByName(star).distinct())
 
     needed = pairs.selectExpr("explode(array(a, b)) as doc_id").unionByName(many.select("doc_id")).distinct()
     held = cut(docs.join(needed, "doc_id", "left_semi"))
@@ -152,12 +160,15 @@ def join(docs: DataFrame, size: int = 5, pct: int = 80) -> DataFrame:
     links = cut(verify(pairs))
     label = components(links)
     # what the stars left open: sets of a larger key that are still in different components
-    named = cut(many.join(label, many.doc_id == label.node, "left").selectExpr("key", "doc_id", "n", "w", "coalesce(component, doc_id) as label"))
+    named = cut(many.join(label, many.doc_id == label.node, "left").selectExpr("key", "doc_id", "n", "r", "m", "w", "coalesce(component, doc_id) as label"))
     open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rest = named.join(open_, "key")
-    meet = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key and a.doc_id < b.doc_id and a.label <> b.label and {fits}")).selectExpr(*pick)
-    more = scored(scored(meet).unionByName(small.where("w < k")))
-    more = cut(more.where("w >= k").select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+    held_by = rest.where(f"w = {WHOLE}").groupBy("doc_id").agg(F.collect_set("key").alias("ks"))
+    rest = cut(rest.join(held_by, "doc_id", "left"))
+    once = f"(a.w < {WHOLE} or array_min(array_intersect(a.ks, b.ks)) = a.key)"  # at the first key that both hold
+    meet = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key and a.doc_id < b.doc_id and a.label <> b.label and {fits} and {once}")).selectExpr(*pick)
+    more = scored(scored(meet).unionByName(small))
+    more = cut(more.where(likely).select("a", "b").join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links = cut(links.unionByName(verify(more)))
         label = components(links)
