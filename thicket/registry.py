@@ -1,9 +1,11 @@
 """All queries of this library and their SQL."""
 
+from .plans import basics, learning  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(basics.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(basics.SQL)
