@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import prepare, table, texts
 from .wordhash import Chunk, U, chunks, mix, windows, words
@@ -30,6 +29,8 @@ NAME = "op5_fixed_block_anchors"
 WINDOW, BLOCK = 13, 7
 #: Buckets are a power of two; the least is enough to 30 GB, and callers raise it with the corpus.
 BUCKET_BITS = 10
+#: The same for documents and for the windows around hits, which come in fewer and larger rows; a task holds the texts of one bucket.
+DOC_BITS = 8
 ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
 ROW_SQL = "bucket int, kind byte, data binary"
 
@@ -95,7 +96,7 @@ def settle(c: Chunk, w: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def block_rows(it: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def block_rows(it: Iterator[pa.RecordBatch], bits: int, doc_bits: int) -> Iterator[pa.RecordBatch]:
     """Kind 0: blocks, 1: probes, 2: windows settled inside the chunk, by the document's bucket."""
     for c in chunks(it):
         ok = c.inside(WINDOW) & c.known[c.doc] if len(c.doc) else np.empty(0, dtype=bool)
@@ -107,7 +108,7 @@ def block_rows(it: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBat
         rows = []
         if done.any():
             owner = c.ids[c.doc[at[done]]]
-            rows += deal(place(owner, bits), owner, w[done] >> U(16), 6, 2)
+            rows += deal(place(owner, doc_bits), owner, w[done] >> U(16), 6, 2)
         open_ = spread(at[~done], len(c.doc), WINDOW)  # words of windows that are not settled
         part = np.flatnonzero(c.inside(BLOCK) & open_ & c.known[c.doc])
         part = part[open_[part + BLOCK - 1]]
@@ -134,34 +135,29 @@ def least(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return rest[first], ids[first]
 
 
-def match(it: Iterator[pa.RecordBatch], bits: int, width: int, owners: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come in order of bucket and kind. In each bucket, kind 0 gives the least id of each value, and kind 1 is what asks.
+def match(it: Iterator[pa.RecordBatch], bits: int, doc_bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of bucket and kind. In each bucket, kind 0 gives the least id of each block, and kind 1 probes.
 
-    What asks with a larger id goes to its document's bucket, as value and bucket (kind 2 passes). owners: so does the holder of the least id.
+    Probes with a larger id, and the holder of the least id that they meet, go to their document's bucket, as block and bucket; kind 2 passes.
     """
-    out: list[tuple[int, np.ndarray, np.ndarray]] = []
-    now, parts, keys, ids, hit = -1, [], None, None, None
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    now, parts, keys, ids, hit, held = -1, [], None, None, None, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         if out:
-            owner, value = np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
+            owner, value = (np.concatenate(x) for x in zip(*out, strict=True))
             out.clear()
-            yield from batch_of(deal(place(owner, bits), owner, value, 6, 1))
+            yield from batch_of(deal(place(owner, doc_bits), owner, value, 6, 1))
 
-    def full(rest: np.ndarray) -> np.ndarray:
-        """Six bytes that tell the value and its bucket inside a document."""
-        return rest | U(now << 24) if width == 3 else rest >> U(16)
-
-    held = 0
     for bucket, kind, data in runs(it):
         if bucket != now:
-            if owners and hit is not None and hit.any():
-                out.append((ids[hit], full(keys[hit])))
+            if hit is not None and hit.any():
+                out.append((ids[hit], keys[hit] | U(now << 24)))
             now, parts, keys, hit = bucket, [], None, None
         if kind == 2:
             yield from batch_of([(bucket, 2, data)])
             continue
-        doc, rest = unpack(data, width)
+        doc, rest = unpack(data, 3)
         if kind == 0:
             parts.append((doc, rest))
             if len(parts) % 64 == 0:
@@ -176,39 +172,31 @@ def match(it: Iterator[pa.RecordBatch], bits: int, width: int, owners: bool) ->
         good = (keys[k] == rest) & (doc > ids[k])
         if good.any():
             hit[k[good]] = True
-            out.append((doc[good], full(rest[good])))
+            out.append((doc[good], rest[good] | U(bucket << 24)))
             held += int(good.sum())
             if held > 500_000:
                 yield from flush()
                 held = 0
-    if owners and hit is not None and hit.any():
-        out.append((ids[hit], full(keys[hit])))
+    if hit is not None and hit.any():
+        out.append((ids[hit], keys[hit] | U(now << 24)))
     yield from flush()
 
 
-def gathered(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int | None, dict]]:
-    """Each document's text and id with what its bucket has been sent: (values of kind 0 or 1, of kind 2), both sorted by id, then value."""
-    now, parts, ready = -1, {1: [], 2: []}, None
-    for batch in it:
-        cols = [batch.column(x).to_pylist() for x in ("bucket", "kind", "data", "doc_id")]
-        for bucket, kind, data, doc in zip(*cols, strict=True):
-            if bucket != now:
-                now, parts, ready = bucket, {1: [], 2: []}, None
-            if kind < 3:
-                parts[kind].append(unpack(data, 6))
-                continue
-            if ready is None:
-                ready = {}
-                for k, x in parts.items():
-                    ids, rest = (np.concatenate(y) for y in zip(*x, strict=True)) if x else (np.empty(0, np.int64), np.empty(0, U))
-                    order = np.lexsort((rest, ids))
-                    ready[k] = ids[order], rest[order]
-                parts = {1: [], 2: []}
-            sent = {}
-            for k, (ids, rest) in ready.items():
-                a, b = np.searchsorted(ids, [doc, doc], "left")[0], np.searchsorted(ids, doc, "right") if doc is not None else 0
-                sent[k] = rest[a:b]
-            yield data or b"", doc, sent
+def gathered(own: pa.Table, rows: pa.Table) -> Iterator[tuple[bytes, int | None, dict]]:
+    """Each text of a bucket and its id with what its bucket has been sent: values of kind 1 and of kind 2, sorted."""
+    ready = {}
+    for k in (1, 2):
+        parts = [unpack(d, 6) for d, kind in zip(rows.column("data").to_pylist(), rows.column("kind").to_pylist(), strict=True) if kind == k]
+        ids, rest = (np.concatenate(y) for y in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), np.empty(0, U))
+        order = np.lexsort((rest, ids))
+        ready[k] = ids[order], rest[order]
+    codec = pa.Codec("zstd")
+    for doc, size, data in zip(own.column("doc_id").to_pylist(), own.column("size").to_pylist(), own.column("data").to_pylist(), strict=True):
+        sent = {}
+        for k, (ids, rest) in ready.items():
+            span = slice(0, 0) if doc is None else slice(np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right"))
+            sent[k] = rest[span]
+        yield codec.decompress(data, size, asbytes=True) if size else b"", doc, sent
 
 
 def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -218,37 +206,43 @@ def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def extend(it: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Around each hit, the windows that hold it: kind 0 as reference, kind 1 as question; kind 2 passes."""
-    owner, rest, bucket, held = [], [], [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if owner:
-            o, r, b = (np.concatenate(x) for x in (owner, rest, bucket))
-            for x in (owner, rest, bucket):
-                x.clear()
-            yield from batch_of(deal(b, o, r, 8, 0) + deal(b, o, r, 8, 1))
-
-    for raw, doc, sent in gathered(it):
+def extend(own: pa.Table, hits: pa.Table, bits: int, doc_bits: int) -> pa.Table:
+    """Around each hit, the windows that hold it."""
+    owner, rest, bucket = [np.empty(0, np.int64)], [np.empty(0, U)], [np.empty(0, np.int64)]
+    for raw, doc, sent in gathered(own, hits) if hits.num_rows else ():
         if not len(sent[1]):
             continue
         h = words(np.frombuffer(raw, np.uint8))[0]
         n = len(h) - WINDOW + 1
         if n <= 0:
             continue
-        key = windows(h, BLOCK) >> U(40 - bits)
-        hits = np.flatnonzero(among(key, sent[1]))
-        near = spread(np.maximum(hits - (WINDOW - BLOCK), 0), n, WINDOW - BLOCK + 1) if len(hits) else np.zeros(n, bool)
-        at = np.flatnonzero(near)
-        w, b = second(h)[at], (windows(h, WINDOW)[at] >> U(64 - bits)).astype(np.int64)
+        at = np.flatnonzero(among(windows(h, BLOCK) >> U(40 - bits), sent[1]))
+        at = np.flatnonzero(spread(np.maximum(at - (WINDOW - BLOCK), 0), n, WINDOW - BLOCK + 1))
         owner.append(np.full(len(at), doc, dtype=np.int64))
-        rest.append(w)
-        bucket.append(b)
-        held += len(at)
-        if held > 500_000:
-            yield from flush()
-            held = 0
-    yield from flush()
+        rest.append(second(h)[at])
+        bucket.append((windows(h, WINDOW)[at] >> U(64 - doc_bits)).astype(np.int64))
+    rows = deal(*(np.concatenate(x) for x in (bucket, owner, rest)), 8, 1)
+    return pa.Table.from_batches(batch_of(rows), schema=ROW)
+
+
+def agree(it: Iterator[pa.RecordBatch], doc_bits: int) -> Iterator[pa.RecordBatch]:
+    """Rows come in order of bucket. Windows that a document with a smaller id has as well go to their document's bucket."""
+
+    def settled(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        keys, ids = least(parts)
+        doc, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        good = doc > ids[np.searchsorted(keys, rest)]
+        yield from batch_of(deal(place(doc[good], doc_bits), doc[good], rest[good] >> U(16), 6, 1))
+
+    now, parts = -1, []
+    for bucket, _, data in runs(it):
+        if bucket != now and parts:
+            yield from settled(parts)
+            parts = []
+        now = bucket
+        parts.append(unpack(data, 8))
+    if parts:
+        yield from settled(parts)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
@@ -264,49 +258,44 @@ def removed(raw: bytes, sent: dict) -> np.ndarray:
     return spread(np.flatnonzero(among(w, sent[1]) | among(w, sent[2])), n, WINDOW)
 
 
-def finish(it: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
+def finish(own: pa.Table, sent: pa.Table, digest: bool) -> pa.Table:
     schema, rows = (RESULT if digest else TEXTS), []
-
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    for raw, doc, sent in gathered(it):
-        gone, w = removed(raw, sent), raw.split()
+    for raw, doc, values in gathered(own, sent):
+        gone, w = removed(raw, values), raw.split()
         kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g] if gone.any() else w)
         if digest:
             rows.append((doc, len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
         else:
             edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
             rows.append((doc, kept.decode(), edge.reshape(-1, 2).tolist()))
-        if len(rows) == 512:
-            yield batch()
-            rows.clear()
-    if rows:
-        yield batch()
+    cols = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
-def dedup(docs: DataFrame, digest: bool = False, bits: int = BUCKET_BITS) -> DataFrame:
+def bucketed(it: Iterator[pa.RecordBatch], doc_bits: int) -> Iterator[pa.RecordBatch]:
+    """Whole texts, compressed, by their document's bucket."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for batch in it:
+        ids, raw = batch.column("doc_id").to_pylist(), texts(batch)
+        b = place(np.array([0 if x is None else x for x in ids], dtype=np.int64), doc_bits) if ids else []
+        data = [codec.compress(t, asbytes=True) if t else b"" for t in raw]
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(ids, pa.int64()), pa.array([len(t) for t in raw], pa.int64()), pa.array(data, pa.binary())], names=["bucket", "doc_id", "size", "data"])
+
+
+def dedup(docs: DataFrame, digest: bool = False, bits: int = BUCKET_BITS, doc_bits: int = DOC_BITS) -> DataFrame:
     """doc_id, kept_text and the removed spans of words (maximal exact repeats); digest: the counts and digest of the query."""
     spark = prepare(docs.sparkSession)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     ordered = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    settled = docs.mapInArrow(lambda it: block_rows(it, bits), ROW_SQL)
-    hits = ordered(settled).mapInArrow(lambda it: match(it, bits, 3, True), ROW_SQL)
-    own = docs.mapInArrow(lambda it: bucketed(it, bits), f"{ROW_SQL}, doc_id long")
-    with_texts = lambda sent: ordered(sent.withColumn("doc_id", F.lit(None).cast("long")).unionByName(own))
-    around = with_texts(hits.where("kind = 1")).mapInArrow(lambda it: extend(it, bits), ROW_SQL)
-    agreed = ordered(around).mapInArrow(lambda it: match(it, bits, 8, False), ROW_SQL)
+    settled = docs.mapInArrow(lambda it: block_rows(it, bits, doc_bits), ROW_SQL)
+    hits = ordered(settled).mapInArrow(lambda it: match(it, bits, doc_bits), ROW_SQL)
+    own = docs.mapInArrow(lambda it: bucketed(it, doc_bits), "bucket int, doc_id long, size long, data binary").groupBy("bucket")
+    with_texts = lambda sent, fn, out: own.cogroup(sent.groupBy("bucket")).applyInArrow(fn, out)  # noqa: E731  one shuffle of texts serves both
+    around = with_texts(hits.where("kind = 1"), lambda a, b: extend(a, b, bits, doc_bits), ROW_SQL)
+    agreed = ordered(around).mapInArrow(lambda it: agree(it, doc_bits), ROW_SQL)
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else "doc_id long, kept_text string, spans array<array<int>>"
-    return with_texts(agreed.where("kind = 1").unionByName(hits.where("kind = 2"))).mapInArrow(lambda it: finish(it, digest), out)
-
-
-def bucketed(it: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Kind 3: whole texts, by their document's bucket."""
-    for batch in it:
-        ids = batch.column("doc_id").to_pylist()
-        b = place(np.array([0 if x is None else x for x in ids], dtype=np.int64), bits) if ids else []
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array([3] * len(ids), pa.int8()), pa.array(texts(batch), pa.binary()), pa.array(ids, pa.int64())], names=[*ROW.names, "doc_id"])
+    return with_texts(agreed.unionByName(hits.where("kind = 2")), lambda a, b: finish(a, b, digest), out)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
