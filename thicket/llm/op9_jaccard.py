@@ -70,8 +70,8 @@ def counted(it: Iterator[pa.RecordBatch], size: int, pct: int) -> Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(n[keep])], names=["token", "n"])
 
 
-def keys(s: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Index keys of a set, what each counts for, and the number of its rare tokens."""
+def keys(s: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Index keys of a set, what each counts for, the number of its rare tokens, and that of those without a key."""
     n = len(s)
     o, d, k = bounds(n, pct)
     often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(n, dtype=bool)
@@ -79,22 +79,22 @@ def keys(s: np.ndarray, frequent: np.ndarray, pct: int) -> tuple[np.ndarray, np.
     single = rare[: n - o + k]
     pairs = common[: max(0, n - o + d + 1 + k - len(rare))]
     pairs = mix(pairs[:-1] * U(0x9E3779B97F4A7C15) + pairs[1:])
-    return np.concatenate([single, pairs]), np.repeat([1, WHOLE], [len(single), len(pairs)]), len(rare)
+    return np.concatenate([single, pairs]), np.repeat([1, WHOLE], [len(single), len(pairs)]), len(rare), len(rare) - len(single)
 
 
-SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.struct([("key", pa.int64()), ("w", pa.int8())])))])
+SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("r", pa.int64()), ("unseen", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.struct([("key", pa.int64()), ("w", pa.int8())])))])
 
 
 def described(it: Iterator[pa.RecordBatch], size: int, pct: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
     for c in chunks(it, lower=True):
         own = sets(c, size)
-        found = [keys(s, frequent, pct) if len(s) and ok else (s[:0], np.empty(0, int), 0) for s, ok in zip(own, c.known, strict=True)]
+        found = [keys(s, frequent, pct) if len(s) and ok else (s[:0], np.empty(0, int), 0, 0) for s, ok in zip(own, c.known, strict=True)]
         key = np.concatenate([f[0] for f in found]).view(np.int64)
         weight = np.concatenate([f[1] for f in found]).astype(np.int8)
         at = np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32)
         nested = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays([pa.array(key), pa.array(weight)], names=["key", "w"]))
         sig = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) and ok else None for s, ok in zip(own, c.known, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=~c.known), pa.array([len(s) for s in own], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array(sig, pa.binary()), nested.cast(SETS.field("keys").type)], schema=SETS)
+        yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=~c.known), pa.array([len(s) for s in own], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64()), pa.array(sig, pa.binary()), nested.cast(SETS.field("keys").type)], schema=SETS)
 
 
 def checked(it: Iterator[pa.RecordBatch], size: int, pct: int) -> Iterator[pa.RecordBatch]:
@@ -126,11 +126,10 @@ def join(docs: DataFrame, size: int = 5, pct: int = 80) -> DataFrame:
     top = docs.where("doc_id is not null").mapInArrow(lambda it: counted(it, size, pct), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = top.where(F.col("n") >= COUNTED).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
     frequent = np.sort(top.column("token").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(U))
-    every = cut(docs.mapInArrow(lambda it: described(it, size, pct, frequent), "doc_id long, n long, r long, sig binary, keys array<struct<key: bigint, w: tinyint>>"))
-    reps = cut(every.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "r", "keys")).alias("x")).select("sig", "x.*"))
+    every = cut(docs.mapInArrow(lambda it: described(it, size, pct, frequent), "doc_id long, n long, r long, unseen long, sig binary, keys array<struct<key: bigint, w: tinyint>>"))
+    reps = cut(every.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "r", "unseen", "keys")).alias("x")).select("sig", "x.*"))
 
-    alone = f"filter(keys, x -> x.w < {WHOLE})"
-    posts = reps.selectExpr("doc_id", "n", "r", f"r - size({alone}) as unseen", "explode(keys) as x").select("doc_id", "n", "r", "unseen", "x.key", "x.w")
+    posts = reps.select("doc_id", "n", "r", "unseen", F.explode("keys").alias("x")).select("doc_id", "n", "r", "unseen", "x.key", "x.w")
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     posts = cut(posts.join(shared, "key"))
     # m bounds the rare tokens that a set shares with a set that it meets in pairs of frequent ones
