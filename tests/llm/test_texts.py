@@ -1,0 +1,199 @@
+"""Operators on texts against brute force, with nulls, empty and long texts, repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+pytest.importorskip("thicket.llm")
+from thicket.llm import op1_surrogates as op1  # noqa: E402
+from thicket.llm import op4_transport as op4  # noqa: E402
+from thicket.llm import op5_anchors as op5  # noqa: E402
+from thicket.llm import op6_decisions as op6  # noqa: E402
+from thicket.llm import op7_factors as op7  # noqa: E402
+from thicket.llm import op9_jaccard as op9  # noqa: E402
+from thicket.llm import op10_bpe as op10  # noqa: E402
+
+ODD = [(900, None), (901, ""), (902, " \n\t"), (903, "one"), (904, "x" * 300_000), (905, "word " * 4000), (None, "no id " * 9)]
+
+
+def frame(spark, rows, parts=3):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+
+
+def made(seed, n=150):
+    r = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    passage = [r.choice(words) for _ in range(60)]
+    bases = [[r.choice(words) for _ in range(r.choice([8, 30, 80, 150]))] for _ in range(n // 10)]
+    rows = []
+    for i in range(n):
+        b = list(r.choice(bases[:2] if r.random() < 0.3 else bases))
+        for _ in range(r.choice([0, 0, 1, 2, 4])):
+            b[r.randrange(len(b))] = r.choice(words)
+        rows.append((i * 3, " ".join(passage + b if r.random() < 0.2 else b)))
+    return rows
+
+
+def words_of(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_surrogates(spark):
+    made_by = op1.Surrogates()
+    text = "Mail a.b1@m1.example.com or A.B1@m1.example.com, +1 (743) 555-3824, +1-743-555-3824, 8.8.8.8, 4111 1111 1111 1111; Mrs. Anna Ruiz"
+    new, spans, distinct, clashes = op1.rewritten(text, made_by)
+    assert Counter(k for k, _, _ in spans) == {"email": 2, "phone": 2, "ip": 1, "card": 1, "name": 1} and distinct == 5 and not clashes
+    for old in ("a.b1@", "A.B1@", "555-3824", "8.8.8.8", "4111 1111", "Anna", "Ruiz"):
+        assert old not in new
+    assert op1.luhn(op1.plain(re.search(r"\d{4} \d{4} \d{4} \d{4}", new)[0])) % 10 == 0
+    for kind, values in {"name": [a + b for a in "ABCXYZ" for b in "abcdefgh"] + list(op1.GIVEN), "ip": [f"{a}.168.1.{b}" for a in (8, 192) for b in range(90)], "phone": [f"({a}) 555-{b}" for a in range(200, 210) for b in range(1000, 1030)]}.items():
+        new = [made_by.make(kind, v) for v in values]
+        assert len(set(new)) == len(set(values)) and all(a != b for a, b in zip(values, new, strict=True))
+    assert op1.GIVEN[made_by.make("name", "Anna")] == ("latin", "f") and op1.GIVEN[made_by.make("name", "Иван")] == ("cyrillic", "m")
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "clean 1.2.3 text", "z"), (4, text, None), (4, text, None)], "doc_id long, text string, pii string")
+    df, name = op1.replace(docs)
+    got = df.collect()
+    assert name == "pii_" and [r.text for r in got[:3]] == [None, "", "clean 1.2.3 text"] and got[3] == got[4] and got[0].pii == "x"
+    assert op1.replace(docs.limit(0))[0].count() == 0
+
+
+def test_transport(spark):
+    r = random.Random(1)
+    for n in [*range(0, 400, 7), 4095, 4096, 4097, 50_000]:
+        p = op4.padded(r.randbytes(n))
+        s = op4.demux(op4.mux(p))
+        assert b"".join(u[3] for u in s.units) == p and not (s.gaps or s.bad_tables or s.lost_sync)
+        assert [u[1] for u in s.units] == [90_000 + op4.TICKS * k for k in range(len(s.units))] and s.units[0][2]
+    whole = op4.mux(op4.padded(r.randbytes(9000)))
+    assert op4.demux(whole[: 188 * 9] + whole[188 * 10 :]).gaps == 1
+    assert op4.demux(whole[: 188 * 9] + whole[188 * 8 : 188 * 9] + whole[188 * 9 :]).repeats == 1
+    assert op4.demux(whole[:8] + bytes([whole[8] ^ 1]) + whole[9:]).bad_tables == 1
+    assert op4.demux(b"junk" + whole).lost_sync == 4 and op4.demux(b"").packets == 0
+    rows = op4.read(op4.store(frame(spark, ODD))).collect()
+    assert {x.doc_id: bytes(x.payload) for x in rows} == {i: op4.padded((t or "").encode()) for i, t in ODD}
+
+
+def brute_dedup(rows, size=13):
+    first = {}
+    for i, t in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
+        w = words_of(t)
+        for k in range(len(w) - size + 1):
+            first.setdefault(tuple(w[k : k + size]), i)
+    out = []
+    for i, t in rows:
+        w = words_of(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - size + 1 if i is not None else 0):
+            if first[tuple(w[k : k + size])] < i:
+                gone[k : k + size] = [True] * size
+        kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+        out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_anchors(spark, parts):
+    rows = made(5) + ODD + [(950, "word " * 4000), (3, made(5)[1][1])]
+    got = [tuple(r) for r in op5.dedup(frame(spark, rows, parts), digest=True).collect()]
+    assert sorted(got, key=str) == brute_dedup(rows)
+
+
+def test_anchor_spans(spark):
+    t = " ".join(map(str, range(20)))
+    rows = {r.doc_id: (r.kept_text, r.spans) for r in op5.dedup(frame(spark, [(1, t), (2, f"a b {t} c")])).collect()}
+    assert rows == {1: (t, []), 2: ("a b c", [[2, 22]])}
+
+
+def test_statistics():
+    texts = [t for _, t in made(2, 40) + ODD] + ["a b c a b c", "x\nx\n\nx \n", "é* <|", "\n\n"]
+    got = op6.measure([(t or "").encode() for t in texts])
+    for k, t in enumerate(texts):
+        w, covered = words_of(t), set()
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        for i in range(len(w) - 2):
+            covered |= {i, i + 1, i + 2} if grams[tuple(w[i : i + 3])] > 1 else set()
+        lines = [x for x in (t or "").split("\n") if words_of(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(covered))
+        assert tuple(int(got[c][k]) for c in op6.COUNTS[:5]) == want
+
+
+def test_decision_list(spark):
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(240):
+        bad = i % 4 == 0
+        rows.append((i, " ".join(f"v{r.randrange(900)}" + ("***" if bad else "") for _ in range(80)), "own"))
+        labels.append((i, int(not bad), 0))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, verdict string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert {x.doc_id for x in op6.keep(docs, labels).collect()} == {i for i in range(240) if i % 4}
+    assert op6.keep(docs, labels).columns == docs.columns
+    assert op6.fit(docs, labels.limit(0)) == [] and op6.case_sql([]) == "true"
+    got = {x.doc_id: (x.verdict.base_failed, x.verdict.kept) for x in op6.judge(frame(spark, ODD), []).collect()}
+    assert got[900] == got[901] == (True, False) and got[905] == (True, False)
+    scores = op7.score(docs, op7.fit(docs, labels)).collect()
+    held = [x for x in scores if x.held_out]
+    assert held and all((x.predicted == 1) == (x.doc_id % 4 != 0) for x in held)
+    assert {x.predicted for x in op7.score(docs, op7.fit(docs, labels.limit(0))).collect()} == {0}
+    assert len(op7.score(frame(spark, ODD), op7.fit(docs, labels)).collect()) == len(ODD)
+
+
+def test_linear_time_identity():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    size = op7.WORDS + len(op7.STATS)
+    m = op7.Machine(0.3, rng.normal(size=size), rng.normal(size=(size, 3)), np.zeros(len(op7.STATS)), np.ones(len(op7.STATS)))
+    row, place, x, stats = np.zeros(4, int), np.array([3, 9, 70, 500]), rng.normal(size=4), rng.normal(size=(1, len(op7.STATS)))
+    index, value = np.concatenate([place, np.arange(op7.WORDS, size)]), np.concatenate([x, stats[0]])
+    want = 0.3 + m.w[index] @ value + sum(m.v[index[i]] @ m.v[index[j]] * value[i] * value[j] for i in range(len(index)) for j in range(i))
+    assert m.raw_scores(row, place, x, stats)[0][0] == pytest.approx(want)
+
+
+def brute_join(rows, size, pct):
+    sets = defaultdict(list)
+    for i, t in rows:
+        w = [x.encode().lower() for x in words_of(t)]
+        sets[i].append(frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = [i for i in sets if i is not None]
+    for a in ids:
+        for b in ids:
+            if a < b and any(s and u and 100 * len(s & u) >= pct * len(s | u) for s in sets[a] for u in sets[b]):
+                x, y = top(a), top(b)
+                up[max(x, y)] = min(x, y)
+    return {i: top(i) for i in ids} | {None: None}
+
+
+@pytest.mark.parametrize(("size", "pct", "small", "counted"), [(3, 90, 2, 3), (5, 80, 48, 48)])
+def test_jaccard_join(spark, monkeypatch, size, pct, small, counted):
+    monkeypatch.setattr(op9, "SMALL", small)
+    monkeypatch.setattr(op9, "COUNTED", counted)
+    rows = made(7, 260) + ODD + [(906, "Ab c"), (907, "aB C")]
+    got = op9.join(frame(spark, rows), size, pct).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == brute_join(rows, size, pct)
+
+
+def test_bpe(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    pytest.importorskip("public_tokenizers")
+    path = op10.vocabulary()
+    library, own, r = tokenizers.Tokenizer.from_file(path), op10.Bpe(path), random.Random(1)
+    parts = ["a", "the", " ", "  ", "\n", "\x1c", "é", "1", "'s", "'ll", "!", "<|endoftext|>", "漢", "\t", "Z", "\x85", "\u200b", "abcdefghij" * 20]
+    for _ in range(1500):
+        x = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        ids = library.encode(x, add_special_tokens=False).ids
+        assert own.encode(x) == ids and own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    ids = [r.randrange(50_257) for _ in range(3000)]
+    assert own.decode(ids) == library.decode(ids, skip_special_tokens=False)
+    back = op10.decode(op10.encode(frame(spark, ODD), path), path).collect()
+    assert {x.doc_id: x.text for x in back} == {i: t or "" for i, t in ODD}
