@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words up to which a mask is unrolled into flat code; a longer one is an array literal.
-UNROLL = 128
+#: Words up to which a mask is unrolled into flat code; a longer one is an array literal, since a method over 8,000 bytes of bytecode is never compiled.
+UNROLL = 8
 
 
 def mask(rows: Iterable[int], n: int) -> list[int]:
@@ -41,11 +41,11 @@ def has(words: Column, gi: Column) -> Column:
     return F.getbit(F.get(words, (gi / 64).cast("int")), (63 - gi % 64).cast("int")) == 1
 
 
-def pack(edges: DataFrame, n: int) -> DataFrame:
-    """feature, words from feature, gi: one combined shuffle by feature and word, one by feature."""
+def pack(edges: DataFrame, n: int, least: int = 1) -> DataFrame:
+    """feature, words from feature, gi (edges may repeat), for features of at least so many examples: one combined shuffle by feature and word, one by feature."""
     part = edges.groupBy("feature", F.expr("cast(gi div 64 as int) as word")).agg(F.expr("bit_or(shiftleft(1L, cast(63 - gi % 64 as int))) as bits"))
-    whole = part.groupBy("feature").agg(F.expr("map_from_entries(collect_list(struct(word, bits))) as m"))
-    return whole.selectExpr("feature", f"transform(sequence(0, {-(-n // 64) - 1}), i -> coalesce(m[i], 0L)) as words")
+    whole = part.groupBy("feature").agg(F.expr("map_from_entries(collect_list(struct(word, bits))) as m"), F.sum(F.bit_count("bits")).alias("n"))
+    return whole.where(F.col("n") >= least).selectExpr("feature", f"transform(sequence(0, {-(-n // 64) - 1}), i -> coalesce(m[i], 0L)) as words")
 
 
 def unpack(packed: DataFrame) -> DataFrame:

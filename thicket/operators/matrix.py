@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.bits import mask, masked_count, pack
-from ..sources.views import load
+from ..sources.views import sightings
 
 
 @dataclass
@@ -38,15 +38,19 @@ class Problem:
         self.features.unpersist()
 
 
-def problem(examples: DataFrame, edges: DataFrame) -> Problem:
-    labels = [r.label for r in examples.orderBy("gi").select("label").collect()]
-    features = pack(edges, max(len(labels), 1)).persist(StorageLevel.MEMORY_AND_DISK)
+def packed(labels: list[int], edges: DataFrame, least: int = 1) -> Problem:
+    features = pack(edges, max(len(labels), 1), least).persist(StorageLevel.MEMORY_AND_DISK)
     patterns = features.groupBy("words").agg(F.min("feature").alias("feature"), F.count("*").alias("n_features")).persist(StorageLevel.MEMORY_AND_DISK)
     return Problem(features, patterns, labels)
 
 
+def problem(examples: DataFrame, edges: DataFrame) -> Problem:
+    return packed([r.label for r in examples.orderBy("gi").select("label").collect()], edges)
+
+
 def of_view(spark: SparkSession, sf_dir: str, view: str) -> Problem:
-    return problem(*load(spark, sf_dir, view))
+    """Features count from two examples on."""
+    return packed(*sightings(spark, sf_dir, view), 2)
 
 
 def sum_rows(features: DataFrame, of: list[int], n: int) -> DataFrame:

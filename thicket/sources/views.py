@@ -11,21 +11,21 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class View:
     examples: str  # SQL: example_id, label
-    edges: str  # SQL over Spark: example_id, feature
+    edges: str  # SQL over Spark: example_id, feature; rows may repeat
     duck: str  # the same for the oracle
     tables: tuple[str, ...]
 
 
-TOKENS = "SELECT DISTINCT doc_id AS example_id, {} AS feature FROM documents JOIN labels USING (doc_id)"
+TOKENS = "SELECT doc_id AS example_id, {} AS feature FROM documents JOIN labels USING (doc_id)"
 VIEWS = {
     "doc": View("SELECT doc_id AS example_id, quality AS label FROM labels JOIN documents USING (doc_id)", TOKENS.format("explode(regexp_extract_all(lower(text), '[a-z]+', 0))"), TOKENS.format("unnest(regexp_extract_all(lower(text), '[a-z]+'))"), ("documents", "labels")),
     "tox": View("SELECT doc_id AS example_id, toxic AS label FROM labels JOIN documents USING (doc_id)", TOKENS.format("explode(regexp_extract_all(lower(text), '[a-z]+', 0))"), TOKENS.format("unnest(regexp_extract_all(lower(text), '[a-z]+'))"), ("documents", "labels")),
     "cust": View(
         "SELECT c_custkey AS example_id, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS label FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)",
-        *["SELECT DISTINCT o_custkey AS example_id, p_brand || '/' || p_type AS feature FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"] * 2, ("customer", "orders", "lineitem", "part")),
-    "user": View("SELECT user_id AS example_id, CAST(avg(value) > (SELECT avg(value) FROM events) AS INT) AS label FROM events GROUP BY user_id", *["SELECT DISTINCT user_id AS example_id, event_type || '@' || hour(ts) AS feature FROM events"] * 2, ("events",)),
+        *["SELECT o_custkey AS example_id, p_brand || '/' || p_type AS feature FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"] * 2, ("customer", "orders", "lineitem", "part")),
+    "user": View("SELECT user_id AS example_id, CAST(avg(value) > (SELECT avg(value) FROM events) AS INT) AS label FROM events GROUP BY user_id", *["SELECT user_id AS example_id, event_type || '@' || hour(ts) AS feature FROM events"] * 2, ("events",)),
     "emb": View("SELECT vec_id AS example_id, label FROM embeddings", "SELECT vec_id AS example_id, concat('d', lpad(i, 2, '0')) AS feature FROM (SELECT vec_id, posexplode(embedding) AS (i, x) FROM embeddings) WHERE x > 0", "SELECT vec_id AS example_id, 'd' || lpad((i - 1)::VARCHAR, 2, '0') AS feature FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE x > 0", ("embeddings",)),
-    "kmer": View("SELECT doc_id AS example_id, quality AS label FROM labels JOIN documents USING (doc_id)", TOKENS.format("explode(regexp_extract_all(regexp_replace(lower(text), '[^a-z]', ''), '(?=([a-z]{5}))', 1))"), "SELECT DISTINCT example_id, substring(s, i, 5) AS feature FROM (SELECT example_id, s, unnest(range(1, length(s) - 3)) AS i FROM (SELECT doc_id AS example_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS s FROM documents JOIN labels USING (doc_id)))", ("documents", "labels")),
+    "kmer": View("SELECT doc_id AS example_id, quality AS label FROM labels JOIN documents USING (doc_id)", TOKENS.format("explode(regexp_extract_all(regexp_replace(lower(text), '[^a-z]', ''), '(?=([a-z]{5}))', 1))"), "SELECT example_id, substring(s, i, 5) AS feature FROM (SELECT example_id, s, unnest(range(1, length(s) - 3)) AS i FROM (SELECT doc_id AS example_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS s FROM documents JOIN labels USING (doc_id)))", ("documents", "labels")),
 }
 
 
@@ -34,20 +34,33 @@ def tables(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> None:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
 
 
+def ordered(spark: SparkSession, view: str) -> DataFrame:
+    """examples; gi follows label, then id."""
+    return spark.sql(f"SELECT CAST(row_number() OVER (ORDER BY label, example_id) - 1 AS INT) AS gi, example_id, CAST(label AS INT) AS label FROM ({VIEWS[view].examples})")
+
+
 def load(spark: SparkSession, sf_dir: str, view: str) -> tuple[DataFrame, DataFrame]:
-    """examples and edges; features count from two examples on. gi follows label, then id."""
-    v = VIEWS[view]
-    tables(spark, sf_dir, v.tables)
-    examples = spark.sql(f"SELECT CAST(row_number() OVER (ORDER BY label, example_id) - 1 AS INT) AS gi, example_id, CAST(label AS INT) AS label FROM ({v.examples})")
-    edges = spark.sql(v.edges)
+    """examples and edges; features count from two examples on."""
+    tables(spark, sf_dir, VIEWS[view].tables)
+    examples, edges = ordered(spark, view), spark.sql(VIEWS[view].edges).distinct()
     often = edges.groupBy("feature").agg(F.count("*").alias("n")).where("n >= 2").select("feature")
     return examples, edges.join(often, "feature").join(examples.select("gi", "example_id"), "example_id").select("feature", "gi")
 
 
+def sightings(spark: SparkSession, sf_dir: str, view: str) -> tuple[list[int], DataFrame]:
+    """Labels by gi, and feature, gi of every sighting, repeats and rare features included: packing folds and drops them without a join of edges.
+
+    Examples are ordered once; the join with them works on a local table of their ids.
+    """
+    tables(spark, sf_dir, VIEWS[view].tables)
+    own = ordered(spark, view).orderBy("gi").toArrow()
+    return own["label"].to_pylist(), spark.sql(VIEWS[view].edges).join(spark.createDataFrame(own.select(["gi", "example_id"])), "example_id").select("feature", "gi")
+
+
 def duck(view: str) -> str:
     """The oracle's CTEs: ex(gi, example_id, label), e(f, gi), fs(f)."""
     v = VIEWS[view]
     return f"""WITH ex AS (SELECT (row_number() OVER (ORDER BY label, example_id) - 1)::INT AS gi, example_id, label::INT AS label FROM ({v.examples.replace("AS INT)", "AS INTEGER)")})),
-raw AS ({v.duck}),
+raw AS (SELECT DISTINCT * FROM ({v.duck})),
 e AS (SELECT feature AS f, gi FROM raw JOIN ex USING (example_id) WHERE feature IN (SELECT feature FROM raw GROUP BY feature HAVING count(*) >= 2)),
 fs AS (SELECT DISTINCT f FROM e)"""
