@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from statistics import pvariance
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import masked_count
 from .matrix import Problem
-from .scm import columns
+from .scm import columns, compression_set
 
 
 @dataclass
@@ -128,6 +129,23 @@ def grow(p: Problem, train: list[int] | None = None, criterion: str = "gini", ma
     return root, priors
 
 
+def equivalents(p: Problem, root: Node, priors: Priors, criterion: str, train: list[int], most: int = 10_000, seed: int = 0, blacklist: DataFrame | None = None) -> list[list[str]]:
+    """For each inner node, in the order of walk(), the features that split it as well and are in as many examples: one scan for all nodes. Of more than most, seed draws."""
+    inner = [x for x in root.walk() if not x.leaf]
+    if not inner:
+        return []
+    every = p.features if blacklist is None else p.features.join(blacklist.select("feature"), "feature", "left_anti")
+    scores = split_scores(p, inner, priors, {"crossentropy": "cross-entropy"}.get(criterion, criterion), train, every)
+    top = scores.groupBy("node").agg(F.expr("min(struct(score, -occurrences as o)) as x")).selectExpr("node", "x.score", "-x.o as occurrences")
+    ties = scores.join(F.broadcast(top), ["node", "score", "occurrences"]).select("node", "feature").persist()  # a row a node
+    out = []
+    for k in range(len(inner)):
+        own = ties.where(F.col("node") == k).orderBy(F.xxhash64("feature", F.lit(seed)), "feature").limit(most)
+        out.append(sorted(r.feature for r in own.collect()))
+    ties.unpersist()
+    return out
+
+
 def importances(root: Node, priors: Priors, criterion: str) -> dict[str, float]:
     """Decrease of impurity by feature, to a sum of 1."""
     out: dict[str, float] = {}
@@ -197,13 +215,11 @@ def risk_of(root: Node, priors: Priors, p: Problem, rows: list[int]) -> float:
     return sum(got[i] != p.labels[i] for i in rows) / max(len(rows), 1)
 
 
-def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, criteria=("gini",), depths=(10,), min_splits=(2,), weights=(None,), selection: str = "cv", delta: float = 0.05, genome_size: int | None = None) -> tuple[Node, Priors, dict]:
-    """The best pruned tree over the grid. Ties: score, then size; a more pruned tree wins among equals of one sequence."""
-    from .scm import compression_set
-
+def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, criteria=("gini",), depths=(10,), min_splits=(2,), weights=(None,), selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None) -> tuple[Node, Priors, dict]:
+    """The best pruned tree over the grid. Ties: score, size, variance of the class importances, place in the grid; a more pruned tree wins among equals of one sequence."""
     size, classes, tried = genome_size or p.features.count(), max(p.labels) + 1, []
     for place, (c, d, s, w) in enumerate((c, d, s, w) for c in criteria for d in depths for s in min_splits for w in weights):
-        root, priors = grow(p, train, c, d, s, w, classes=classes)
+        root, priors = grow(p, train, c, d, s, w, blacklist, classes)
         master = prune_sequence(root, priors)
         scores = []
         if selection == "cv":
@@ -211,7 +227,7 @@ def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, cri
             for f in sorted(set(folds)):
                 inside = [i for i, g in zip(train, folds, strict=True) if g != f]
                 outside = [i for i, g in zip(train, folds, strict=True) if g == f]
-                r, q = grow(p, inside, c, d, s, w, classes=classes)
+                r, q = grow(p, inside, c, d, s, w, blacklist, classes)
                 steps.append([(a, risk_of(t, q, p, outside)) for a, t in prune_sequence(r, q)])
             for k, (a, _) in enumerate(master):
                 mid = math.sqrt(a * master[k + 1][0]) if k + 1 < len(master) else math.inf
@@ -224,5 +240,5 @@ def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, cri
                 wrong = {i for i in train if got[i] != p.labels[i]} - set(z)
                 scores.append(tree_bound(len(train), len(z), len(wrong), sum(not x.leaf for x in t.walk()), size, classes, delta))
         k = max(range(len(master)), key=lambda k: (-scores[k], k))
-        tried.append((scores[k], len(master[k][1].walk()), place, master[k][1], priors, {"criterion": c, "max_depth": d, "min_split": s, "class_importance": w, "score": scores[k]}))
-    return min(tried, key=lambda x: x[:3])[3:]
+        tried.append((scores[k], len(master[k][1].walk()), pvariance(w) if w else 0.0, place, master[k][1], priors, {"criterion": c, "max_depth": d, "min_split": s, "class_importance": w, "score": scores[k]}))
+    return min(tried, key=lambda x: x[:4])[4:]

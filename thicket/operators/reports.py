@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from .cart import Node, Priors
+from .cart import Node, Priors, importances
 from .scm import Model
 
 
@@ -30,3 +30,34 @@ def scm_text(model: Model, metrics: dict, settings: dict) -> str:
 
 def fasta(model: Model) -> str:
     return "".join(f">rule-{i} {r.kind}, importance: {imp:.2f}\n{r.feature}\n" for i, (r, imp) in enumerate(zip(model.rules, model.importances, strict=False), 1))
+
+
+def predicted_metrics(got: dict[int, int], labels: list[int], rows: list[int], classes: int) -> dict:
+    """Risk, the table of counts by class and predicted class, and for two classes the ratios; -infinity where there is nothing to divide by."""
+    table = [[0] * classes for _ in range(classes)]
+    for i in rows:
+        table[labels[i]][got[i]] += 1
+    out = {"risk": sum(got[i] != labels[i] for i in rows) / len(rows) if rows else float("-inf"), "confusion": table}
+    if classes == 2:
+        (tn, fp), (fn, tp) = table
+        ratio = lambda a, b: a / b if b else float("-inf")
+        out |= {"tp": tp, "fp": fp, "tn": tn, "fn": fn, "precision": ratio(tp, tp + fp), "sensitivity": ratio(tp, tp + fn), "recall": ratio(tp, tp + fn), "specificity": ratio(tn, tn + fp), "f1": ratio(2 * tp, 2 * tp + fp + fn) if tp else float("-inf")}
+    return out
+
+
+def confusion_text(table: list[list[int]], tags: list[str]) -> str:
+    """Rows are classes, columns predicted classes."""
+    cells = [["", *tags], *([t, *map(str, row)] for t, row in zip(tags, table, strict=True))]
+    wide = [max(len(r[c]) for r in cells) for c in range(len(tags) + 1)]
+    return "".join("  ".join(x.rjust(w) for x, w in zip(r, wide, strict=True)) + "\n" for r in cells)
+
+
+def tree_fasta(root: Node, priors: Priors, criterion: str, equivalent: list[list[str]]) -> tuple[str, list[str]]:
+    """The tree's features, and for each those that are as good."""
+    weight, inner = importances(root, priors, criterion), [x for x in root.walk() if not x.leaf]
+    own = "".join(f">rule-{i} examples: {len(x.rows)}, equivalent: {len(e)}, importance: {weight[x.feature]:.2f}\n{x.feature}\n" for i, (x, e) in enumerate(zip(inner, equivalent, strict=True), 1))
+    return own, ["".join(f">rule-{i}-equiv-{k}\n{f}\n" for k, f in enumerate(e, 1)) for i, e in enumerate(equivalent, 1)]
+
+
+def scm_equivalents(model: Model) -> list[str]:
+    return ["".join(f">rule-{i}-equiv-{k} {r.kind}\n{r.feature}\n" for k, r in enumerate(e, 1)) for i, e in enumerate(model.equivalent, 1)]

@@ -82,8 +82,11 @@ def tie_order(conjunction: bool) -> list[Column]:
     return [F.asc("risk") if conjunction else F.desc("risk"), F.desc("kind"), F.asc("feature")]
 
 
-def fit(p: Problem, type: str, cost: float, max_rules: int = 10, train: list[int] | None = None, blacklist: DataFrame | None = None, on_iteration=None) -> Model:
-    """Greedy covering. The driver holds which examples are left; each step is one narrow scan of the persisted patterns."""
+def fit(p: Problem, type: str, cost: float, max_rules: int = 10, train: list[int] | None = None, blacklist: DataFrame | None = None, on_iteration=None, most: int = 0, seed: int = 0) -> Model:
+    """Greedy covering. The driver holds which examples are left; each step is one narrow scan of the persisted patterns.
+
+    With most, a second scan a step finds the rules that are as good as the chosen one; of more than most, seed draws.
+    """
     rows = range(p.n) if train is None else train
     conjunction = type == "conjunction"
     pos, neg = [i for i in rows if p.labels[i] == 1], [i for i in rows if p.labels[i] == 0]
@@ -92,15 +95,20 @@ def fit(p: Problem, type: str, cost: float, max_rules: int = 10, train: list[int
     t_pos, t_neg = list(pos), list(neg)
     if not conjunction:
         pos, neg = neg, pos
-    source = None
+    source, every = None, p.features
     if blacklist is not None:
-        source = p.features.join(blacklist.select("feature"), "feature", "left_anti").groupBy("words").agg(F.min("feature").alias("feature"))
+        every = p.features.join(blacklist.select("feature"), "feature", "left_anti")
+        source = every.groupBy("words").agg(F.min("feature").alias("feature"))
     model, start, outputs = Model(type), sorted(pos + neg), []
     while neg and len(model.rules) < max_rules:
         found = best(scored(p, pos, neg, cost, t_pos, t_neg, source), conjunction).orderBy(*tie_order(conjunction)).limit(1).collect()
         if not found:
             break
         rule = Rule(found[0].feature, found[0].kind)
+        if most:
+            ties = best(scored(p, pos, neg, cost, t_pos, t_neg, every), conjunction).where(F.col("risk") == found[0].risk)
+            drawn = [Rule(r.feature, r.kind) for r in ties.orderBy(F.xxhash64("feature", "kind", F.lit(seed)), "feature", "kind").limit(most).collect()]
+            model.equivalent.append(sorted((r if conjunction else r.inverse() for r in drawn), key=lambda r: (r.feature, r.kind)))
         x = columns(p, [rule.feature]).get(rule.feature, 0)
         ok = lambda i, x=x, r=rule: bool(x >> (p.n - 1 - i) & 1) == (r.kind == "presence")
         pos, neg = [i for i in pos if ok(i)], [i for i in neg if ok(i)]
@@ -158,8 +166,8 @@ def prefix_risks(p: Problem, model: Model, test: list[int], max_rules: int) -> l
     return out + [out[-1]] * (max_rules + 1 - len(out))
 
 
-def learn_scm(p: Problem, train: list[int], folds: list[int] | None = None, types=("conjunction", "disjunction"), costs=P_GRID, max_rules: int = 10, selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None) -> tuple[Model, dict]:
-    """The best model over the grid. folds[k] is the fold of train[k]. Ties: score, fewer rules, p nearer to 1, place in the grid."""
+def learn_scm(p: Problem, train: list[int], folds: list[int] | None = None, types=("conjunction", "disjunction"), costs=P_GRID, max_rules: int = 10, selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None, most: int = 0, seed: int = 0) -> tuple[Model, dict]:
+    """The best model over the grid, trained on all of train. folds[k] is the fold of train[k]. Ties: score, fewer rules, p nearer to 1, place in the grid."""
     size = genome_size or p.features.count()
     tried = []
     for place, (t, c) in enumerate((t, c) for t in types for c in costs):
@@ -179,7 +187,8 @@ def learn_scm(p: Problem, train: list[int], folds: list[int] | None = None, type
             tried.append((score, k, abs(1 - c), place, t, c, options[k]))
         else:
             t, c = sorted(types)[0], min(costs)
-            return fit(p, t, c, max_rules, train, blacklist), {"type": t, "p": c, "max_rules": max_rules}
+            return fit(p, t, c, max_rules, train, blacklist, None, most, seed), {"type": t, "p": c, "max_rules": max_rules}
     score, k, _, _, t, c, model = min(tried, key=lambda x: x[:4])
-    model = model or fit(p, t, c, k, train, blacklist)
+    if model is None or most:
+        model = fit(p, t, c, k, train, blacklist, None, most, seed)
     return model, {"type": t, "p": c, "max_rules": k, "score": score}

@@ -43,6 +43,19 @@ class Dataset:
         labels = [r.label for r in self.read("examples").orderBy("gi").select("label").collect()]
         return Problem(features, features.groupBy("words").agg({"feature": "min", "*": "count"}).toDF("words", "feature", "n_features").persist(), labels)
 
+    def examples(self) -> list[str]:
+        """Ids in the order of gi; examples are the small side."""
+        return [r.example_id for r in self.read("examples").orderBy("gi").collect()]
+
+    def tags(self) -> list[str]:
+        return [r.tag for r in self.read("tags").orderBy("label").collect()]
+
+    def splits(self) -> list[str]:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/splits")
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return []
+        return sorted(r.split for r in self.read("splits").selectExpr("cast(split as string) as split").distinct().collect())
+
     def save_split(self, name: str, train: list[int], test: list[int], folds: list[int]) -> None:
         rows = [(name, i, "train", f) for i, f in zip(train, folds, strict=True)] + [(name, i, "test", None) for i in test]
         self.spark.createDataFrame(rows, "split string, gi int, role string, fold int").coalesce(1).write.mode("append").partitionBy("split").parquet(f"{self.path}/splits")
