@@ -183,6 +183,23 @@ def test_jaccard_join(spark, monkeypatch, size, pct, small, counted):
     assert {r.doc_id: r.component_id for r in got} == brute_join(rows, size, pct)
 
 
+@pytest.mark.parametrize(("small", "block"), [(2, 3), (48, 256)])
+def test_jaccard_links(spark, monkeypatch, small, block):
+    """Links are counted in full in groups larger than a key's SMALL too, and for documents of several texts."""
+    monkeypatch.setattr(op9, "SMALL", small)
+    monkeypatch.setattr(op9, "BLOCK", block)
+    r = random.Random(3)
+    base = [f"w{r.randrange(900)}" for _ in range(120)]
+    copies = [[f"x{i}-{k}" if k in at else w for k, w in enumerate(base)] for i in range(75) for at in [r.sample(range(120), r.choice([1, 2, 4]))]]
+    rows = made(5, 100) + ODD + [(2000 + i, " ".join(w)) for i, w in enumerate(copies)] + [(2001, " ".join(copies[0])), (2001, " ".join(copies[9] + ["end"])), (2000, " ".join(base))]
+    sets = [frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) or frozenset([tuple(w)] if w else []) for _, t in rows for w in [words_of((t or "").lower())]]
+    own = {s for s, (i, _) in zip(sets, rows, strict=True) if s and i is not None}
+    degree = {s: sum(s != u and 100 * len(s & u) >= 80 * len(s | u) for u in own) for s in own}
+    got = op9.join(frame(spark, rows), 3, 80, links=True).collect()
+    assert Counter((x.doc_id, x.n_links) for x in got) == Counter((i, 0 if i is None else degree.get(s, 0)) for s, (i, _) in zip(sets, rows, strict=True))
+    assert max(degree.values()) > 48
+
+
 def test_bpe(spark):
     tokenizers = pytest.importorskip("tokenizers")
     pytest.importorskip("public_tokenizers")

@@ -35,6 +35,8 @@ NAME = "op9_token_combination_join"
 FREQUENT, COUNTED, LOCAL = 65_536, 48, 4
 #: Sets up to which a key emits its pairs.
 SMALL = 48
+#: Sets of a larger key that are compared with each other in one block, where all links are counted.
+BLOCK = 256
 #: What a shared pair of neighbours counts for, beside 1 for a single token.
 WHOLE = 3
 
@@ -112,14 +114,32 @@ def checked(it: Iterator[pa.RecordBatch], size: int, pct: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
+def linked(it: Iterator[pa.RecordBatch], size: int, pct: int) -> Iterator[pa.RecordBatch]:
+    """Of pairs with their texts, the digests of those sets that link, as described() has them."""
+    last, first, name = None, None, b""
+    digest = lambda s: xxhash.xxh3_128_digest(s.tobytes())
+    for batch in it:
+        a, b, out = texts(batch, "text_a"), texts(batch, "text_b"), []
+        for x, y in zip(a, b, strict=True):
+            if x != last:
+                last, first = x, shingles(words(np.frombuffer(x, np.uint8), lower=True)[0], size)
+                name = digest(first)
+            other = shingles(words(np.frombuffer(y, np.uint8), lower=True)[0], size)
+            both = len(np.intersect1d(first, other, assume_unique=True))
+            if both and 100 * both >= pct * (len(first) + len(other) - both):
+                out.append((name, digest(other)))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["sig_a", "sig_b"])
+
+
 def least_count(n: str, pct: int) -> str:
     return f"greatest(1, least({WHOLE}, ceil({pct} * {n} / 100) - floor({n} * {100 - pct} / {pct}) - 1))"
 
 
-def join(docs: DataFrame, size: int = 5, pct: int = 80) -> DataFrame:
-    """doc_id, n_shingles, rep (the least doc_id with an equal set), component_id (the least doc_id reachable by links), n_links.
+def join(docs: DataFrame, size: int = 5, pct: int = 80, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, rep (the least doc_id with an equal set), component_id (the least doc_id reachable by links).
 
-    n_links counts the verified links of the document's set; two sets of one component may link without being among them.
+    With links, also n_links: with how many other sets the document's set links, each pair of sets that share a key being verified. Components need
+    far fewer pairs: a group of n near copies costs about n, its links n * n / 2.
     """
     spark = prepare(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
@@ -156,8 +176,8 @@ def join(docs: DataFrame, size: int = 5, pct: int = 80) -> DataFrame:
         both = pairs.join(held.selectExpr("doc_id as b", "text as text_b"), "b").join(held.selectExpr("doc_id as a", "text as text_a"), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: checked(it, size, pct), "a long, b long").distinct()
 
-    links = cut(verify(pairs))
-    label = components(links)
+    found = cut(verify(pairs))
+    label = components(found)
     # what the stars left open: sets of a larger key that are still in different components
     named = cut(many.join(label, many.doc_id == label.node, "left").selectExpr("key", "doc_id", "n", "r", "m", "w", "coalesce(component, doc_id) as label"))
     open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
@@ -169,12 +189,27 @@ def join(docs: DataFrame, size: int = 5, pct: int = 80) -> DataFrame:
     more = scored(scored(meet).unionByName(small))
     more = cut(more.where(likely).select("a", "b").join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = cut(links.unionByName(verify(more)))
-        label = components(links)
-    degree = links.selectExpr("explode(array(a, b)) as node").groupBy("node").agg(F.count("*").alias("n_links"))
-    known = cut(reps.select("sig", F.col("doc_id").alias("rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("node", "rep"), "rep", "left"))
-    out = every.select("doc_id", "n", "sig").join(known, "sig", "left")
-    return out.selectExpr("doc_id", "n as n_shingles", "coalesce(rep, doc_id) as rep", "coalesce(component, rep, doc_id) as component_id", "coalesce(n_links, 0) as n_links")
+        label = components(cut(found.unionByName(verify(more))))
+    known = cut(reps.select("sig", F.col("doc_id").alias("rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left"))
+    out = every.select("doc_id", "n", "sig").join(known, "sig", "left").selectExpr("doc_id", "sig", "n as n_shingles", "coalesce(rep, doc_id) as rep", "coalesce(component, rep, doc_id) as component_id")
+    if not links:
+        return out.drop("sig")
+
+    # sets that share a larger key meet in blocks of it, at the first key of a kind that both hold; sets that share none are all in small
+    kind = ["doc_id", "n", "r", "m", "w"]
+    blocks = many.join(many.groupBy(*kind).agg(F.collect_set("key").alias("ks")), kind).selectExpr("*", f"cast(ceil(df / {BLOCK}) as int) as blocks")
+    blocks = blocks.selectExpr("*", "cast(pmod(xxhash64(doc_id), blocks) as int) as own").selectExpr("*", "explode(sequence(0, blocks - 1)) as other")
+    blocks = cut(blocks.selectExpr(*kind, "key", "ks", "own", "least(own, other) as lo", "greatest(own, other) as hi"))
+    same = "a.key = b.key and a.w = b.w and a.lo = b.lo and a.hi = b.hi and a.doc_id < b.doc_id and (a.own <> b.own or a.lo = a.hi)"
+    meet = blocks.alias("a").join(blocks.alias("b"), F.expr(f"{same} and {fits} and array_min(array_intersect(a.ks, b.ks)) = a.key")).selectExpr("a.doc_id as a", "b.doc_id as b")
+    several = reps.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").selectExpr("doc_id as a", "doc_id as b")
+    pairs = cut(small.where(likely).select("a", "b").unionByName(meet).unionByName(several).distinct())
+    held = cut(docs.join(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), "doc_id", "left_semi"))
+    both = pairs.join(held.selectExpr("doc_id as b", "text as text_b"), "b").join(held.selectExpr("doc_id as a", "text as text_a"), "a")
+    sides = both.select("text_a", "text_b").mapInArrow(lambda it: linked(it, size, pct), "sig_a binary, sig_b binary").where("sig_a <> sig_b")
+    sides = sides.unionByName(sides.selectExpr("sig_b as sig_a", "sig_a as sig_b")).distinct()
+    degree = cut(sides.groupBy("sig_a").agg(F.count("*").alias("n_links")).withColumnRenamed("sig_a", "sig"))
+    return out.join(degree, "sig", "left").drop("sig").withColumn("n_links", F.expr("coalesce(n_links, 0)"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
