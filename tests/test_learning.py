@@ -1,11 +1,13 @@
 """Hand-checked fixtures of the learners, and a naive twin."""
 
+import os
 import random
 
 import pytest
 
 from thicket.functions.bits import mask, members
 from thicket.operators import cart, matrix, scm, splits
+from thicket.plans import learning
 
 F1 = {"AAA": "000111", "AAC": "110000", "AAG": "001000", "AAT": "111111", "ACA": "000110"}
 
@@ -100,3 +102,42 @@ def test_naive_twin(spark, seed):
     for type in ("conjunction", "disjunction"):
         got = [(x.feature, x.kind != "presence") for x in scm.fit(p, type, 1.0, 3).rules]
         assert got == naive(rows, labels, type, 1.0, 3)
+
+
+@pytest.mark.parametrize("blacklist", [None, [("f01",), ("f07",)]])
+def test_searches_in_common_scans(spark, blacklist):
+    r = random.Random(8)
+    rows = {f"f{k:02d}": "".join(r.choice("001") for _ in range(70)) for k in range(15)}
+    p = problem(spark, rows, [r.randint(0, 1) for _ in range(70)])
+    black = None if blacklist is None else spark.createDataFrame(blacklist, "feature string")
+    jobs = [(t, c, [i for i in range(70) if i % 3 != f]) for t in ("conjunction", "disjunction") for c in (0.1, 1.0, 999999.0) for f in (0, 1)]
+    models, _ = scm.fit_all(p, jobs, 10, black)
+    assert models == [scm.fit(p, *job[:2], 10, job[2], black) for job in jobs]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_selection_searches_the_whole_grid(spark, monkeypatch):
+    """The registered queries choose as a naive search of all costs, 10 rules and depth 10 does."""
+    d = "/root/testdata/sf0.01"
+    p, train, _, folds = learning.learnt(spark, d)
+    bits = {f: f"{x:0{p.n}b}" for f, x in scm.columns(p, [r.feature for r in p.features.select("feature").collect()]).items()}
+    tried = []
+    for t in ("conjunction", "disjunction"):
+        for c in (0.1, 0.316, 0.562, 1.0, 1.778, 3.162, 10.0, 999999.0):
+            means = [0.0] * 11
+            for f in range(3):
+                inside, outside = ([i for i, g in zip(train, folds, strict=True) if (g == f) == side] for side in (False, True))
+                rules = naive({k: "".join(b[i] for i in inside) for k, b in bits.items()}, [p.labels[i] for i in inside], t, c, 10)
+                for k in range(11):
+                    said = lambda i, k=k: (all if t == "conjunction" else any)((bits[f][i] == "1") != off for f, off in rules[:k])  # noqa: B023, E731
+                    means[k] += sum(said(i) != p.labels[i] for i in outside) / len(outside) / 3
+            tried.append((round(min(means), 12), [round(m, 12) for m in means].index(round(min(means), 12)), abs(1 - c), len(tried), t, c))
+    got = learning.scm_cv_selection(spark, d).first()
+    assert (got.type, got.p) == min(tried)[-2:] and got.score == pytest.approx(min(tried)[0])
+
+    seen, learn_tree = [], cart.learn_tree
+    monkeypatch.setattr(scm, "fit_all", lambda p, jobs, most, *a, f=scm.fit_all: seen.append((len(jobs), most)) or f(p, jobs, most, *a))
+    monkeypatch.setattr(cart, "learn_tree", lambda *a, **b: seen.append((out := learn_tree(*a, **b))[2]["max_depth"]) or out)
+    for query in (learning.scm_bound_selection, learning.cart_cv_selection, learning.cart_bound_selection):
+        query(spark, d).collect()
+    assert seen == [(16, 10), 10, 10]

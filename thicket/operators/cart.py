@@ -210,8 +210,8 @@ def tree_bound(m: int, z: int, r: int, n: int, genome_size: int, classes: int, d
     return 1 - math.exp(-b / (m - z - r)) if m - z - r > 0 else 1.0
 
 
-def risk_of(root: Node, priors: Priors, p: Problem, rows: list[int]) -> float:
-    got = predict(root, priors, columns(p, tree_features(root)), p.n, rows)
+def risk_of(root: Node, priors: Priors, p: Problem, rows: list[int], cols: dict[str, int] | None = None) -> float:
+    got = predict(root, priors, columns(p, tree_features(root)) if cols is None else cols, p.n, rows)
     return sum(got[i] != p.labels[i] for i in rows) / max(len(rows), 1)
 
 
@@ -228,13 +228,15 @@ def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, cri
                 inside = [i for i, g in zip(train, folds, strict=True) if g != f]
                 outside = [i for i, g in zip(train, folds, strict=True) if g == f]
                 r, q = grow(p, inside, c, d, s, w, blacklist, classes)
-                steps.append([(a, risk_of(t, q, p, outside)) for a, t in prune_sequence(r, q)])
+                cols = columns(p, tree_features(r))
+                steps.append([(a, risk_of(t, q, p, outside, cols)) for a, t in prune_sequence(r, q)])
             for k, (a, _) in enumerate(master):
                 mid = math.sqrt(a * master[k + 1][0]) if k + 1 < len(master) else math.inf
                 scores.append(sum([r for x, r in st if x <= mid][-1] for st in steps) / len(steps))
         else:
+            every = columns(p, tree_features(root))
             for _, t in master:
-                cols = columns(p, tree_features(t))
+                cols = {f: every[f] for f in tree_features(t)}
                 got = predict(t, priors, cols, p.n, train)
                 z = compression_set(list(cols.values()), train, p.n) if cols else []
                 wrong = {i for i in train if got[i] != p.labels[i]} - set(z)

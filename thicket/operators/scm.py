@@ -121,6 +121,60 @@ def fit(p: Problem, type: str, cost: float, max_rules: int = 10, train: list[int
     return model
 
 
+STATES = "pos array<bigint>, neg array<bigint>, train_pos array<bigint>, train_neg array<bigint>, n_pos long, n_neg long, t_pos long, t_neg long, jobs array<struct<job: int, cost: double, conjunction: boolean>>"
+
+
+def fit_all(p: Problem, jobs: list[tuple[str, float, list[int]]], max_rules: int = 10, blacklist: DataFrame | None = None) -> tuple[list[Model], dict[str, int]]:
+    """The models that fit() gives for each type, cost and training rows, and the columns of their features. All searches take each step in common scans.
+
+    Searches whose examples left are the same share their counts; masks are data, so no step compiles code of its own.
+    """
+    source = p.patterns
+    if blacklist is not None:
+        source = p.features.join(blacklist.select("feature"), "feature", "left_anti").groupBy("words").agg(F.min("feature").alias("feature")).persist()
+    models, left, outputs, cols = [Model(t) for t, _, _ in jobs], [], [[] for _ in jobs], {}
+    for t, _, rows in jobs:
+        sides = [i for i in rows if p.labels[i] == 1], [i for i in rows if p.labels[i] == 0]
+        if not all(sides):
+            raise ValueError("both classes are needed to learn")
+        left.append(sides if t == "conjunction" else sides[::-1])
+    start, open_ = [a + b for a, b in left], list(range(len(jobs)))
+    for _ in range(max_rules):
+        open_ = [j for j in open_ if left[j][1]]
+        if not open_:
+            break
+        states: dict[tuple, list] = {}
+        for j in open_:
+            t, cost, rows = jobs[j]
+            states.setdefault((*map(tuple, left[j]), tuple(rows)), []).append((j, float(cost), t == "conjunction"))
+        lines = []
+        for (pos, neg, rows), own in states.items():
+            every = [i for i in rows if p.labels[i] == 1], [i for i in rows if p.labels[i] == 0]
+            lines.append((*(p.mask(x) for x in (pos, neg, *every)), *map(len, (pos, neg, *every)), own))
+        count = lambda m: F.aggregate(F.zip_with("words", m, lambda w, x: F.bit_count(w.bitwiseAND(x)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+        df = source.select("feature", "words").crossJoin(F.broadcast(p.features.sparkSession.createDataFrame(lines, STATES)))  # a row a state
+        df = df.select("feature", "jobs", "n_pos", "n_neg", "t_pos", "t_neg", count("pos").alias("hp"), count("neg").alias("hn"), count("train_pos").alias("tp"), count("train_neg").alias("tn"))
+        df = df.selectExpr("feature", "jobs", "n_pos", "n_neg", "hp", "hn", "bround((t_pos - tp + tn) / (t_pos + t_neg), 5) as r")
+        df = df.selectExpr("feature", "jobs", "stack(2, 'presence', n_neg - hn, n_pos - hp, r, 'absence', hn, hp, bround(1 - r, 5)) as (kind, neg_cover, pos_err, risk)")
+        df = df.selectExpr("*", "explode(jobs) as x").selectExpr("x.job", "x.conjunction", "feature", "kind", "neg_cover", "pos_err", "risk", "neg_cover - x.cost * pos_err as utility")
+        close = df.join(F.broadcast(df.groupBy("job").agg(F.max("utility").alias("top"))), "job").where(f"abs(utility - top) <= {ATOL} + {RTOL} * abs(top) and (neg_cover <> 0 or pos_err <> 0)")  # a row a search
+        chosen = close.groupBy("job").agg(F.expr("min(struct(if(conjunction, risk, -risk) as risk, if(kind = 'presence', 0, 1) as place, feature, kind)) as x"))
+        found = {r.job: Rule(r.feature, r.kind) for r in chosen.select("job", "x.feature", "x.kind").collect()}
+        cols |= columns(p, [r.feature for r in found.values() if r.feature not in cols])
+        for j, rule in found.items():
+            ok = {i: bool(cols.get(rule.feature, 0) >> (p.n - 1 - i) & 1) == (rule.kind == "presence") for i in start[j]}
+            left[j] = [i for i in left[j][0] if ok[i]], [i for i in left[j][1] if ok[i]]
+            outputs[j].append(ok)
+            models[j].rules.append(rule if models[j].type == "conjunction" else rule.inverse())
+        open_ = list(found)
+    for model, rows, own in zip(models, start, outputs, strict=True):
+        zero = [i for i in rows if any(not o[i] for o in own)]
+        model.importances = [sum(not o[i] for i in zero) / len(zero) if zero else 0.0 for o in own]
+    if blacklist is not None:
+        source.unpersist()
+    return models, cols
+
+
 def compression_set(cols: list[int], rows: list[int], n: int) -> list[int]:
     """Greedy cover of the model's features by examples that have them; features that no example has can't be covered."""
     left = [c for c in cols if any(c >> (n - 1 - i) & 1 for i in rows)]
@@ -152,16 +206,16 @@ def errors(model: Model, cols: dict[str, int], p: Problem, rows: list[int]) -> l
     return [i for i in rows if pred[i] != p.labels[i]]
 
 
-def model_bound(p: Problem, model: Model, train: list[int], genome_size: int, delta: float = 0.05, compat: bool = True) -> float:
-    cols = columns(p, [r.feature for r in model.rules])
+def model_bound(p: Problem, model: Model, train: list[int], genome_size: int, delta: float = 0.05, compat: bool = True, cols: dict[str, int] | None = None) -> float:
+    cols = columns(p, [r.feature for r in model.rules]) if cols is None else cols
     z = compression_set([cols.get(r.feature, 0) for r in model.rules], train, p.n) if model.rules else []
     wrong = set(errors(model, cols, p, train)) - set(z)
     return bound(len(train), len(z), len(wrong), len(model.rules), genome_size, delta, compat)
 
 
-def prefix_risks(p: Problem, model: Model, test: list[int], max_rules: int) -> list[float]:
+def prefix_risks(p: Problem, model: Model, test: list[int], max_rules: int, cols: dict[str, int] | None = None) -> list[float]:
     """Risk on test of each prefix of the model, the last repeated up to max_rules."""
-    cols = columns(p, [r.feature for r in model.rules])
+    cols = columns(p, [r.feature for r in model.rules]) if cols is None else cols
     out = [len(errors(Model(model.type, model.rules[:k]), cols, p, test)) / max(len(test), 1) for k in range(len(model.rules) + 1)]
     return out + [out[-1]] * (max_rules + 1 - len(out))
 
@@ -169,25 +223,23 @@ def prefix_risks(p: Problem, model: Model, test: list[int], max_rules: int) -> l
 def learn_scm(p: Problem, train: list[int], folds: list[int] | None = None, types=("conjunction", "disjunction"), costs=P_GRID, max_rules: int = 10, selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None, most: int = 0, seed: int = 0) -> tuple[Model, dict]:
     """The best model over the grid, trained on all of train. folds[k] is the fold of train[k]. Ties: score, fewer rules, p nearer to 1, place in the grid."""
     size = genome_size or p.features.count()
-    tried = []
-    for place, (t, c) in enumerate((t, c) for t in types for c in costs):
+    if selection not in ("cv", "bound"):
+        t, c = sorted(types)[0], min(costs)
+        return fit(p, t, c, max_rules, train, blacklist, None, most, seed), {"type": t, "p": c, "max_rules": max_rules}
+    grid, tried = [(t, c) for t in types for c in costs], []
+    parts = [(train, [])] if selection == "bound" else [([i for i, g in zip(train, folds, strict=True) if g != f], [i for i, g in zip(train, folds, strict=True) if g == f]) for f in sorted(set(folds))]
+    models, cols = fit_all(p, [(t, c, inside) for t, c in grid for inside, _ in parts], max_rules, blacklist)
+    for place, (t, c) in enumerate(grid):
+        own = models[place * len(parts) : (place + 1) * len(parts)]
         if selection == "cv":
-            by_fold = []
-            for f in sorted(set(folds)):
-                inside = [i for i, g in zip(train, folds, strict=True) if g != f]
-                outside = [i for i, g in zip(train, folds, strict=True) if g == f]
-                by_fold.append(prefix_risks(p, fit(p, t, c, max_rules, inside, blacklist), outside, max_rules))
+            by_fold = [prefix_risks(p, m, outside, max_rules, cols) for m, (_, outside) in zip(own, parts, strict=True)]
             mean = [sum(x) / len(x) for x in zip(*by_fold, strict=True)]
             score = min(mean)
             tried.append((score, mean.index(score), abs(1 - c), place, t, c, None))
-        elif selection == "bound":
-            model = fit(p, t, c, max_rules, train, blacklist)
-            options = [Model(t, model.rules[:k], importances=model.importances[:k]) for k in range(len(model.rules) + 1)]
-            score, k = min((model_bound(p, o, train, size, delta), k) for k, o in enumerate(options))
-            tried.append((score, k, abs(1 - c), place, t, c, options[k]))
         else:
-            t, c = sorted(types)[0], min(costs)
-            return fit(p, t, c, max_rules, train, blacklist, None, most, seed), {"type": t, "p": c, "max_rules": max_rules}
+            options = [Model(t, own[0].rules[:k], importances=own[0].importances[:k]) for k in range(len(own[0].rules) + 1)]
+            score, k = min((model_bound(p, o, train, size, delta, cols=cols), k) for k, o in enumerate(options))
+            tried.append((score, k, abs(1 - c), place, t, c, options[k]))
     score, k, _, _, t, c, model = min(tried, key=lambda x: x[:4])
     if model is None or most:
         model = fit(p, t, c, k, train, blacklist, None, most, seed)

@@ -266,26 +266,26 @@ def learnt(spark, d, view="user"):
 @query(None)
 def scm_cv_selection(spark, d):
     p, train, test, folds = learnt(spark, d)
-    model, how = scm.learn_scm(p, train, folds, costs=(0.316, 1.0), max_rules=3)
+    model, how = scm.learn_scm(p, train, folds)
     return spark.createDataFrame([(str(model), how["type"], how["p"], how["score"])], "model string, type string, p double, score double")
 
 
 @query(None)
 def scm_bound_selection(spark, d):
     p, train, test, folds = learnt(spark, d)
-    model, how = scm.learn_scm(p, train, costs=(0.316, 1.0), max_rules=3, selection="bound")
+    model, how = scm.learn_scm(p, train, selection="bound")
     return spark.createDataFrame([(str(model), how["type"], how["p"], how["score"])], "model string, type string, p double, score double")
 
 
 @query(None)
 def cart_cv_selection(spark, d):
     p, train, test, folds = learnt(spark, d)
-    root, priors, how = cart.learn_tree(p, train, folds, depths=(3,))
+    root, priors, how = cart.learn_tree(p, train, folds)
     return spark.createDataFrame([(len(root.walk()), float(how["score"]), cart.risk_of(root, priors, p, test))], "nodes int, score double, test_risk double")
 
 
 @query(None)
 def cart_bound_selection(spark, d):
     p, train, test, folds = learnt(spark, d)
-    root, priors, how = cart.learn_tree(p, train, depths=(3,), selection="bound")
+    root, priors, how = cart.learn_tree(p, train, selection="bound")
     return spark.createDataFrame([(len(root.walk()), float(how["score"]), cart.risk_of(root, priors, p, test))], "nodes int, score double, test_risk double")
