@@ -43,13 +43,22 @@ GIVEN = {n: key for key, names in NAMES.items() for n in names}
 SCRIPTS = {"latin": "abcdefghijklmnopqrstuvwxyz", "accented": "àáâäçèéêëìíîïñòóôöùúûüß", "cyrillic": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "greek accented": "άέήίόύώ"}
 SCRIPT_OF = {c: s for s, letters in SCRIPTS.items() for c in letters}
 
+HEX = r"(?:[0-9A-Fa-f]{32,})"
+#: Fixed beginnings of common key formats, each with what follows.
+KEYS = r"(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36,}|github_pat_[0-9A-Za-z_]{22,}|glpat-[0-9A-Za-z_-]{20,}|sk-[0-9A-Za-z_-]{20,}|[sr]k_(?:live|test)_[0-9A-Za-z]{16,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35})"
+LEAD = re.compile(r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|[sr]k_(?:live|test)_|xox[abprs]-|AIza")
 TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
+#: Phone numbers of other groups: international ones of 8 to 15 digits, then national ones in fives of pairs, with a trunk 0, and as 3-2-2-2.
+GROUPED = (
+    r"(?<![\w+.-])\+(?=(?:[ ./()-]{0,2}\d){8,15}(?!\d))\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ ./-]?\d{1,8}){1,7}(?![\w-])"
+    r"|(?<![\w+.-])(?<!\d )(?:0[1-9](?P<gap>[ .-])\d\d(?:(?P=gap)\d\d){3}|\(?0\d{2,4}\)?[ /-]\d{3,4}[ -]?\d{3,4}|[6-9]\d\d \d\d \d\d \d\d)(?![\w-])(?! \d)"
+)
 CAPITAL = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]{1,30}"
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])", re.A),
-    "secret": re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])"),
+    "secret": re.compile(rf"(?<![0-9A-Za-z])(?:{HEX}|{KEYS})(?![0-9A-Za-z])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)", re.A),
-    "phone": re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])|\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{3,4}(?![\w-])|(?<![\w+.-])\+\d{8,15}(?![\w-])", re.A),
+    "phone": re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])|\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{3,4}(?![\w-])|(?<![\w+.-])\+\d{8,15}(?![\w-])|" + GROUPED, re.A),
     "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", re.A),
     "name": re.compile(rf"(?<!\w)(?P<title>{TITLE})\.? (?P<name>{CAPITAL}(?:[ -]{CAPITAL}){{0,2}})(?!\w)"),
 }
@@ -59,7 +68,11 @@ HINT = {"email": re.compile("@"), "name": re.compile(rf"(?:{TITLE})\.? ")}
 
 @lru_cache(maxsize=200_000)
 def round_value(key: bytes, tweak: str, i: int, size: int, half: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{size}|{half}".encode(), key=key, digest_size=16).digest()) % size
+    text = f"{tweak}|{i}|{size}|{half}".encode()
+    if size <= 1 << 128:
+        return int.from_bytes(hashlib.blake2b(text, key=key, digest_size=16).digest()) % size
+    wide = b"".join(hashlib.blake2b(text + b"|%d" % k, key=key).digest() for k in range(size.bit_length() // 512 + 2))  # else a long value's first digits would stay
+    return int.from_bytes(wide) % size
 
 
 def feistel(key: bytes, tweak: str, x: int, a: int, b: int, back: bool) -> int:
@@ -167,9 +180,12 @@ class Surrogates:
         return "".join(n.upper() if o.isupper() else n for o, n in zip(old, new, strict=True))
 
     def secret(self, text: str) -> str:
+        """Keys keep the beginning that tells their kind; in hex, case does not tell values apart."""
+        if lead := LEAD.match(text):
+            return lead[0] + spell(self.key, f"secret{lead[0]}", text[lead.end() :])
         hexes = "0123456789abcdef"
         new = "".join(hexes[d] for d in permute(self.key, "secret", [hexes.index(c) for c in text.lower()], [16] * len(text)))
-        return new.upper() if text != text.lower() else new
+        return new.upper() if text == text.upper() != text.lower() else self.cased(text, new)
 
     def phone(self, text: str) -> str:
         digits, code = plain(text), 0
@@ -232,7 +248,7 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
 
 def canonical(kind: str, text: str) -> str:
     """What two mentions of one entity share."""
-    return text.lower() if kind in ("email", "secret") else plain(text) if kind in ("phone", "card") else text
+    return text.lower() if kind == "email" or kind == "secret" and not LEAD.match(text) else plain(text) if kind in ("phone", "card") else text
 
 
 def rewritten(text: str, made: Surrogates) -> tuple[str, list[tuple[str, int, int]], int, int]:
