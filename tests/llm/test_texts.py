@@ -77,6 +77,25 @@ def test_forms_of_phones_and_secrets():
     assert [k for _, _, k, _ in op1.found("card 4111 1111 1111 1111.")] == ["card"]
 
 
+def test_tables_over_packets():
+    """A map table of 60 streams spans packets; two tables share a packet."""
+    whole = op4.mux(op4.padded(random.Random(2).randbytes(9000)))
+    streams = [0x300 + k for k in range(60)] + [op4.ES_PID]
+    pat = op4.section(0, 1, (2).to_bytes(2, "big") + (0xE000 | 0x1001).to_bytes(2, "big")) + op4.section(0, 1, (1).to_bytes(2, "big") + (0xE000 | op4.PMT_PID).to_bytes(2, "big"))
+    pmt = op4.section(2, 1, (0xE000 | op4.ES_PID).to_bytes(2, "big") + b"\xf0\x00" + b"".join(b"\x06" + (0xE000 | x).to_bytes(2, "big") + b"\xf0\x00" for x in streams))
+
+    def dealt(pid, data):
+        data = b"\0" + data
+        return [(bytes([op4.SYNC, (0 if k else 0x40) | pid >> 8, pid & 255, 0x10 | k // 184]) + data[k : k + 184]).ljust(188, b"\xff") for k in range(0, len(data), 184)]
+
+    tables = dealt(op4.PAT_PID, pat) + dealt(op4.PMT_PID, pmt)
+    assert len(tables) == 3
+    got, want = op4.demux(b"".join(tables) + whole[376:]), op4.demux(whole)
+    assert got.units == want.units and not got.bad_tables and set(got.programs[op4.PMT_PID]) == set(streams) and 0x1001 in got.programs
+    lost = op4.demux(b"".join(tables[:2]) + whole[376:])
+    assert lost.bad_tables == 1 and not lost.units
+
+
 def test_transport(spark):
     r = random.Random(1)
     for n in [*range(0, 400, 7), 4095, 4096, 4097, 50_000]:

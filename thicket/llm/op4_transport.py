@@ -40,7 +40,7 @@ def crc(data: bytes) -> int:
 
 
 def section(table_id: int, number: int, body: bytes) -> bytes:
-    data = bytes([table_id, 0xB0, len(body) + 9, number >> 8, number & 255, 0xC1, 0, 0]) + body
+    data = bytes([table_id, 0xB0 | len(body) + 9 >> 8, len(body) + 9 & 255, number >> 8, number & 255, 0xC1, 0, 0]) + body
     return data + crc(data).to_bytes(4, "big")
 
 
@@ -122,17 +122,43 @@ def packets(media: bytes) -> tuple[np.ndarray, int]:
     return rows, len(media) - rows.size
 
 
-def parse_section(rows: np.ndarray, start: np.ndarray, table_id: int) -> tuple[list[bytes], int]:
-    """Bodies of the valid sections that start in rows, and how many are damaged. Sections of one packet only, as tables of a few streams are."""
-    good, bad = [], 0
-    for raw in dict.fromkeys(r[s:].tobytes() for r, s in zip(rows, start, strict=True)):
-        data = raw[1 + raw[0] :] if raw else b""
-        size = 3 + ((data[1] & 15) << 8 | data[2]) if len(data) > 2 else 0
-        if 12 <= size <= len(data) and data[0] == table_id and crc(data[: size - 4]) == int.from_bytes(data[size - 4 : size], "big"):
-            good.append(data[8 : size - 4])
-        else:
-            bad += 1
-    return good, bad
+def parse_sections(rows: np.ndarray, start: np.ndarray, begins: np.ndarray, table_id: int) -> tuple[list[bytes], int]:
+    """Bodies of the different valid sections in the packets of one PID, and how many are damaged. A section may span packets, and a packet hold several."""
+    good, bad, last, buf = {}, {}, None, b""
+
+    def take(data: bytes) -> bytes:
+        """What is left behind the whole sections: the beginning of one, or nothing."""
+        while data and data[0] != 0xFF:
+            size = 3 + ((data[1] & 15) << 8 | data[2]) if len(data) > 2 else 0
+            if not 0 < size <= len(data):
+                return data
+            one, data = data[:size], data[size:]
+            if size >= 12 and crc(one[:-4]) == int.from_bytes(one[-4:], "big"):
+                if one[0] == table_id:
+                    good[one[8:-4]] = None
+            elif one[0] == table_id or one[1] & 0x80:  # others may have no CRC
+                bad[one] = None
+        return b""
+
+    for r, s, begin in zip(rows, start, begins, strict=True):
+        data, count = r[s:].tobytes(), int(r[3]) & 15
+        if last == (count, data):
+            continue
+        if last and (count - last[0]) & 15 != 1 and buf:
+            bad[buf], buf = None, b""
+        last = count, data
+        if begin:
+            skip = 1 + data[0] if data else 1
+            if buf and (buf := take(buf + data[1:skip])):
+                bad[buf] = None
+            if skip >= len(data):
+                bad[data] = None
+            buf = take(data[skip:])
+        elif buf:
+            buf = take(buf + data)
+    if buf:
+        bad[buf] = None
+    return list(good), len(bad)
 
 
 def demux(media: bytes) -> Stream:
@@ -145,15 +171,15 @@ def demux(media: bytes) -> Stream:
     begins, adapt, holds = rows[:, 1] & 0x40 > 0, rows[:, 3] & 0x20 > 0, rows[:, 3] & 0x10 > 0
     start = np.minimum(np.where(adapt, 5 + rows[:, 4].astype(np.int32), 4), SIZE)
     key = adapt & (rows[:, 4] > 0) & (rows[:, 5] & 0x40 > 0)
-    at = np.flatnonzero((pid == PAT_PID) & begins & holds)
-    bodies, out.bad_tables = parse_section(rows[at], start[at], 0)
+    at = np.flatnonzero((pid == PAT_PID) & holds)
+    bodies, out.bad_tables = parse_sections(rows[at], start[at], begins[at], 0)
     for body in bodies:
         for k in range(0, len(body) - 3, 4):
             if body[k] << 8 | body[k + 1]:
                 out.programs[(body[k + 2] & 0x1F) << 8 | body[k + 3]] = {}
     for p in out.programs:
-        at = np.flatnonzero((pid == p) & begins & holds)
-        bodies, bad = parse_section(rows[at], start[at], 2)
+        at = np.flatnonzero((pid == p) & holds)
+        bodies, bad = parse_sections(rows[at], start[at], begins[at], 2)
         out.bad_tables += bad
         for body in bodies:
             k = 4 + ((body[2] & 15) << 8 | body[3])
