@@ -1,4 +1,4 @@
-"""Operators that SQL can express, beside it; the pipeline on a small fixture; empty tables."""
+"""Operators that SQL can express, beside it; the pipeline on a small fixture."""
 
 import os
 
@@ -62,12 +62,12 @@ def test_pipeline(spark):
     import corpus_pipeline as c
 
     from thicket.llm import op1_surrogates, op6_decisions, op10_bpe
-    from thicket.llm.common import cut, table
+    from thicket.llm.common import Tables, table
 
     docs, kept = table(spark, SF, "documents"), []
     start = docs
     for _, stage in c.STAGES[:-1]:
-        docs = cut(stage(spark, docs, SF))
+        docs = Tables(spark).cut(stage(spark, docs, SF))
         assert docs.columns == start.columns
         kept.append(docs)
     rules = op6_decisions.fit(start, table(spark, SF, "labels"))
@@ -76,7 +76,7 @@ def test_pipeline(spark):
     made = op1_surrogates.Surrogates()
     assert {r.doc_id: r.text for r in kept[2].collect()} == {r.doc_id: op1_surrogates.rewritten(r.text, made)[0] for r in kept[1].collect()}
     out = c.STAGES[-1][1](spark, docs, SF).collect()
-    bpe = op10_bpe.Bpe(op10_bpe.vocabulary())
+    bpe = op10_bpe.Bpe(open(op10_bpe.vocabulary(), encoding="utf-8").read())
     assert sorted((r.doc_id, r.n_tokens) for r in out) == sorted((r.doc_id, len(bpe.encode(r.text))) for r in docs.collect())
 
 

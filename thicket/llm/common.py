@@ -31,18 +31,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, below a local one."""
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local folder serves a local session; a cluster has no such folder, so that is an error."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         top = f"file://{tempfile.gettempdir()}/checkpoints"
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Tables:
+    """Intermediate tables in the shared folder. Lineage ends at each: a lost executor costs no recomputation of what came before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top, self.held = spark, shared_dir(spark), {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write df and read it back."""
+        path = f"{self.top}/{len(self.held)}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.held[path] = out
+        return out
+
+    def free(self, *keep: DataFrame) -> None:
+        """Delete the tables but those to keep, which what is still to be run reads."""
+        for path, df in list(self.held.items()):
+            if not any(df is k for k in keep):
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                self.held[path] = None
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores as tell it from all columns."""
+    lower = [c.lower() for c in columns]
+    while name.lower() in lower:
+        name += "_"
+    return name
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Tables
 
-#: Each round at least halves the longest path to a least node, so this many settle any graph that fits on disk.
+#: Each round at least halves the longest path to a least node, so this many settle any graph that fits on disk; one that they don't is an error.
 ROUNDS = 60
 
 
@@ -22,14 +22,16 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("v <> m").selectExpr("v as u", "m as v").unionByName(low.selectExpr("u", "m as v")).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node, component (least node of its component) for every node of links (a, b)."""
-    edges = cut(links.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct())
+def components(links: DataFrame, tables: Tables) -> DataFrame:
+    """node, component (least node of its component) for every node of links (a, b). Equal links count once, a link of a node with itself not at all; without links there are no rows."""
+    edges = tables.cut(links.where("a <> b").selectExpr("greatest(a, b) as u", "least(a, b) as v").distinct())
     seen = None
     for _ in range(ROUNDS):
-        edges = cut(star(star(edges, True), False))
+        edges = tables.cut(star(star(edges, True), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError(f"components have not settled in {ROUNDS} rounds")
     return edges.selectExpr("u as node", "v as component").unionByName(edges.selectExpr("v as node", "v as component")).distinct()

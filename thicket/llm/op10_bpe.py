@@ -1,10 +1,14 @@
 """BPE encoding and decoding by a contiguous rank array.
 
-A word's parts are held as boundaries beside the rank of each adjacent pair. The array is scanned for its least rank, the boundary there is
-deleted, and the two ranks around it are looked up again. Above LONG bytes that scan would be quadratic, so long words use a heap over a linked
+A word's parts are held in one list, as the tokens between its boundaries, beside the list of the ranks of adjacent pairs. That is scanned for its least
+rank, the boundary there is deleted, and the two ranks around it are looked up again. Above LONG bytes that scan would be quadratic, so long words use a heap over a linked
 list, which merges in the same order. Words come from the usual byte-level pattern; special tokens of the vocabulary file are split off first.
 
-Nulls count as the empty text, whose tokens are none. Rows stay as they are: repeated rows give repeated results, an empty table an empty one.
+The vocabulary file is read where the query is made and broadcast (some 2 MB, a size that the corpus does not change); a file of another kind than
+byte-level BPE without a normaliser is refused.
+
+Nulls count as the empty text, whose tokens are none; a null doc_id stays null. Rows stay as they are: repeated rows give repeated results, an empty
+table an empty one. Texts are encoded whole, some 200 bytes of memory a token. Columns other than doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from itertools import chain
 
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import lines, prepare, table, texts
@@ -43,9 +48,15 @@ def byte_chars() -> dict[int, str]:
 
 
 class Bpe:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, source: str):
+        """source: the text of a vocabulary file."""
+        spec = json.loads(source)
+        model, split = spec["model"], spec["pre_tokenizer"] or {}
+        plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or not plain:
+            raise ValueError("only byte-level BPE with its own pattern and without a normaliser")
+        if any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("added tokens are to be taken as they are")
         byte = {c: b for b, c in byte_chars().items()}
         raw = lambda s: bytes(byte[c] for c in s)
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -128,16 +139,21 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def model(path: str) -> Bpe:
-    return Bpe(path)
+def model(source: str) -> Bpe:
+    return Bpe(source)
+
+
+def shared(spark: SparkSession, path: str) -> Broadcast:
+    with open(path, encoding="utf-8") as f:
+        return prepare(spark).sparkContext.broadcast(f.read())
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def digests(path: str, schema: pa.Schema = SCHEMA) -> Callable:
+def digests(source: Broadcast) -> Callable:
     def fn(batch: pa.RecordBatch) -> list:
-        bpe, n, ids_sha, text_sha = model(path), [], [], []
+        bpe, n, ids_sha, text_sha = model(source.value), [], [], []
         for raw in texts(batch):
             ids = bpe.encode(raw.decode("utf-8", "replace"))
             n.append(len(ids))
@@ -145,29 +161,27 @@ def digests(path: str, schema: pa.Schema = SCHEMA) -> Callable:
             text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
         return [batch.column("doc_id"), n, ids_sha, text_sha]
 
-    return lambda it: lines(it, fn, schema)
+    return lambda it: lines(it, fn, SCHEMA)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids (array of int): the operator itself."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    fn = lambda b: [b.column("doc_id"), [model(path).encode(t.decode("utf-8", "replace")) for t in texts(b)]]
-    prepare(docs.sparkSession)
+    schema, source = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))]), shared(docs.sparkSession, path)
+    fn = lambda b: [b.column("doc_id"), [model(source.value).encode(t.decode("utf-8", "replace")) for t in texts(b)]]
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lambda it: lines(it, fn, schema), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-    fn = lambda b: [b.column("doc_id"), [model(path).decode(x or []) for x in b.column("ids").to_pylist()]]
-    prepare(rows.sparkSession)
+    schema, source = pa.schema([("doc_id", pa.int64()), ("text", pa.string())]), shared(rows.sparkSession, path)
+    fn = lambda b: [b.column("doc_id"), [model(source.value).decode(x or []) for x in b.column("ids").to_pylist()]]
     return rows.select("doc_id", "ids").mapInArrow(lambda it: lines(it, fn, schema), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """The digests of what each text encodes to and of what that decodes to."""
-    prepare(docs.sparkSession)
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(digests(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    source = shared(docs.sparkSession, path)
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(digests(source), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def vocabulary() -> str:

@@ -3,7 +3,8 @@
 A term counts where neither neighbour is an ASCII letter or digit, anywhere in the url, A-Z lower-cased. One strict term rejects; so do several
 distinct soft terms of enough weight together. Rules on hosts and paths go before the vocabulary: the longest that fits decides.
 
-A null url, or one without `://`, has an empty host and path; its text, if any, is still searched. Empty tables give empty tables.
+A null url, or one without `://`, has an empty host and path; its text, if any, is still searched, whole. A null page_id stays null; repeated rows get
+repeated verdicts. Empty tables give empty tables. Columns other than page_id and url are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -73,9 +74,24 @@ def hits(automaton: ahocorasick.Automaton, text: str) -> tuple[set[str], set[str
     return strict, soft, weight
 
 
-def ruled(host: str, path: str, rules: Iterable[tuple[str, str, str]]) -> tuple[str | None, str | None]:
-    fits = [(len(h) + len(p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return max(fits)[1:] if fits else (None, None)
+class Rules:
+    """Rules by host and path: a url costs a lookup for each label of its host and each length of path there, however many rules there are."""
+
+    def __init__(self, rules: Iterable[tuple[str, str, str]]):
+        self.of: dict[str, dict[int, dict[str, str]]] = {}
+        for host, path, verdict in rules:
+            self.of.setdefault(host, {}).setdefault(len(path), {})[path] = verdict
+
+    def find(self, host: str, path: str) -> tuple[str | None, str | None]:
+        """The longest rule that fits, host and path together, and its verdict; of two as long, the later in order of their letters."""
+        best = (0, None, None)
+        while True:
+            for n, own in self.of.get(host, {}).items():
+                if (verdict := own.get(path[:n])) is not None:
+                    best = max(best, (len(host) + n, host + path[:n], verdict)) if best[1] else (len(host) + n, host + path[:n], verdict)
+            _, dot, host = host.partition(".")
+            if not dot:
+                return best[1:]
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("rule", pa.string()), ("verdict", pa.string()), ("n_strict", pa.int64()), ("n_soft", pa.int64()), ("soft_weight", pa.int64())])
@@ -86,14 +102,14 @@ def judge(pages: DataFrame, vocabulary: Vocabulary = Vocabulary(), rules: tuple[
     prepare(pages.sparkSession)
 
     def run(it):
-        automaton = vocabulary.automaton()
+        automaton, known = vocabulary.automaton(), Rules(rules)
 
         def fn(batch: pa.RecordBatch) -> list:
             cols: list[list] = [[] for _ in range(7)]
             for url in batch.column("url").to_pylist():
                 host, path = parts(url or "")
                 strict, soft, weight = hits(automaton, lower(url or ""))
-                rule, verdict = ruled(host, path, rules)
+                rule, verdict = known.find(host, path)
                 if verdict is None:
                     verdict = "block" if strict or (len(soft) >= vocabulary.terms and weight >= vocabulary.weight) else "allow"
                 for c, v in zip(cols, (host, path, rule, verdict, len(strict), len(soft), weight), strict=True):

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import Tables, table
 
 NAME = "op3_hierarchical_budgets"
 DOMAIN = "CASE WHEN right(source, 1) IN ('0', '2', '4', '6', '8') THEN 'web' WHEN right(source, 1) IN ('1', '3', '5') THEN 'books' ELSE 'code' END"
@@ -68,11 +68,11 @@ def with_leaf(docs: DataFrame, domain: str = DOMAIN) -> DataFrame:
     return df.selectExpr("doc_id", f"{domain} as domain", "lang", "source", r"cast(coalesce(regexp_count(text, '[^ \\t-\\r]+'), 0) as bigint) as n_tokens")
 
 
-def plan(light: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, weights: dict = WEIGHTS) -> DataFrame:
+def plan(light: DataFrame, tables: Tables, percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED, weights: dict = WEIGHTS) -> DataFrame:
     """For each leaf: tokens, budget, epochs (whole ones), last (the place up to which the next epoch is taken, -1: none)."""
     leaves = light.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
-    state = cut(budgets(leaves, percent, epochs, weights).selectExpr("*", "if(tokens > 0, budget div tokens, 0) as epochs", "if(tokens > 0, budget % tokens, 0) as need"))
-    placed = cut(light.join(state.where("need > 0").select(*LEAF, "epochs"), LEAF).select(*LEAF, "n_tokens", F.expr(f"{place(seed)} as place")))
+    state = tables.cut(budgets(leaves, percent, epochs, weights).selectExpr("*", "if(tokens > 0, budget div tokens, 0) as epochs", "if(tokens > 0, budget % tokens, 0) as need"))
+    placed = tables.cut(light.join(state.where("need > 0").select(*LEAF, "epochs"), LEAF).select(*LEAF, "n_tokens", F.expr(f"{place(seed)} as place")))
     # path: the leading bits of the bucket where the budget ends
     now = state.where("need > 0").selectExpr(*LEAF, "need", "0L as path")
     for level in range(1, LEVELS + 1):
@@ -81,12 +81,13 @@ def plan(light: DataFrame, percent: int = PERCENT, epochs: int = EPOCHS, seed: i
         sums = inside.groupBy(*LEAF, "need", F.expr(f"shiftright(place, {shift}) as path")).agg(F.sum("n_tokens").alias("t"))
         upto = sums.selectExpr("*", f"sum(t) over (partition by {', '.join(LEAF)} order by path) as upto")
         best = upto.where("upto > need").groupBy(*LEAF).agg(F.expr("min(struct(path, need - (upto - t) as need)) as x"))
-        now = cut(best.selectExpr(*LEAF, "x.need", "x.path"))
+        now = tables.cut(best.selectExpr(*LEAF, "x.need", "x.path"))
     inside = placed.join(now, LEAF).where(f"shiftright(place, {shift}) = path")
     sums = inside.groupBy(*LEAF, "need", "place").agg(F.sum("n_tokens").alias("t"))
     upto = sums.selectExpr("*", f"sum(t) over (partition by {', '.join(LEAF)} order by place) as upto")
     # the place before the first one that does not fit
-    last = cut(upto.where("upto > need").groupBy(*LEAF).agg(F.expr("min(place) - 1 as last")))
+    last = tables.cut(upto.where("upto > need").groupBy(*LEAF).agg(F.expr("min(place) - 1 as last")))
+    tables.free(light, state, last)
     return state.join(last, LEAF, "left").selectExpr(*LEAF, "tokens", "budget", "epochs", "if(need > 0, last, -1L) as last")
 
 
@@ -96,14 +97,16 @@ def copies() -> str:
 
 def select(docs: DataFrame) -> DataFrame:
     """doc_id, the leaf, n_tokens, copies (how often the mixture takes it), leaf_tokens, leaf_budget; documents that are taken at least once."""
-    light = cut(with_leaf(docs))
-    chosen = light.join(plan(light), LEAF).withColumn("copies", F.expr(copies()))
+    tables = Tables(docs.sparkSession)
+    light = tables.cut(with_leaf(docs))
+    chosen = light.join(plan(light, tables), LEAF).withColumn("copies", F.expr(copies()))
     return chosen.where("copies > 0").selectExpr("doc_id", *LEAF, "n_tokens", "copies", "tokens as leaf_tokens", "budget as leaf_budget")
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """The mixture: rows of docs, each as often as its leaf's epochs take it."""
-    leaves = plan(cut(with_leaf(docs)))
+def mix(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """The mixture: rows of docs, each as often as its leaf's epochs take it. The small tables that the result reads stay in `tables`, for the caller to free."""
+    tables = tables or Tables(docs.sparkSession)
+    leaves = plan(tables.cut(with_leaf(docs)), tables)
     at = {c: f"own.`{c}`" for c in docs.columns}
     df = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"))
     df = df.selectExpr("own", "cast(own.doc_id as bigint) as doc_id", "coalesce(cast(own.lang as string), '') as lang", "coalesce(cast(own.source as string), '') as source")

@@ -3,9 +3,12 @@
 mux() writes a payload as one program: a program association table, a program map table, and one elementary stream of access units in packetised
 form, each with a timestamp; every GROUP-th unit starts with a clock reference and the random-access flag, behind fresh tables. demux() takes any
 transport stream: it finds packet sync, parses the tables (with their CRC), checks continuity counters, drops repeated packets, reassembles
-elementary packets, and returns the units with timestamps and random-access points. Damage is counted, not raised.
+elementary packets, and returns the units with timestamps and random-access points. Damage is counted, never raised: a unit that has lost bytes, by its
+counters or by the length that it states, is marked as not complete. (Lost packets that no counter and no length betrays, such as whole units with
+sixteen packets, only show in the timestamps.)
 
-Null and empty texts are an empty text: 64 zero bytes. Equal texts give equal streams. Empty tables give empty tables.
+Null and empty texts are an empty text: 64 zero bytes. A null doc_id stays null. Equal texts, repeated rows too, give equal streams. Empty tables give
+empty tables. A task holds a few copies of one whole text and its stream. Columns other than doc_id and text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import hashlib
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -92,14 +96,22 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
+class Unit(NamedTuple):
+    pid: int
+    pts: int | None
+    random_access: bool
+    data: bytes
+    complete: bool
+
+
 @dataclass
 class Stream:
     programs: dict[int, dict[int, int]] = field(default_factory=dict)  # PMT PID: {elementary PID: stream type}
-    units: list[tuple[int, int | None, bool, bytes]] = field(default_factory=list)  # PID, timestamp, random access, data
+    units: list[Unit] = field(default_factory=list)
     packets: int = 0
     lost_sync: int = 0
     bad_tables: int = 0
-    gaps: int = 0
+    gaps: int = 0  # jumps of a counter, payloads without a beginning, and beginnings that are none
     repeats: int = 0
 
 
@@ -171,6 +183,7 @@ def demux(media: bytes) -> Stream:
     begins, adapt, holds = rows[:, 1] & 0x40 > 0, rows[:, 3] & 0x20 > 0, rows[:, 3] & 0x10 > 0
     start = np.minimum(np.where(adapt, 5 + rows[:, 4].astype(np.int32), 4), SIZE)
     key = adapt & (rows[:, 4] > 0) & (rows[:, 5] & 0x40 > 0)
+    told = adapt & (rows[:, 4] > 0) & (rows[:, 5] & 0x80 > 0)  # counters may jump here
     at = np.flatnonzero((pid == PAT_PID) & holds)
     bodies, out.bad_tables = parse_sections(rows[at], start[at], begins[at], 0)
     for body in bodies:
@@ -182,6 +195,9 @@ def demux(media: bytes) -> Stream:
         bodies, bad = parse_sections(rows[at], start[at], begins[at], 2)
         out.bad_tables += bad
         for body in bodies:
+            if len(body) < 4:
+                out.bad_tables += 1
+                continue
             k = 4 + ((body[2] & 15) << 8 | body[3])
             while k + 5 <= len(body):
                 out.programs[p][(body[k + 1] & 0x1F) << 8 | body[k + 2]] = body[k]
@@ -195,14 +211,16 @@ def demux(media: bytes) -> Stream:
         again[1:] = (count[1:] == count[:-1]) & (rows[at[1:], 4:] == rows[at[:-1], 4:]).all(axis=1)
         out.repeats += int(again.sum())
         at, count = at[~again], count[~again]
-        jump = (np.diff(count) & 15) != 1
+        jump = np.zeros(len(at), dtype=bool)
+        jump[1:] = ((np.diff(count) & 15) != 1) & ~told[at[1:]]
         out.gaps += int(jump.sum())
         data = rows[at][np.arange(SIZE) >= start[at, None]]
         ends = np.cumsum(SIZE - start[at])
         heads = np.flatnonzero(begins[at])
+        out.gaps += int(not len(heads) or heads[0] > 0)
         for i, h in enumerate(heads):
-            a, b = int(ends[h] - (SIZE - start[at[h]])), int(ends[heads[i + 1] - 1] if i + 1 < len(heads) else ends[-1])
-            pes = data[a:b].tobytes()
+            after = int(heads[i + 1]) if i + 1 < len(heads) else len(at)
+            pes = data[int(ends[h] - (SIZE - start[at[h]])) : int(ends[after - 1])].tobytes()
             if pes[:3] != b"\0\0\1" or len(pes) < 9:
                 out.gaps += 1
                 continue
@@ -210,7 +228,8 @@ def demux(media: bytes) -> Stream:
             if pes[7] & 0x80 and len(pes) >= 14:
                 t = pes[9:14]
                 pts = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
-            out.units.append((p, pts, bool(key[at[h]]), pes[skip : 6 + size] if size else pes[skip:]))
+            whole = not jump[h + 1 : after].any() and (len(pes) == 6 + size if size else not jump[after : after + 1].any())
+            out.units.append(Unit(p, pts, bool(key[at[h]]), pes[skip : 6 + size] if size else pes[skip:], whole))
     return out
 
 
@@ -219,7 +238,8 @@ def padded(raw: bytes) -> bytes:
 
 
 MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-UNITS = "array<struct<pid: int, pts: bigint, random_access: boolean, size: int>>"
+UNIT_ROW = pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("random_access", pa.bool_()), ("size", pa.int32()), ("complete", pa.bool_())])
+UNITS = "array<struct<pid: int, pts: bigint, random_access: boolean, size: int, complete: boolean>>"
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -229,36 +249,41 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(lambda it: lines(it, fn, MEDIA), "doc_id long, n_bytes long, media binary")
 
 
+def unit_rows(s: Stream) -> list[dict]:
+    return [{"pid": u.pid, "pts": u.pts, "random_access": u.random_access, "size": len(u.data), "complete": u.complete} for u in s.units]
+
+
 def read(media: DataFrame) -> DataFrame:
     """doc_id, payload, units (timestamps and random-access points), gaps, bad_tables, lost_sync from doc_id, media; null media: no packets."""
-    unit = pa.struct([("pid", pa.int32()), ("pts", pa.int64()), ("random_access", pa.bool_()), ("size", pa.int32())])
-    schema = pa.schema([("doc_id", pa.int64()), ("payload", pa.binary()), ("units", pa.list_(unit)), ("gaps", pa.int64()), ("bad_tables", pa.int64()), ("lost_sync", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("payload", pa.binary()), ("units", pa.list_(UNIT_ROW)), ("gaps", pa.int64()), ("bad_tables", pa.int64()), ("lost_sync", pa.int64())])
 
     def fn(b: pa.RecordBatch) -> list:
         s = [demux(x) for x in texts(b, "media")]
-        units = [[{"pid": p, "pts": t, "random_access": r, "size": len(d)} for p, t, r, d in x.units] for x in s]
-        return [b.column("doc_id"), [b"".join(u[3] for u in x.units) for x in s], units, [x.gaps for x in s], [x.bad_tables for x in s], [x.lost_sync for x in s]]
+        return [b.column("doc_id"), [b"".join(u.data for u in x.units) for x in s], [unit_rows(x) for x in s], [x.gaps for x in s], [x.bad_tables for x in s], [x.lost_sync for x in s]]
 
     prepare(media.sparkSession)
     return media.select("doc_id", "media").mapInArrow(lambda it: lines(it, fn, schema), f"doc_id long, payload binary, units {UNITS}, gaps long, bad_tables long, lost_sync long")
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("units", pa.list_(UNIT_ROW))])
+
+
+def feature(s: Stream, payload: bytes) -> str:
+    x, stamps = np.frombuffer(payload, np.uint8).astype(np.int64), [u.pts for u in s.units if u.pts is not None]
+    span = f"{stamps[0]}-{stamps[-1]}" if stamps else "none"
+    return f"units={len(s.units)};random_access={sum(u.random_access for u in s.units)};pts={span};packets={s.packets};gaps={s.gaps};bad_tables={s.bad_tables};sum={x.sum()};energy={(x * x).sum()}"
 
 
 def digest(batch: pa.RecordBatch) -> list:
-    cols: list[list] = [[] for _ in range(6)]
+    cols: list[list] = [[] for _ in range(7)]
     for media in texts(batch, "media"):
         s = demux(media)
-        payload = b"".join(u[3] for u in s.units)
-        x = np.frombuffer(payload, np.uint8).astype(np.int64)
-        stamps = [u[1] for u in s.units]
-        feature = f"units={len(s.units)};random_access={sum(u[2] for u in s.units)};pts={stamps[0]}-{stamps[-1]};packets={s.packets};gaps={s.gaps};bad_tables={s.bad_tables};sum={x.sum()};energy={(x * x).sum()}"
-        for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
+        payload = b"".join(u.data for u in s.units)
+        for c, v in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(s, payload), unit_rows(s)), strict=True):
             c.append(v)
     return [batch.column("doc_id"), batch.column("n_bytes"), *cols]
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    out = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, units {UNITS}"
     return store(table(spark, sf_dir, "documents")).mapInArrow(lambda it: lines(it, digest, DIGEST), out)

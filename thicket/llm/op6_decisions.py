@@ -4,8 +4,8 @@ measure() gives every text whole-text statistics. fit() learns an ordered list o
 grows on two thirds of the labelled rows by information gain, is pruned on the last third, and is kept while it is precise on rows it has not grown
 on; the rows it covers then leave. case_sql() turns the list into one Spark conditional expression, which is all that judges documents.
 
-The fit reads at most SAMPLE labelled rows (those with the least hash of their doc_id); statistics cover all rows. Null text is empty: it has no words
-and fails the base rule. Null labels and labels of unknown documents teach nothing; without labels of both classes the list is empty and keeps all
+The fit reads at most SAMPLE labelled rows (those with the least hash of their doc_id); statistics cover all rows. Texts are measured whole, some 100
+bytes of memory a word. Null text is empty: it has no words and fails the base rule. Null labels and labels of unknown documents teach nothing; without labels of both classes the list is empty and keeps all
 that the base rule keeps. Repeated rows are judged alike; an empty table gives an empty one; other columns pass through with_stats() unharmed.
 """
 
@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, table, texts
-from .wordhash import SPACE, Chunk, U, mix, windows
+from .common import prepare, table, unused
+from .wordhash import CHUNK, Chunk, numbered
 
 NAME = "op6_decision_list"
 #: Labelled rows that a fit reads at most, thresholds tried for each statistic, rules at most.
@@ -46,49 +46,53 @@ FEATURES = {
 }
 
 
-def flags(chars: bytes) -> np.ndarray:
-    out = np.zeros(256, dtype=bool)
-    out[list(chars)] = True
-    return out
+#: Bytes that a text's counts leave out: what remains is counted. Words keep one byte of each code point.
+UPPER, LOWER, DIGITS = (bytes(range(a, b + 1)) for a, b in (b"AZ", b"az", b"09"))
+KINDS = {"word_chars": b" \t\n\v\f\r" + bytes(range(0x80, 0xC0)), "n_symbols": SYMBOLS, "n_upper": UPPER, "n_letters": UPPER + LOWER, "n_digits": DIGITS, "n_bangs": b"!"}
 
 
-UPPER, LETTER = flags(bytes(range(65, 91))), flags(bytes([*range(65, 91), *range(97, 123)]))
-KINDS = {"word_chars": None, "n_symbols": flags(SYMBOLS), "n_upper": UPPER, "n_letters": LETTER, "n_digits": flags(b"0123456789"), "n_bangs": flags(b"!")}
-FIRST_BYTE = ~SPACE & ((np.arange(256) & 0xC0) != 0x80)
+def counted(texts: list[bytes]) -> dict[str, list[int]]:
+    """Bytes of each kind, by deleting them (word_chars: all others)."""
+    left = {k: [len(t.translate(None, x)) for t in texts] for k, x in KINDS.items()}
+    return {k: n if k == "word_chars" else [len(t) - m for t, m in zip(texts, n, strict=True)] for k, n in left.items()}
 
 
 def measure(raw: list[bytes]) -> dict[str, np.ndarray]:
-    """COUNTS for each text."""
+    """COUNTS for each text; words and windows are told apart exactly, by their codes."""
+    parts, i = [], 0
+    while i < len(raw) or not parts:
+        j, held = i, 0
+        while j < len(raw) and (j == i or held + len(raw[j]) <= CHUNK):
+            held += len(raw[j])
+            j += 1
+        parts.append(measured(raw[i:j]))
+        i = j
+    return {k: np.concatenate([p[k] for p in parts]) for k in COUNTS}
+
+
+def measured(raw: list[bytes]) -> dict[str, np.ndarray]:
     c = Chunk([0] * len(raw), raw)
-    at = np.cumsum([0, *(len(x) + 1 for x in raw)])
-    out = {"n_words": c.hi - c.lo}
-    for name, kind in KINDS.items():
-        total = np.concatenate([[0], np.cumsum((FIRST_BYTE if kind is None else kind)[c.buf], dtype=np.int64)])
-        total = np.pad(total, (0, max(0, at[-1] + 1 - len(total))), mode="edge")
-        out[name] = total[at[1:] - 1] - total[at[:-1]]
-    salt = mix(c.doc.astype(U) + U(1))
-    own = np.unique(c.hash ^ salt, return_index=True)[1]
-    out["n_distinct_words"] = np.bincount(c.doc[own], minlength=len(raw))
+    out = {k: np.array(v, dtype=np.int64) for k, v in counted(raw).items()} | {"n_words": c.hi - c.lo}
+    out["n_distinct_words"] = np.bincount(np.unique(c.doc << 32 | c.code) >> 32, minlength=len(raw))
     start = np.flatnonzero(c.inside(3)) if len(c.doc) else np.empty(0, np.int64)
-    key, where, count = np.unique(windows(c.hash, 3)[start] ^ salt[start], return_inverse=True, return_counts=True)
-    twice = start[count[where] > 1] if len(key) else start
+    pair = numbered(c.code[:-1] << 32 | c.code[1:])
+    window = numbered(pair[start] << 32 | c.code[start + 2]) if len(start) else start
+    _, where, count = np.unique(c.doc[start] << 32 | window, return_inverse=True, return_counts=True)
+    twice = start[count[where] > 1] if len(start) else start
     covered = np.zeros(len(c.doc) + 3, dtype=bool)
     for i in range(3):
         covered[twice + i] = True
     out["n_repeat_words"] = np.bincount(c.doc[covered[: len(c.doc)]], minlength=len(raw))
     spoken = [[x for x in t.split(b"\n") if x.strip()] for t in raw]
-    out["n_lines"] = np.array([len(x) for x in spoken])
-    out["n_dup_lines"] = np.array([len(x) - len(set(x)) for x in spoken])
+    out["n_lines"] = np.array([len(x) for x in spoken], dtype=np.int64)
+    out["n_dup_lines"] = np.array([len(x) - len(set(x)) for x in spoken], dtype=np.int64)
     return {k: out[k] for k in COUNTS}
 
 
 def with_stats(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with a struct of COUNTS, under a name that no column has."""
     prepare(docs.sparkSession)
-    name, at = "stats", [c.lower() for c in docs.columns]
-    while name in at:
-        name += "_"
-    place = at.index("text")
+    name, place = unused("stats", docs.columns), [c.lower() for c in docs.columns].index("text")
 
     def run(it):
         for batch in it:
@@ -103,9 +107,9 @@ def with_stats(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, sample: int, where: str = "true") -> DataFrame:
-    """At most sample documents with their label; the labels' side is broadcast, which the bound allows."""
+    """Documents with their label, from at most sample labels; the labels' side is broadcast, which the bound allows. Repeated documents may give more rows."""
     some = labels.where(f"{column} is not null and doc_id is not null and {where}").selectExpr("doc_id", f"cast({column} as int) as label")
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    some = some.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     return docs.join(F.broadcast(some), "doc_id")
 
 
@@ -189,8 +193,9 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, order: np.ndarray) -> list[
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[list[Condition]]:
     some, name = with_stats(labelled(docs.selectExpr("doc_id", "text"), labels, "quality", sample))
-    rows = some.select("doc_id", "label", f"{name}.*").selectExpr("doc_id", "label", *(f"{sql} as {f}" for f, sql in FEATURES.items())).toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    rows = some.select("doc_id", "label", f"{name}.*").selectExpr("doc_id", "label", *(f"{sql} as {f}" for f, sql in FEATURES.items())).distinct()
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label", *FEATURES).limit(sample).toArrow()  # a doc_id of many texts gives no more than sample rows
+    rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "label", *FEATURES)])
     x = {f: rows.column(f).to_numpy().astype(float) for f in FEATURES}
     bad = rows.column("label").to_numpy() == 0
     return learn(x, bad, np.arange(len(bad)))
@@ -204,9 +209,7 @@ def case_sql(rules: list[list[Condition]]) -> str:
 def judge(docs: DataFrame, rules: list[list[Condition]]) -> DataFrame:
     """docs, COUNTS, base_failed, kept, as columns of a struct named verdict (or verdict_, ...) behind docs' own."""
     df, name = with_stats(docs)
-    flat = "verdict"
-    while flat in [c.lower() for c in docs.columns]:
-        flat += "_"
+    flat = unused("verdict", docs.columns)
     within = lambda sql: F.expr(re.sub(r"\b(" + "|".join(COUNTS) + r")\b", rf"`{name}`.\1", sql))
     parts = [F.col(f"`{name}`.{c}").alias(c) for c in COUNTS]
     base = within(BASE)

@@ -4,9 +4,10 @@ A text becomes a sparse row: its words hashed to WORDS places, weighted by log c
 metadata (recorded and measured length), standardised. The score is the logistic of w0 + sum w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j, where the
 pairwise part is half of the sum over factors of (sum v_i x_i)^2 - sum v_i^2 x_i^2, linear in the words of the text.
 
-The fit runs on the driver over at most SAMPLE labelled rows; label, language, source and id are no inputs. Null text is empty and is scored by its
+The fit runs on the driver over at most SAMPLE labelled rows, which come hashed; label, language, source and id are no inputs. Null text is empty and is scored by its
 statistics; a null or missing n_chars counts as 0. Rows with a null doc_id are scored, and never learnt from. Without labels of both classes every
-score is the share of label 1 (0.5 if none). Repeated rows score alike; an empty table gives an empty one.
+score is the share of label 1 (0.5 if none). Repeated rows score alike; an empty table gives an empty one. Texts are hashed whole, some 100 bytes of
+memory a word. Columns other than doc_id, text and n_chars are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import prepare, table, texts
 from .op6_decisions import labelled, measure
@@ -75,24 +77,22 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(raw: list[bytes], n_chars: np.ndarray, y: np.ndarray) -> Machine:
-    """Stochastic gradients with per-weight rates, on log loss."""
+def train(row: np.ndarray, place: np.ndarray, x: np.ndarray, stats: np.ndarray, y: np.ndarray) -> Machine:
+    """Stochastic gradients with per-weight rates, on log loss. Words come as hashed() has them, statistics as numbers()."""
     rng = np.random.default_rng(SEED)
     share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-    stats = numbers(raw, n_chars) if raw else np.zeros((0, len(STATS)))
     mean, scale = (stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-6)) if len(y) else (np.zeros(len(STATS)), np.ones(len(STATS)))
     size = WORDS + len(STATS)
     m = Machine(float(np.log(share / (1 - share))), np.zeros(size), np.zeros((size, FACTORS)), mean, scale)
     if len(set(y.tolist())) < 2:
         return m
     m.v = rng.normal(0, 0.02, (size, FACTORS))
-    row, place, x = hashed(raw)
-    at, z = np.searchsorted(row, np.arange(len(raw) + 1)), m.standard(stats)
+    at, z = np.searchsorted(row, np.arange(len(y) + 1)), m.standard(stats)
     seen_w, seen_v = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6)
     tail = np.arange(WORDS, size)
     for _ in range(PASSES):
-        order = rng.permutation(len(raw))
-        for k in range(0, len(raw), BATCH):
+        order = rng.permutation(len(y))
+        for k in range(0, len(y), BATCH):
             pick = order[k : k + BATCH]
             take = np.concatenate([np.arange(at[i], at[i + 1]) for i in pick])
             r = np.repeat(np.arange(len(pick)), at[pick + 1] - at[pick])
@@ -121,11 +121,28 @@ def inputs(docs: DataFrame) -> DataFrame:
 HELD = "crc32(cast(doc_id as string)) % 4 = 2"
 
 
+def described(it):
+    """doc_id, label and the sparse row of each document."""
+    for batch in it:
+        if batch.num_rows:
+            raw = texts(batch)
+            row, place, x = hashed(raw)
+            at = pa.array(np.searchsorted(row, np.arange(len(raw) + 1)).astype(np.int32))
+            stats = numbers(raw, batch.column("n_chars").to_numpy(zero_copy_only=False).astype(float))
+            lists = [pa.ListArray.from_arrays(at, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(at, pa.array(x)), pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), len(STATS)).cast(pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], names=["doc_id", "label", "place", "x", "stats"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Learn from rows that are not held out."""
-    rows = labelled(inputs(docs), labels, "quality", sample, where=f"not ({HELD})").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
-    raw = [x or b"" for x in rows.column("text").cast(pa.binary()).to_pylist()]
-    return train(raw, rows.column("n_chars").to_numpy().astype(float), (rows.column("label").to_numpy() == 1).astype(float))
+    """Learn from rows that are not held out. Texts are hashed where they are; the driver gets at most WORDS numbers for each of the sample rows."""
+    prepare(docs.sparkSession)
+    rows = labelled(inputs(docs), labels, "quality", sample, where=f"not ({HELD})").mapInArrow(described, "doc_id long, label int, place array<int>, x array<double>, stats array<double>")
+    key = ["doc_id", "label", "place", "x", "stats"]
+    own = rows.orderBy(F.xxhash64("doc_id"), *key).limit(sample).orderBy(*key).toArrow()  # a doc_id of many texts gives no more than sample rows
+    flat = lambda c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in own.column(c).chunks] or [np.empty(0)])
+    size = own.column("place").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if own.num_rows else np.empty(0, np.int64)
+    y = (own.column("label").to_numpy() == 1).astype(float)
+    return train(np.repeat(np.arange(len(y)), size), flat("place").astype(np.int64), flat("x"), flat("stats").reshape(-1, len(STATS)), y)
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])

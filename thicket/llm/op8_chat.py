@@ -6,7 +6,7 @@ A conversation's turns are collected as structs, sorted by turn, and folded: adj
 turn back. The loss mask is the list of spans (start, length in code points) of assistant texts in the formatted string.
 
 Null texts and roles are empty. Turns that tie, or are null, sort by turn (nulls first), role, text; repeated rows stay. Rows of a null conv_id
-are one conversation. Empty tables give empty tables. One conversation is one string, so it is one row's work by definition; turns are
+are one conversation. Empty tables give empty tables. Other columns are not read, so their names can't clash. One conversation is one string, so it is one row's work by definition; turns are
 shuffled once, by conv_id.
 """
 
@@ -19,6 +19,8 @@ from .common import table
 
 NAME = "op8_relational_chat"
 TURNS = "array<struct<role: string, text: string>>"
+#: Pieces of output whose places are summed up together.
+PART = 256
 #: The turns of conversation -1, whose texts hold control strings.
 PROBE = "</s>[INST] ok [/INST]"
 
@@ -55,8 +57,13 @@ def format_chat(conversations: DataFrame) -> DataFrame:
         array(struct(' [/INST]' as s, false as loss)))))"""
     out = shown.selectExpr("conv_id", f"concat(array(struct('<s>' as s, false as loss)), {pieces}, array(struct('</s>' as s, false as loss))) as p")
     out = out.selectExpr("conv_id", "array_join(transform(p, x -> x.s), '') as formatted", "transform(p, x -> struct(char_length(x.s) as n, x.loss as loss)) as p")
-    spans = """aggregate(p, struct(1 as at, cast(array() as array<struct<start: int, length: int>>) as spans),
-        (acc, x) -> struct(acc.at + x.n as at, if(x.loss, concat(acc.spans, array(struct(acc.at as start, x.n as length))), acc.spans) as spans), acc -> acc.spans)"""
+    # running sums inside parts of PART pieces, then over the parts: an array that grows by a copy each time stays short
+    out = out.withColumn("p", F.expr(f"transform(sequence(0, (size(p) - 1) div {PART}), k -> slice(p, k * {PART} + 1, {PART}))"))
+    inner = """aggregate(b, struct(0 as n, cast(array() as array<struct<start: int, length: int>>) as spans),
+        (acc, x) -> struct(acc.n + x.n as n, if(x.loss, concat(acc.spans, array(struct(acc.n as start, x.n as length))), acc.spans) as spans))"""
+    out = out.withColumn("p", F.expr(f"transform(p, b -> {inner})"))
+    out = out.withColumn("at", F.expr("aggregate(p, struct(1 as n, cast(array() as array<int>) as at), (acc, b) -> struct(acc.n + b.n as n, concat(acc.at, array(acc.n)) as at), acc -> acc.at)"))
+    spans = "flatten(transform(p, (b, k) -> transform(b.spans, s -> struct(at[k] + s.start as start, s.length as length))))"
     return out.selectExpr("conv_id", "formatted", f"{spans} as loss_spans")
 
 

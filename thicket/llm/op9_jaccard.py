@@ -12,13 +12,17 @@ gives right results; it holds the FREQUENT most counted tokens, so what is broad
 before any text is fetched. For larger keys, all sets are first checked against the key's least document, and only pairs that are still in
 different components are looked at further: copies by the thousand cost a star, not all pairs.
 
-Equal sets are one set from the start. Null and empty texts have no tokens and link with nothing; a null doc_id links with nothing and gets a null
+Tokens are 64-bit hashes, which nominate pairs; whether two sets link is decided by their words. Sets whose 128-bit digests of tokens are equal are one
+from the start. A set of fewer words than a shingle never equals a longer one. A task holds the sets of two whole texts.
+
+Null and empty texts have no tokens and link with nothing; a null doc_id links with nothing and gets a null
 component. Rows with one doc_id are one document with several texts: their links unite. An empty table gives an empty one; other columns stay unread.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, prepare, table, texts
+from .common import Tables, prepare, table, texts
 from .components import components
-from .wordhash import Chunk, U, chunks, mix, windows, words
+from .wordhash import Chunk, Lexicon, U, chunks, lexicon, mix, windows
 
 NAME = "op9_token_combination_join"
 #: Tokens of the frequent class (512 KB to broadcast), the count from which a token is frequent, and its count in a chunk that is passed on always.
@@ -99,35 +103,50 @@ def described(it: Iterator[pa.RecordBatch], size: int, pct: int, frequent: np.nd
         yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=~c.known), pa.array([len(s) for s in own], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64()), pa.array(sig, pa.binary()), nested.cast(SETS.field("keys").type)], schema=SETS)
 
 
+def exact(raw: bytes, size: int, known: Lexicon) -> np.ndarray:
+    """The set as distinct runs of word codes, sorted: 4 bytes a word of each shingle, told apart by words and not by hashes."""
+    code = known.codes(raw.lower().split()).astype(np.int32)
+    n = min(len(code), size)
+    if not n:
+        return np.empty(0, dtype="V4")
+    return np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(code, n)).view(f"V{4 * n}").ravel())
+
+
+def link(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
+    if a.dtype != b.dtype:  # one has fewer words than a shingle
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= pct * (len(a) + len(b) - both)
+
+
+def compared(batch: pa.RecordBatch, size: int, pct: int) -> list[bool]:
+    """Which pairs of texts link. Rows that follow each other often have the same first text."""
+    known, last, first, out = lexicon(), None, None, []
+    for x, y in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
+        if x != last:
+            last, first = x, exact(x, size, known)
+        out.append(link(first, exact(y, size, known), pct))
+    return out
+
+
 def checked(it: Iterator[pa.RecordBatch], size: int, pct: int) -> Iterator[pa.RecordBatch]:
-    """Of pairs with their texts, those that link. Rows that follow each other often have the same first text."""
-    last, first = None, None
+    """Of pairs with their texts, those that link."""
     for batch in it:
-        a, b, out = texts(batch, "text_a"), texts(batch, "text_b"), []
-        for x, y in zip(a, b, strict=True):
-            if x != last:
-                last, first = x, shingles(words(np.frombuffer(x, np.uint8), lower=True)[0], size)
-            other = shingles(words(np.frombuffer(y, np.uint8), lower=True)[0], size)
-            both = len(np.intersect1d(first, other, assume_unique=True))
-            out.append(both > 0 and 100 * both >= pct * (len(first) + len(other) - both))
-        keep = pa.array(out, pa.bool_())
+        keep = pa.array(compared(batch, size, pct), pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
 
 def linked(it: Iterator[pa.RecordBatch], size: int, pct: int) -> Iterator[pa.RecordBatch]:
     """Of pairs with their texts, the digests of those sets that link, as described() has them."""
-    last, first, name = None, None, b""
-    digest = lambda s: xxhash.xxh3_128_digest(s.tobytes())
+
+    @lru_cache(maxsize=2)
+    def digest(x: bytes) -> bytes:
+        known = lexicon()
+        return xxhash.xxh3_128_digest(shingles(known.hash(known.codes(x.lower().split())), size).tobytes())
+
     for batch in it:
-        a, b, out = texts(batch, "text_a"), texts(batch, "text_b"), []
-        for x, y in zip(a, b, strict=True):
-            if x != last:
-                last, first = x, shingles(words(np.frombuffer(x, np.uint8), lower=True)[0], size)
-                name = digest(first)
-            other = shingles(words(np.frombuffer(y, np.uint8), lower=True)[0], size)
-            both = len(np.intersect1d(first, other, assume_unique=True))
-            if both and 100 * both >= pct * (len(first) + len(other) - both):
-                out.append((name, digest(other)))
+        good = compared(batch, size, pct)
+        out = [(digest(x), digest(y)) for x, y, ok in zip(texts(batch, "text_a"), texts(batch, "text_b"), good, strict=True) if ok]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["sig_a", "sig_b"])
 
 
@@ -135,28 +154,31 @@ def least_count(n: str, pct: int) -> str:
     return f"greatest(1, least({WHOLE}, ceil({pct} * {n} / 100) - floor({n} * {100 - pct} / {pct}) - 1))"
 
 
-def join(docs: DataFrame, size: int = 5, pct: int = 80, links: bool = False) -> DataFrame:
+def join(docs: DataFrame, size: int = 5, pct: int = 80, links: bool = False, tables: Tables | None = None) -> DataFrame:
     """doc_id, n_shingles, rep (the least doc_id with an equal set), component_id (the least doc_id reachable by links).
 
     With links, also n_links: with how many other sets the document's set links, each pair of sets that share a key being verified. Components need
     far fewer pairs: a group of n near copies costs about n, its links n * n / 2.
+
+    Intermediate tables go as they have served; the two or three that the result reads stay in `tables`, for the caller to free.
     """
     spark = prepare(docs.sparkSession)
+    tables = tables or Tables(spark)
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text")
     top = docs.where("doc_id is not null").mapInArrow(lambda it: counted(it, size, pct), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = top.where(F.col("n") >= COUNTED).orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow()
     frequent = np.sort(top.column("token").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(U))
-    every = cut(docs.mapInArrow(lambda it: described(it, size, pct, frequent), "doc_id long, n long, r long, unseen long, sig binary, keys array<struct<key: bigint, w: tinyint>>"))
-    reps = cut(every.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "r", "unseen", "keys")).alias("x")).select("sig", "x.*"))
+    every = tables.cut(docs.mapInArrow(lambda it: described(it, size, pct, frequent), "doc_id long, n long, r long, unseen long, sig binary, keys array<struct<key: bigint, w: tinyint>>"))
+    reps = tables.cut(every.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "n", "r", "unseen", "keys")).alias("x")).select("sig", "x.*"))
 
     posts = reps.select("doc_id", "n", "r", "unseen", F.explode("keys").alias("x")).select("doc_id", "n", "r", "unseen", "x.key", "x.w")
     shared = posts.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    posts = cut(posts.join(shared, "key"))
+    posts = tables.cut(posts.join(shared, "key"))
     # m bounds the rare tokens that a set shares with a set that it meets in pairs of frequent ones
     alike = posts.where(f"w < {WHOLE}").groupBy("doc_id").agg(F.count("*").alias("alike"))
     ones = posts.where(f"w < {WHOLE}").withColumn("m", F.lit(0).cast("long"))
     twos = posts.where(f"w = {WHOLE}").join(alike, "doc_id", "left").withColumn("m", F.expr(f"least({WHOLE - 1}, unseen + coalesce(alike, 0))")).select(*ones.columns)
-    posts = cut(ones.unionByName(twos).drop("unseen"))
+    posts = tables.cut(ones.unionByName(twos).drop("unseen"))
     most = "(least(a.n - a.r, b.n - b.r) + least(a.m, b.m))"
     fits = f"100 * least(a.n, b.n) >= {pct} * greatest(a.n, b.n) and (a.w < {WHOLE} or 100 * {most} >= {pct} * (a.n + b.n - {most}))"
     few, many = posts.where(f"df <= {SMALL}"), posts.where(f"df > {SMALL}")
@@ -164,53 +186,70 @@ def join(docs: DataFrame, size: int = 5, pct: int = 80, links: bool = False) ->
     scored = lambda rows: rows.groupBy("a", "b", "n", "common", "k").agg(F.sum("single").alias("single"), F.sum("pair").alias("pair"))
     likely = f"single >= k or (pair > 0 and 100 * (common + single) >= {pct} * (n - common - single))"
     meet = few.alias("a").join(few.alias("b"), F.expr(f"a.key = b.key and a.doc_id < b.doc_id and {fits}")).selectExpr(*pick)
-    small = cut(scored(meet))
+    small = tables.cut(scored(meet))
     hubs = many.groupBy("key").agg(F.min(F.struct("r", "doc_id", "n")).alias("h")).selectExpr("key", "h.doc_id as hub", "h.n as hub_n")
     star = many.join(hubs, "key").where(f"doc_id <> hub and 100 * least(n, hub_n) >= {pct} * greatest(n, hub_n)").selectExpr("least(hub, doc_id) as a", "greatest(hub, doc_id) as b")
-    pairs = cut(small.where(likely).select("a", "b").unionByName(star).distinct())
+    pairs = tables.cut(small.where(likely).select("a", "b").unionByName(star).distinct())
 
     needed = pairs.selectExpr("explode(array(a, b)) as doc_id").unionByName(many.select("doc_id")).distinct()
-    held = cut(docs.join(needed, "doc_id", "left_semi"))
+    held = tables.cut(docs.join(needed, "doc_id", "left_semi"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         both = pairs.join(held.selectExpr("doc_id as b", "text as text_b"), "b").join(held.selectExpr("doc_id as a", "text as text_a"), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: checked(it, size, pct), "a long, b long").distinct()
 
-    found = cut(verify(pairs))
-    label = components(found)
+    found = tables.cut(verify(pairs))
+    label = components(found, tables)
     # what the stars left open: sets of a larger key that are still in different components
-    named = cut(many.join(label, many.doc_id == label.node, "left").selectExpr("key", "doc_id", "n", "r", "m", "w", "coalesce(component, doc_id) as label"))
+    named = tables.cut(many.join(label, many.doc_id == label.node, "left").selectExpr("key", "doc_id", "n", "r", "m", "w", "coalesce(component, doc_id) as label"))
     open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     rest = named.join(open_, "key")
     held_by = rest.where(f"w = {WHOLE}").groupBy("doc_id").agg(F.collect_set("key").alias("ks"))
-    rest = cut(rest.join(held_by, "doc_id", "left"))
+    rest = tables.cut(rest.join(held_by, "doc_id", "left"))
     once = f"(a.w < {WHOLE} or array_min(array_intersect(a.ks, b.ks)) = a.key)"  # at the first key that both hold
     meet = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key and a.doc_id < b.doc_id and a.label <> b.label and {fits} and {once}")).selectExpr(*pick)
     more = scored(scored(meet).unionByName(small))
-    more = cut(more.where(likely).select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+    more = tables.cut(more.where(likely).select("a", "b").join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        label = components(cut(found.unionByName(verify(more))))
-    known = cut(reps.select("sig", F.col("doc_id").alias("rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left"))
+        label = components(tables.cut(found.unionByName(verify(more))), tables)
+    known = tables.cut(reps.select("sig", F.col("doc_id").alias("rep")).join(label.withColumnRenamed("node", "rep"), "rep", "left"))
     out = every.select("doc_id", "n", "sig").join(known, "sig", "left").selectExpr("doc_id", "sig", "n as n_shingles", "coalesce(rep, doc_id) as rep", "coalesce(component, rep, doc_id) as component_id")
     if not links:
+        tables.free(every, known)
         return out.drop("sig")
 
     # sets that share a larger key meet in blocks of it, at the first key of a kind that both hold; sets that share none are all in small
     kind = ["doc_id", "n", "r", "m", "w"]
     blocks = many.join(many.groupBy(*kind).agg(F.collect_set("key").alias("ks")), kind).selectExpr("*", f"cast(ceil(df / {BLOCK}) as int) as blocks")
     blocks = blocks.selectExpr("*", "cast(pmod(xxhash64(doc_id), blocks) as int) as own").selectExpr("*", "explode(sequence(0, blocks - 1)) as other")
-    blocks = cut(blocks.selectExpr(*kind, "key", "ks", "own", "least(own, other) as lo", "greatest(own, other) as hi"))
+    blocks = tables.cut(blocks.selectExpr(*kind, "key", "ks", "own", "least(own, other) as lo", "greatest(own, other) as hi"))
     same = "a.key = b.key and a.w = b.w and a.lo = b.lo and a.hi = b.hi and a.doc_id < b.doc_id and (a.own <> b.own or a.lo = a.hi)"
     meet = blocks.alias("a").join(blocks.alias("b"), F.expr(f"{same} and {fits} and array_min(array_intersect(a.ks, b.ks)) = a.key")).selectExpr("a.doc_id as a", "b.doc_id as b")
     several = reps.groupBy("doc_id").agg(F.count("*").alias("sets")).where("sets > 1").selectExpr("doc_id as a", "doc_id as b")
-    pairs = cut(small.where(likely).select("a", "b").unionByName(meet).unionByName(several).distinct())
-    held = cut(docs.join(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), "doc_id", "left_semi"))
+    pairs = tables.cut(small.where(likely).select("a", "b").unionByName(meet).unionByName(several).distinct())
+    held = tables.cut(docs.join(pairs.selectExpr("explode(array(a, b)) as doc_id").distinct(), "doc_id", "left_semi"))
     both = pairs.join(held.selectExpr("doc_id as b", "text as text_b"), "b").join(held.selectExpr("doc_id as a", "text as text_a"), "a")
     sides = both.select("text_a", "text_b").mapInArrow(lambda it: linked(it, size, pct), "sig_a binary, sig_b binary").where("sig_a <> sig_b")
     sides = sides.unionByName(sides.selectExpr("sig_b as sig_a", "sig_a as sig_b")).distinct()
-    degree = cut(sides.groupBy("sig_a").agg(F.count("*").alias("n_links")).withColumnRenamed("sig_a", "sig"))
+    degree = tables.cut(sides.groupBy("sig_a").agg(F.count("*").alias("n_links")).withColumnRenamed("sig_a", "sig"))
+    tables.free(every, known, degree)
     return out.join(degree, "sig", "left").drop("sig").withColumn("n_links", F.expr("coalesce(n_links, 0)"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), size=3, pct=90).select("doc_id", "n_shingles", "component_id")
+
+
+def oracle() -> str:
+    """The same by counting the shingles that each pair of documents shares."""
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{up}', '{low}'), '[^ 	-]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_of AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_of JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, to_id) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON e.a = r.to_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least AS component_id
+FROM (SELECT doc_id, min(to_id) AS least FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)"""

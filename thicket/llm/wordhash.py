@@ -1,21 +1,26 @@
-"""Hashes of words and word windows, computed over whole byte buffers at once.
+"""Words of texts as exact codes and 64-bit hashes, and hashes of word windows.
 
-A word is a run of bytes other than space and 0x09-0x0D. Its hash is a polynomial modulo 2**64 over random values of its bytes, taken from prefix
-sums of the buffer, so no text is split into Python objects. A window's hash is a polynomial over the hashes of its words, mixed once more.
+A word is a run of bytes other than space and 0x09-0x0D. A lexicon numbers the words that a worker meets, so equal codes mean equal words; the hash of
+a word is 64 bits of its BLAKE2b digest, computed once for each entry. Windows of words are hashed by a chain of multiplications and shifts. Hashes
+nominate; what decides is compared by codes, by words or by a digest of the bytes, as each operator says.
+
+A task holds the words of one chunk, at least one whole text: about 100 bytes of memory a word.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from .common import texts
 
-#: Bytes of text that are hashed together, and bytes of one run of prefix sums.
-CHUNK, SPAN = 4 << 20, 1 << 18
+#: Bytes of text that are handled together; words, and bytes of words, from which a lexicon starts afresh before the next chunk.
+CHUNK, ENTRIES, HELD = 4 << 20, 1 << 20, 64 << 20
 U = np.uint64
 
 
@@ -25,45 +30,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-@lru_cache(maxsize=4)
-def tables(seed: int, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Values of bytes, powers of the base and of its inverse, and the base."""
-    value = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(seed))
-    if lower:
-        value[65:91] = value[97:123]
-    base = int(mix(np.array([seed + 77], dtype=U))[0]) | 1
-    power, inverse = np.ones(SPAN + 1, dtype=U), np.ones(SPAN + 1, dtype=U)
-    power[1:], inverse[1:] = U(base), U(pow(base, -1, 1 << 64))
-    return value, np.cumprod(power), np.cumprod(inverse), base
-
-
-SPACE = np.zeros(256, dtype=bool)
-SPACE[[32, 9, 10, 11, 12, 13]] = True
-
-
-def words(buf: np.ndarray, seed: int = 1, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of every word."""
-    edge = np.flatnonzero(np.diff(SPACE[buf].view(np.int8), prepend=1, append=1))
-    start, end = edge[::2], edge[1::2]
-    value, power, inverse, base = tables(seed, lower)
-    out, i, n = np.empty(len(start), dtype=U), 0, len(start)
-    while i < n:
-        at = int(start[i])
-        j = int(np.searchsorted(end, at + SPAN, side="right"))
-        if j <= i:  # one word of more than SPAN bytes
-            total = 0
-            for k in range(at, int(end[i]), SPAN):
-                part = value[buf[k : min(k + SPAN, int(end[i]))]]
-                total += int((part * power[: len(part)]).sum(dtype=U)) * pow(base, k - at, 1 << 64)
-            out[i], i = total % (1 << 64), i + 1
-            continue
-        stop = int(end[j - 1])
-        sums = np.zeros(stop - at + 1, dtype=U)
-        np.cumsum(value[buf[at:stop]] * power[: stop - at], out=sums[1:])
-        s, e = start[i:j] - at, end[i:j] - at
-        out[i:j] = (sums[e] - sums[s]) * inverse[s]
-        i = j
-    return mix(out + (end - start).astype(U)), start, end
+class Lexicon(dict):
+    """The code of each word, in order of first sight, and its hash."""
+
+    def __init__(self):
+        self.hashes, self.held = array("Q"), 0
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = len(self.hashes)
+        self.hashes.append(int.from_bytes(blake2b(word, digest_size=8).digest(), "little"))
+        self.held += len(word)
+        return code
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hash(self, codes: np.ndarray) -> np.ndarray:
+        return np.array(self.hashes, dtype=U)[codes] if len(codes) else np.empty(0, dtype=U)
+
+
+KNOWN = Lexicon()
+
+
+def lexicon() -> Lexicon:
+    """The worker's lexicon; codes hold until the next call."""
+    global KNOWN
+    if len(KNOWN) > ENTRIES or KNOWN.held > HELD:
+        KNOWN = Lexicon()
+    return KNOWN
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -73,29 +67,44 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
         return np.empty(0, dtype=U)
     out = h[:n].copy()
     for i in range(1, size):
+        out ^= out >> U(32)
         out *= U(0x9E3779B97F4A7C15)
         out += h[i : i + n]
     return mix(out)
 
 
+def numbered(key: np.ndarray) -> np.ndarray:
+    """Equal keys get equal numbers, from 0 on."""
+    return np.unique(key, return_inverse=True)[1].astype(np.int64)
+
+
 class Chunk:
     """Some documents: ids (null: -1 in ids, False in known), raw texts, and their words; document k has words lo[k] to hi[k]."""
 
     def __init__(self, ids: list[int | None], raw: list[bytes], lower: bool = False):
         self.raw, self.known = raw, np.array([x is not None for x in ids], dtype=bool)
         self.ids = np.array([-1 if x is None else x for x in ids], dtype=np.int64)
-        self.buf = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
-        at = np.cumsum([0, *(len(x) + 1 for x in raw)])
-        self.hash, self.start, self.end = words(self.buf, lower=lower)
-        cuts = np.searchsorted(self.start, at)
-        self.lo, self.hi = cuts[:-1], cuts[1:]
-        self.doc = np.repeat(np.arange(len(raw)), self.hi - self.lo)
+        parts = [(x.lower() if lower else x).split() for x in raw]  # of bytes: A-Z alone are lower-cased, and spaces are those above
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        known = lexicon()
+        self.code = known.codes(list(chain.from_iterable(parts)))
+        self.hash = known.hash(self.code)
+        self.hi = np.cumsum(size)
+        self.lo = self.hi - size
+        self.doc = np.repeat(np.arange(len(raw)), size)
 
     def inside(self, size: int) -> np.ndarray:
         """For each word, whether a window of this size that starts there ends in the same document."""
         left = np.repeat(self.hi, self.hi - self.lo) - np.arange(len(self.doc))
         return left >= size
 
+    def same(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+        """Whether the windows of this size that start at a and at b hold the same words."""
+        out = np.ones(len(a), dtype=bool)
+        for i in range(size):
+            out &= self.code[a + i] == self.code[b + i]
+        return out
+
 
 def chunks(it: Iterator[pa.RecordBatch], lower: bool = False) -> Iterator[Chunk]:
     ids: list[int | None] = []
