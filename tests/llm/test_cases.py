@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 
 pytest.importorskip("thicket.llm")
 from thicket.llm import common, components  # noqa: E402
@@ -259,7 +260,7 @@ def test_machine_query(spark):
     assert len(got) == len(rows)
     for r in sorted(rows, key=lambda r: len(r.text or ""))[:25]:
         raw = (r.text or "").encode()
-        count = Counter(int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") % op7.WORDS for w in re.findall(rb"[^\x20\x09-\x0D]+", raw.lower()))
+        count = Counter(xxhash.xxh3_64_intdigest(w) % op7.WORDS for w in re.findall(rb"[^\x20\x09-\x0D]+", raw.lower()))
         norm = math.sqrt(sum(math.log1p(n) ** 2 for n in count.values())) or 1
         x = {p: math.log1p(n) / norm for p, n in count.items()}
         z = m.standard(op7.numbers([raw], __import__("numpy").array([float(r.n_chars or 0)])))[0]

@@ -6,10 +6,10 @@ rolling window of BLOCK words probes it. Hits are then extended: around each, in
 WINDOW words that hold it are compared, and runs of windows that agree are the maximal exact repeats.
 
 Hashes only nominate. Inside a chunk of documents, windows are compared word by word, and repeats are settled before anything is sent (so a passage
-in a third of all documents costs one probe a chunk). Between chunks, windows are one when 128 bits of BLAKE2b over their words agree. Everything
-that is dealt out is packed: one row holds all entries of a chunk that fall into one bucket. Verdicts go back as places of windows; they name the text
-by doc_id and 32 bits of its digest, which tell apart the texts of rows that share a doc_id. Buckets are counted from the bytes of the input, so that
-what a task holds at once stays the same at every size.
+in a third of all documents costs one probe a chunk). Between chunks, windows are one when 96 bits of BLAKE2b over their words agree. Everything that
+is dealt out is packed: one row holds all entries of a chunk that fall into one bucket. Verdicts go back as places of windows in a text; texts of one
+doc_id are told apart by 32 bits of their digests. Buckets are counted from the bytes of the input, so that what a task holds at once stays the same at
+every size.
 
 Null text has no words. A null doc_id has no order: such rows are kept whole and repeat nothing. Equal doc_ids do not repeat each other; rows equal in
 doc_id and text get equal results. Documents of fewer than WINDOW words, empty ones too, are kept whole; an empty table gives an empty one. Texts are
@@ -19,8 +19,7 @@ never cut: a task holds a whole one. Columns other than doc_id and text are not
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, table, texts
-from .wordhash import Chunk, U, chunks, lexicon, mix, windows
+from .wordhash import Chunk, U, chunks, hashed, mix, windows
 
 NAME = "op5_fixed_block_anchors"
 WINDOW, BLOCK = 13, 7
+#: Bytes of a window's digest.
+WIDE = 12
 #: Bytes of text a bucket of documents, and a bucket of blocks; a row of the index is worth about BLOCK words of text.
 DOC_BYTES, BLOCK_BYTES = 2 << 20, 64 << 20
 ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("data", pa.binary())])
@@ -79,9 +80,9 @@ def batch_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 4096], strict=True), ROW.types, strict=True)], schema=ROW)
 
 
-def tags(raw: list[bytes]) -> np.ndarray:
+def tags(raw: list[bytes]) -> list[int]:
     """32 bits of each text's digest."""
-    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") for t in raw], dtype=U)
+    return [int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") for t in raw]
 
 
 def place(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -89,16 +90,9 @@ def place(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.astype(U)) >> U(64 - bits)).astype(np.int64)
 
 
-def verdicts(ids: np.ndarray, tag: np.ndarray, word: np.ndarray, kind: int, bits: int) -> list[tuple[int, int, bytes]]:
-    """Windows that go, as their first word's number beside the text's tag."""
-    return deal(place(ids, bits), ids, low(tag << U(32) | word.astype(U)), kind)
-
-
 def spread(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     """The words that windows of this size cover."""
-    step = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + size, n), -1)
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + size, n), minlength=n + 1)
     return np.cumsum(step)[:n] > 0
 
 
@@ -132,7 +126,8 @@ def block_rows(it: Iterator[pa.RecordBatch], bits: int, width: int, doc_bits: in
         if done.any():
             gone = at[done]
             doc = c.doc[gone]
-            rows += verdicts(c.ids[doc], tags(c.raw)[doc], gone - c.lo[doc], 2, doc_bits)
+            where = np.array(tags(c.raw), dtype=U)[doc] << U(32) | (gone - c.lo[doc]).astype(U)
+            rows += deal(place(c.ids[doc], doc_bits), c.ids[doc], low(where), 2)
         open_ = spread(at[~done], len(c.doc), WINDOW)  # words of windows that are not settled
         part = np.flatnonzero(c.inside(BLOCK) & open_ & c.known[c.doc])
         part = part[open_[part + BLOCK - 1]]
@@ -207,48 +202,69 @@ def match(it: Iterator[pa.RecordBatch], bits: int, doc_bits: int) -> Iterator[pa
     yield from flush()
 
 
-def gathered(own: pa.Table, rows: pa.Table, kinds: tuple[int, ...]) -> Iterator[tuple[bytes, int | None, np.ndarray]]:
-    """Each text of a bucket and its id with the values of these kinds that its bucket has been sent for that id."""
-    parts = [unpack(d) for d, kind in zip(rows.column("data").to_pylist(), rows.column("kind").to_pylist(), strict=True) if kind in kinds]
+class Texts:
+    """The texts of a bucket. base is where a text begins in the line of all different texts of its doc_id, so one number tells a place in any of them."""
+
+    def __init__(self, own: pa.Table):
+        self.size, self.data, self.n = own.column("size").to_numpy(), own.column("data"), own.num_rows
+        self.doc, self.tag = own.column("doc_id").to_pylist(), own.column("tag").to_numpy()
+        ids = np.array([-1 if x is None else x for x in self.doc], dtype=np.int64)
+        order = np.lexsort((self.tag, ids))
+        new_id, new = np.ones(self.n, dtype=bool), np.ones(self.n, dtype=bool)
+        new_id[1:] = np.diff(ids[order]) != 0
+        new[1:] = new_id[1:] | (np.diff(self.tag[order]) != 0)
+        before = np.concatenate([[0], np.cumsum(np.where(new, self.size[order] + 1, 0))])[:-1]  # a text has no more words than bytes
+        first = np.maximum.accumulate(np.where(new, np.arange(self.n), 0))
+        start = np.maximum.accumulate(np.where(new_id, np.arange(self.n), 0))
+        self.base = np.empty(self.n, dtype=np.int64)
+        self.base[order] = before[first] - before[start]
+        self.codec = pa.Codec("zstd")
+
+    def raw(self, k: int) -> bytes:
+        return self.codec.decompress(self.data[k].as_py(), int(self.size[k]), asbytes=True) if self.size[k] else b""
+
+
+def by_doc(rows: pa.Table, kind: int) -> Callable[[int | None], np.ndarray]:
+    """What a bucket has been sent of this kind, by doc_id."""
+    parts = [unpack(d) for d, k in zip(rows.column("data").to_pylist(), rows.column("kind").to_pylist(), strict=True) if k == kind]
     ids = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
     rest = np.concatenate([high(p[1]) for p in parts]) if parts else np.empty(0, U)
     order = np.argsort(ids, kind="stable")
     ids, rest = ids[order], rest[order]
-    codec = pa.Codec("zstd")
-    for doc, size, data in zip(own.column("doc_id").to_pylist(), own.column("size").to_pylist(), own.column("data").to_pylist(), strict=True):
-        span = slice(0, 0) if doc is None else slice(np.searchsorted(ids, doc, "left"), np.searchsorted(ids, doc, "right"))
-        yield codec.decompress(data, size, asbytes=True) if size else b"", doc, rest[span]
+    return lambda doc: rest[:0] if doc is None else rest[np.searchsorted(ids, doc, "left") : np.searchsorted(ids, doc, "right")]
 
 
 def digests(words: list[bytes], at: np.ndarray) -> np.ndarray:
-    """128 bits of BLAKE2b over the words of each window, joined by spaces."""
-    start = list(accumulate((len(w) + 1 for w in words), initial=0))
+    """96 bits of BLAKE2b over the words of each window, joined by spaces."""
+    start = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
     whole = memoryview(b" ".join(words))
-    return np.frombuffer(b"".join([hashlib.blake2b(whole[start[i] : start[i + WINDOW] - 1], digest_size=16).digest() for i in at.tolist()]), np.uint8).reshape(-1, 16)
+    ends = zip(start[at].tolist(), (start[at + WINDOW] - 1).tolist(), strict=True)
+    return np.frombuffer(b"".join([hashlib.blake2b(whole[a:b], digest_size=WIDE).digest() for a, b in ends]), np.uint8).reshape(-1, WIDE)
 
 
 def extend(own: pa.Table, hits: pa.Table, mask: int, doc_bits: int) -> pa.Table:
-    """Around each hit, the windows that hold it: digest, tag and first word, by the digest's bucket."""
-    owner, rest = [np.empty(0, np.int64)], [np.empty((0, 24), np.uint8)]
-    for raw, doc, sent in gathered(own, hits, (1,)) if hits.num_rows else ():
-        if not len(sent):
+    """Around each hit, the windows that hold it: digest and place, by the digest's bucket."""
+    ids, rest = [np.empty(0, np.int64)], [np.empty((0, WIDE + 5), np.uint8)]
+    sent, mine = by_doc(hits, 1), Texts(own)
+    for k, doc in enumerate(mine.doc):
+        if not len(nominated := sent(doc)):
             continue
-        words, known = raw.split(), lexicon()
+        words = mine.raw(k).split()
         n = len(words) - WINDOW + 1
         if n <= 0:
             continue
-        at = np.flatnonzero(np.isin(windows(known.hash(known.codes(words)), BLOCK) & U(mask), sent))
+        at = np.flatnonzero(np.isin(windows(hashed(words), BLOCK) & U(mask), nominated))
         at = np.flatnonzero(spread(np.maximum(at - (WINDOW - BLOCK), 0), n, WINDOW - BLOCK + 1))
-        owner.append(np.full(len(at), doc, dtype=np.int64))
-        rest.append(np.concatenate([digests(words, at), low(tags([raw]) << U(32) | at.astype(U))], axis=1))
-    ids, value = np.concatenate(owner), np.concatenate(rest)
+        ids.append(np.full(len(at), doc, dtype=np.int64))
+        rest.append(np.concatenate([digests(words, at), low(at + mine.base[k], 5)], axis=1))
+    owner, value = np.concatenate(ids), np.concatenate(rest)
     bucket = (high(value[:, :8]) >> U(64 - doc_bits)).astype(np.int64)
-    return pa.Table.from_batches(batch_of(deal(bucket, ids, value, 1)), schema=ROW)
+    return pa.Table.from_batches(batch_of(deal(bucket, owner, value, 1)), schema=ROW)
 
 
 def later(ids: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The entries in order of digest and id, and which of them have a smaller id of the same digest before them."""
-    a, b = high(value[:, :8]), high(value[:, 8:16])
+    a, b = high(value[:, :8]), high(value[:, 8:WIDE])
     order = np.lexsort((ids, b, a))
     new = np.ones(len(order), dtype=bool)
     new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
@@ -267,8 +283,7 @@ def agree(it: Iterator[pa.RecordBatch], doc_bits: int) -> Iterator[pa.RecordBatc
         ids, value = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, gone = later(ids, value)
         ids, value = ids[order], value[order]
-        where = high(value[gone][:, 16:])
-        yield from batch_of(verdicts(ids[gone], where >> U(32), where & U(0xFFFFFFFF), 1, doc_bits))
+        yield from batch_of(deal(place(ids[gone], doc_bits), ids[gone], value[gone][:, WIDE:], 1))
         parts[:] = [(ids[~gone], value[~gone])]
 
     for bucket, _, data in runs(it):
@@ -292,11 +307,14 @@ TEXTS = pa.schema([("doc_id", pa.int64()), ("kept_text", pa.string()), ("spans",
 
 def finish(own: pa.Table, sent: pa.Table, digest: bool) -> pa.Table:
     schema, rows = (RESULT if digest else TEXTS), []
-    for raw, doc, places in gathered(own, sent, (1, 2)):
-        w = raw.split()
-        mine = places[places >> U(32) == tags([raw])[0]] if len(places) else places
-        gone = spread((mine & U(0xFFFFFFFF)).astype(np.int64), len(w), WINDOW)
-        kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g] if len(mine) else w)
+    agreed, settled, mine = by_doc(sent, 1), by_doc(sent, 2), Texts(own)
+    for k, doc in enumerate(mine.doc):
+        w = mine.raw(k).split()
+        inside, tagged = agreed(doc), settled(doc)
+        at = inside.astype(np.int64) - mine.base[k]
+        at = np.concatenate([at[(at >= 0) & (at < len(w))], (tagged[tagged >> U(32) == U(mine.tag[k])] & U(0xFFFFFFFF)).astype(np.int64)])
+        gone = spread(at, len(w), WINDOW)
+        kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g] if len(at) else w)
         if digest:
             rows.append((doc, len(w), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
         else:
@@ -306,14 +324,18 @@ def finish(own: pa.Table, sent: pa.Table, digest: bool) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
+OWN = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("size", pa.int64()), ("tag", pa.int64()), ("data", pa.binary())])
+
+
 def bucketed(it: Iterator[pa.RecordBatch], doc_bits: int) -> Iterator[pa.RecordBatch]:
     """Whole texts, compressed, by their document's bucket; those without a doc_id are sent nothing and spread by their text."""
     codec = pa.Codec("zstd", compression_level=3)
     for batch in it:
         ids, raw = batch.column("doc_id").to_pylist(), texts(batch)
-        b = place(np.array([len(t) if x is None else x for x, t in zip(ids, raw, strict=True)], dtype=np.int64), doc_bits) if ids else []
+        tag = tags(raw)
+        b = place(np.array([t if x is None else x for x, t in zip(ids, tag, strict=True)], dtype=np.int64), doc_bits) if ids else []
         data = [codec.compress(t, asbytes=True) if t else b"" for t in raw]
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(ids, pa.int64()), pa.array([len(t) for t in raw], pa.int64()), pa.array(data, pa.binary())], names=["bucket", "doc_id", "size", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((b, ids, [len(t) for t in raw], tag, data), OWN.types, strict=True)], schema=OWN)
 
 
 def sizes(n_bytes: int) -> tuple[int, int, int]:
@@ -337,7 +359,7 @@ def dedup(docs: DataFrame, digest: bool = False) -> DataFrame:
     ordered = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
     settled = docs.mapInArrow(lambda it: block_rows(it, bits, width, doc_bits), ROW_SQL)
     hits = ordered(settled).mapInArrow(lambda it: match(it, bits, doc_bits), ROW_SQL)
-    own = docs.mapInArrow(lambda it: bucketed(it, doc_bits), "bucket int, doc_id long, size long, data binary").groupBy("bucket")
+    own = docs.mapInArrow(lambda it: bucketed(it, doc_bits), "bucket int, doc_id long, size long, tag long, data binary").groupBy("bucket")
     with_texts = lambda sent, fn, out: own.cogroup(sent.groupBy("bucket")).applyInArrow(fn, out)  # noqa: E731  one shuffle of texts serves both
     around = with_texts(hits.where("kind = 1"), lambda a, b: extend(a, b, mask, doc_bits), ROW_SQL)
     agreed = ordered(around).mapInArrow(lambda it: agree(it, doc_bits), ROW_SQL)

@@ -21,6 +21,7 @@ component. Rows with one doc_id are one document with several texts: their links
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import Tables, prepare, table, texts
 from .components import components
-from .wordhash import Chunk, Lexicon, U, chunks, lexicon, mix, windows
+from .wordhash import Chunk, U, chunks, hashed, mix, windows
 
 NAME = "op9_token_combination_join"
 #: Tokens of the frequent class (512 KB to broadcast), the count from which a token is frequent, and its count in a chunk that is passed on always.
@@ -103,12 +104,13 @@ def described(it: Iterator[pa.RecordBatch], size: int, pct: int, frequent: np.nd
         yield pa.RecordBatch.from_arrays([pa.array(c.ids, mask=~c.known), pa.array([len(s) for s in own], pa.int64()), pa.array([f[2] for f in found], pa.int64()), pa.array([f[3] for f in found], pa.int64()), pa.array(sig, pa.binary()), nested.cast(SETS.field("keys").type)], schema=SETS)
 
 
-def exact(raw: bytes, size: int, known: Lexicon) -> np.ndarray:
+def exact(raw: bytes, size: int, known: dict[bytes, int]) -> np.ndarray:
     """The set as distinct runs of word codes, sorted: 4 bytes a word of each shingle, told apart by words and not by hashes."""
-    code = known.codes(raw.lower().split()).astype(np.int32)
-    n = min(len(code), size)
+    words = raw.lower().split()
+    n = min(len(words), size)
     if not n:
         return np.empty(0, dtype="V4")
+    code = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
     return np.unique(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(code, n)).view(f"V{4 * n}").ravel())
 
 
@@ -121,11 +123,14 @@ def link(a: np.ndarray, b: np.ndarray, pct: int) -> bool:
 
 def compared(batch: pa.RecordBatch, size: int, pct: int) -> list[bool]:
     """Which pairs of texts link. Rows that follow each other often have the same first text."""
-    known, last, first, out = lexicon(), None, None, []
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__  # a word's number, by first sight in the batch
+    last, first, out = None, None, []
     for x, y in zip(texts(batch, "text_a"), texts(batch, "text_b"), strict=True):
         if x != last:
             last, first = x, exact(x, size, known)
         out.append(link(first, exact(y, size, known), pct))
+    known.default_factory = None
     return out
 
 
@@ -141,8 +146,7 @@ def linked(it: Iterator[pa.RecordBatch], size: int, pct: int) -> Iterator[pa.Rec
 
     @lru_cache(maxsize=2)
     def digest(x: bytes) -> bytes:
-        known = lexicon()
-        return xxhash.xxh3_128_digest(shingles(known.hash(known.codes(x.lower().split())), size).tobytes())
+        return xxhash.xxh3_128_digest(shingles(hashed(x.lower().split()), size).tobytes())
 
     for batch in it:
         good = compared(batch, size, pct)
@@ -244,7 +248,8 @@ def oracle() -> str:
     """The same by counting the shingles that each pair of documents shares."""
     up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return rf"""
-WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{up}', '{low}'), '[^ 	-]+'), []) AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{up}', '{low}'), '[^ 	-
+]+'), []) AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 both_of AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),

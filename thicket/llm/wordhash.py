@@ -1,26 +1,26 @@
 """Words of texts as exact codes and 64-bit hashes, and hashes of word windows.
 
-A word is a run of bytes other than space and 0x09-0x0D. A lexicon numbers the words that a worker meets, so equal codes mean equal words; the hash of
-a word is 64 bits of its BLAKE2b digest, computed once for each entry. Windows of words are hashed by a chain of multiplications and shifts. Hashes
-nominate; what decides is compared by codes, by words or by a digest of the bytes, as each operator says.
+A word is a run of bytes other than space and 0x09-0x0D. The words of a chunk are numbered, so equal codes mean equal words; the hash of a word is its
+XXH3. Windows of words are hashed by a chain of multiplications and shifts. Hashes nominate; what decides is compared by codes, by words or by a
+digest of the bytes, as each operator says.
 
 A task holds the words of one chunk, at least one whole text: about 100 bytes of memory a word.
 """
 
 from __future__ import annotations
 
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 from .common import texts
 
-#: Bytes of text that are handled together; words, and bytes of words, from which a lexicon starts afresh before the next chunk.
-CHUNK, ENTRIES, HELD = 4 << 20, 1 << 20, 64 << 20
+#: Bytes of text that are handled together.
+CHUNK = 4 << 20
 U = np.uint64
 
 
@@ -30,34 +30,19 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-class Lexicon(dict):
-    """The code of each word, in order of first sight, and its hash."""
+def coded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word, by first sight, and its hash."""
+    known: defaultdict[bytes, int] = defaultdict()
+    known.default_factory = known.__len__
+    codes = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+    hashes = np.fromiter(map(xxh3_64_intdigest, known), U, len(known))
+    known.default_factory = None
+    return codes, hashes[codes]
 
-    def __init__(self):
-        self.hashes, self.held = array("Q"), 0
 
-    def __missing__(self, word: bytes) -> int:
-        code = self[word] = len(self.hashes)
-        self.hashes.append(int.from_bytes(blake2b(word, digest_size=8).digest(), "little"))
-        self.held += len(word)
-        return code
-
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def hash(self, codes: np.ndarray) -> np.ndarray:
-        return np.array(self.hashes, dtype=U)[codes] if len(codes) else np.empty(0, dtype=U)
-
-
-KNOWN = Lexicon()
-
-
-def lexicon() -> Lexicon:
-    """The worker's lexicon; codes hold until the next call."""
-    global KNOWN
-    if len(KNOWN) > ENTRIES or KNOWN.held > HELD:
-        KNOWN = Lexicon()
-    return KNOWN
+def hashed(words: list[bytes]) -> np.ndarray:
+    """The hash of each word."""
+    return np.fromiter(map(xxh3_64_intdigest, words), U, len(words))
 
 
 def windows(h: np.ndarray, size: int) -> np.ndarray:
@@ -86,9 +71,7 @@ class Chunk:
         self.ids = np.array([-1 if x is None else x for x in ids], dtype=np.int64)
         parts = [(x.lower() if lower else x).split() for x in raw]  # of bytes: A-Z alone are lower-cased, and spaces are those above
         size = np.fromiter(map(len, parts), np.int64, len(parts))
-        known = lexicon()
-        self.code = known.codes(list(chain.from_iterable(parts)))
-        self.hash = known.hash(self.code)
+        self.code, self.hash = coded(list(chain.from_iterable(parts)))
         self.hi = np.cumsum(size)
         self.lo = self.hi - size
         self.doc = np.repeat(np.arange(len(raw)), size)
