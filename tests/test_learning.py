@@ -21,7 +21,7 @@ def problem(spark, rows, labels):
 def test_masks():
     m = mask([0, 63, 64], 66)
     assert m[0] == -(2**63) + 1 and m[1] == -(2**63)
-    assert members([x % 2**64 for x in m]) == [0, 63, 64]
+    assert members(enumerate(x % 2**64 for x in m)) == [0, 63, 64]
 
 
 def test_one_rule_and_bounds(spark):

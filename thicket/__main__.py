@@ -9,6 +9,7 @@ import random
 import time
 from itertools import product
 
+from . import __version__
 from .operators import cart, reports, scm, splits
 from .session import session
 from .sources import ingest
@@ -16,6 +17,10 @@ from .sources.dataset import Dataset
 from .sources.formats import blacklist, ids
 
 
+#: What `dataset info` tells, one flag each; without flags, all but the lists of features and examples.
+INFO = ("all", "genome-type", "genomic-data", "genome-ids", "genome-count", "kmers", "kmer-len", "kmer-filter", "kmer-count", "phenotype-description", "phenotype-metadata", "phenotype-tags", "classification-type", "splits", "uuid", "compression")
+
+
 def importance_grid(words: list[str] | None, tags: list[str]) -> list[list[float] | None]:
     """`a: 1 2 b: 3` gives values by class, `1 2` the same ones for each; all their combinations are tried."""
     if not words:
@@ -35,6 +40,7 @@ def importance_grid(words: list[str] | None, tags: list[str]) -> list[list[float
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser("thicket")
+    top.add_argument("--version", action="version", version=f"thicket {__version__}")
     kinds = top.add_subparsers(dest="kind", required=True)
     data = kinds.add_parser("dataset").add_subparsers(dest="action", required=True)
     sources = data.add_parser("create").add_subparsers(dest="source", required=True)
@@ -60,7 +66,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--random-seed", type=int)
     p = data.add_parser("info")
     p.add_argument("--dataset", required=True)
-    p.add_argument("--kmers", action="store_true", help="also print the features as FASTA")
+    for flag in INFO:
+        p.add_argument(f"--{flag}", action="store_true")
     learners = kinds.add_parser("learn").add_subparsers(dest="action", required=True)
     for name in ("scm", "tree"):
         p = learners.add_parser(name)
@@ -85,7 +92,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def create(spark, a) -> None:
-    meta = {"compression": a.compression, "description": a.phenotype_description or "", "metadata_source": a.phenotype_metadata or ""}
+    meta = {"compression": a.compression, "genomic_data": a.genomic_data, "description": a.phenotype_description or "", "metadata_source": a.phenotype_metadata or ""}
     if a.source == "from-tsv":
         ingest.from_tsv(spark, a.output, a.genomic_data, a.phenotype_metadata, **meta)
     elif a.source == "from-contigs":
@@ -104,20 +111,37 @@ def split(spark, a) -> None:
         raise ValueError("train and test ids go together")
     if a.train_ids:
         known = {x: i for i, x in enumerate(names)}
-        made = splits.by_ids(known, ids(spark, a.train_ids), ids(spark, a.test_ids), seed, a.folds)
+        sides = [spark.createDataFrame([(x,) for x in ids(spark, f)], "example_id string") for f in (a.train_ids, a.test_ids)]
+        lost = [r.example_id for side in sides for r in splits.located(d.read("examples"), side)[1].collect()]
+        if lost:
+            raise ValueError(f"not in the dataset: {', '.join(sorted(lost))}")
+        made = splits.by_ids(known, *([r.example_id for r in side.collect()] for side in sides), seed, a.folds)
     else:
         made = splits.by_proportion(len(names), a.train_size, seed, a.folds)
-    d.save_split(a.id, *made)
+    d.save_split(a.id, *made, seed=seed)
 
 
 def info(spark, a) -> None:
     d = Dataset(spark, a.dataset)
-    for k, v in sorted(d.info().items()):
-        print(f"{k}: {v}")
-    print(f"splits: {', '.join(d.splits())}")
-    if a.kmers:
-        for i, r in enumerate(d.read("features").select("feature").orderBy("feature").toLocalIterator()):
-            print(f">k{i}\n{r.feature}")
+    asked = [f for f in INFO[1:] if getattr(a, f.replace("-", "_"))]
+    if a.all or not asked:
+        asked = [f for f in INFO[1:] if a.all or f not in ("kmers", "genome-ids")]
+    own, told = d.info(), {"genome-type": "source", "genomic-data": "genomic_data", "phenotype-description": "description", "phenotype-metadata": "metadata_source", "classification-type": "classification_type", "kmer-filter": "filter", "genome-count": "examples", "kmer-count": "features", "uuid": "uuid", "compression": "compression"}
+    for flag in asked:
+        title = told.get(flag, flag).replace("_", " ")
+        if flag in told:
+            print(f"{title}: {own.get(told[flag], '')}")
+        elif flag == "genome-ids":
+            print("\n".join(["genome ids:", *d.examples()]))
+        elif flag == "phenotype-tags":
+            print(f"{title}: {', '.join(d.tags()) if d.has('tags') else ''}")
+        elif flag == "kmer-len":
+            print(f"{title}: {d.kmer_length}")
+        elif flag == "splits":
+            print("\n".join(["splits:", *(d.split_text(x) for x in d.splits())]))
+        else:
+            for i, r in enumerate(d.read("features").select("feature").orderBy("feature").toLocalIterator(), 1):
+                print(f">k{i}\n{r.feature}")
 
 
 def learn(spark, a) -> None:
@@ -137,19 +161,23 @@ def learn(spark, a) -> None:
         cols = scm.columns(p, [r.feature for r in model.rules])
         got = dict(enumerate(model.predict(cols, p.n)))
         shown, own, equal = str(model) or "(no rule)", reports.fasta(model), reports.scm_equivalents(model)
+        listed = reports.rules_text(model)
         rules = [{"feature": r.feature, "kind": r.kind, "importance": i, "equivalent": len(e)} for r, i, e in zip(model.rules, model.importances, model.equivalent, strict=True)]
     else:
         root, priors, how = cart.learn_tree(p, train, folds, a.criterion, a.max_depth, a.min_samples_split, importance_grid(a.class_importance, tags), **common)
         got = cart.predict(root, priors, scm.columns(p, cart.tree_features(root)), p.n, [*train, *test])
         alike = cart.equivalents(p, root, priors, how["criterion"], train, a.max_equiv_rules, seed, out)
-        own, equal = reports.tree_fasta(root, priors, how["criterion"], alike)
+        own, equal = reports.tree_fasta(root, priors, how["criterion"], alike, tags)
         shown = reports.tree_text(root, priors, tags)
-        rules = [{"feature": f, "importance": w} for f, w in cart.importances(root, priors, how["criterion"]).items()]
+        weight = cart.importances(root, priors, how["criterion"])
+        rules = [{"feature": x.feature, "importance": weight[x.feature], "equivalent": len(e), "examples": len(x.rows), "counts": dict(zip(tags, x.counts, strict=True))} for x, e in zip([x for x in root.walk() if not x.leaf], alike, strict=True)]
+        listed = "".join(f"{r['feature']}  importance: {r['importance']:.2f}, equivalent rules: {r['equivalent']}, examples: {r['examples']}\n" for r in rules) or "(no rule)\n"
     sides = {"train": train, "test": test}
     metrics = {s: reports.predicted_metrics(got, p.labels, rows, len(tags)) for s, rows in sides.items()}
     sorted_out = {s: {"correct": [names[i] for i in rows if got[i] == p.labels[i]], "errors": [names[i] for i in rows if got[i] != p.labels[i]]} for s, rows in sides.items()}
     settings = {x: y for x, y in vars(a).items() if x not in ("kind", "action")} | {"random_seed": seed}
-    text = [f"{a.action} on {a.dataset}, split {a.split}: {len(train)} training and {len(test)} testing examples, {len(set(folds))} folds", f"seconds: {time.time() - began:.1f}", "", "Model", "-----", shown, ""]
+    text = [f"{a.action} on {a.dataset}, split {d.split_text(a.split)}", f"seconds: {time.time() - began:.1f}", *(f"{x}, {len(rows)} examples: {reports.class_counts(p.labels, rows, tags)}" for x, rows in sides.items()), ""]
+    text += ["Model", "-----", shown, "", "Rules", "-----", listed]
     text += ["Chosen", "------", *(f"{x}: {y}" for x, y in sorted(how.items())), ""]
     for s, m in metrics.items():
         text += [f"Metrics, {s}", "-" * (9 + len(s)), *(f"{x}: {y}" for x, y in m.items() if x != "confusion"), reports.confusion_text(m["confusion"], tags)]

@@ -1,4 +1,7 @@
-"""Bit-packed presence: example gi is bit 63 - gi % 64 of word gi // 64."""
+"""Bit-packed presence: example gi is bit 63 - gi % 64 of word gi // 64.
+
+A feature's words are an array of (at, bits) in order of at, without empty words: a feature of few examples stays small however many there are.
+"""
 
 from __future__ import annotations
 
@@ -7,48 +10,42 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words up to which a mask is unrolled into flat code; a longer one is an array literal, measured four times as fast at 63 words.
-UNROLL = 8
-
 
 def mask(rows: Iterable[int], n: int) -> list[int]:
-    """Signed words with the bits of rows set."""
+    """Signed words, empty ones too, with the bits of rows set."""
     words = [0] * (-(-n // 64))
     for gi in rows:
         words[gi // 64] |= 1 << (63 - gi % 64)
     return [w - (1 << 64) if w >> 63 else w for w in words]
 
 
-def members(words: Iterable[int]) -> list[int]:
-    return [64 * i + b for i, w in enumerate(words) for b in range(64) if w >> (63 - b) & 1]
+def members(words: Iterable[tuple[int, int]]) -> list[int]:
+    """The examples of a feature's words."""
+    return [64 * at + b for at, w in words for b in range(64) if w >> (63 - b) & 1]
+
+
+def counted(words: Column | str, of: Column) -> Column:
+    """How many examples a feature shares with a mask, which may be a literal or a column."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x["bits"].bitwiseAND(F.get(of, x["at"]))))
 
 
-def masked_count(words: Column, of: list[int]) -> Column:
-    """How many examples of the mask have the feature. Words that the mask leaves out are never read."""
-    used = [(i, m) for i, m in enumerate(of) if m]
-    if not used:
-        return F.lit(0).cast("long")
-    if len(used) > UNROLL:
-        both = F.zip_with(words, F.array(*map(F.lit, of)), lambda w, m: F.bit_count(w.bitwiseAND(m)).cast("long"))
-        return F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a + x)
-    out = F.lit(0).cast("long")
-    for i, m in used:
-        out = out + F.bit_count(F.get(words, F.lit(i)).bitwiseAND(F.lit(m)))
-    return out
+def masked_count(words: Column | str, of: list[int]) -> Column:
+    """How many examples of the mask have the feature."""
+    return counted(words, F.array(*map(F.lit, of))) if any(of) else F.lit(0).cast("long")
 
 
-def has(words: Column, gi: Column) -> Column:
-    return F.getbit(F.get(words, (gi / 64).cast("int")), (63 - gi % 64).cast("int")) == 1
+def has(words: Column | str, gi: Column) -> Column:
+    return F.exists(words, lambda x: (x["at"] == F.floor(gi / 64)) & (F.getbit(x["bits"], (63 - gi % 64).cast("int")) == 1))
 
 
-def pack(edges: DataFrame, n: int, least: int = 1) -> DataFrame:
+def pack(edges: DataFrame, least: int = 1) -> DataFrame:
     """feature, words from feature, gi (edges may repeat), for features of at least so many examples: one combined shuffle by feature and word, one by feature."""
-    part = edges.groupBy("feature", F.expr("cast(gi div 64 as int) as word")).agg(F.expr("bit_or(shiftleft(1L, cast(63 - gi % 64 as int))) as bits"))
-    whole = part.groupBy("feature").agg(F.expr("map_from_entries(collect_list(struct(word, bits))) as m"), F.sum(F.bit_count("bits")).alias("n"))
-    return whole.where(F.col("n") >= least).selectExpr("feature", f"transform(sequence(0, {-(-n // 64) - 1}), i -> coalesce(m[i], 0L)) as words")
+    part = edges.groupBy("feature", F.expr("cast(gi div 64 as int) as at")).agg(F.expr("bit_or(shiftleft(1L, cast(63 - gi % 64 as int))) as bits"))
+    whole = part.groupBy("feature").agg(F.expr("array_sort(collect_list(struct(at, bits))) as words"), F.sum(F.bit_count("bits")).alias("n"))
+    return whole.where(F.col("n") >= least).select("feature", "words")
 
 
 def unpack(packed: DataFrame) -> DataFrame:
     """feature, gi of every set bit."""
-    df = packed.select("feature", F.posexplode("words").alias("word", "bits")).where("bits <> 0")
-    return df.selectExpr("feature", "word", "explode(filter(sequence(0, 63), b -> getbit(bits, 63 - b) = 1)) as b").selectExpr("feature", "cast(64 * word + b as int) as gi")
+    df = packed.select("feature", F.explode("words").alias("w"))
+    return df.selectExpr("feature", "w.at", "explode(filter(sequence(0, 63), b -> getbit(w.bits, 63 - b) = 1)) as b").selectExpr("feature", "cast(64 * at + b as int) as gi")

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 from statistics import pvariance
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import masked_count
 from .matrix import Problem
-from .scm import columns, compression_set
+from .scm import columns, compression_set, guarded, least
 
 
 @dataclass
@@ -57,6 +59,11 @@ class Priors:
     def p(self, node: Node) -> float:
         return sum(self.joint(node.counts))
 
+    def given(self, node: Node) -> list[float]:
+        """p(c|t) of each class."""
+        j = self.joint(node.counts)
+        return [x / sum(j) for x in j]
+
     def predicted(self, node: Node) -> int:
         j = self.joint(node.counts)
         return j.index(max(j))
@@ -100,7 +107,8 @@ def best_splits(scores: DataFrame) -> DataFrame:
     return scores.groupBy("node").agg(F.expr("min(struct(score, -occurrences as o, feature)) as x")).selectExpr("node", "x.feature", "x.score")
 
 
-def grow(p: Problem, train: list[int] | None = None, criterion: str = "gini", max_depth: int = 10, min_split: int = 2, weights: list[float] | None = None, blacklist: DataFrame | None = None, classes: int | None = None) -> tuple[Node, Priors]:
+def grow(p: Problem, train: list[int] | None = None, criterion: str = "gini", max_depth: int = 10, min_split: int = 2, weights: list[float] | None = None, blacklist: DataFrame | None = None, classes: int | None = None, on_level=None, on_split=None) -> tuple[Node, Priors]:
+    """on_split(node) is told of each split, on_level(depth, nodes) of each level that has been split."""
     criterion = {"crossentropy": "cross-entropy"}.get(criterion, criterion)
     if criterion not in ("gini", "cross-entropy") or max_depth < 1 or min_split < 2:
         raise ValueError("criterion is gini or cross-entropy, max_depth at least 1, min_split at least 2")
@@ -109,9 +117,7 @@ def grow(p: Problem, train: list[int] | None = None, criterion: str = "gini", ma
     count = lambda rows: [sum(p.labels[i] == k for i in rows) for k in range(c)]
     root = Node(rows, count(rows), 0)
     priors, level = Priors(root.counts, weights), [root]
-    source = None
-    if blacklist is not None:
-        source = p.features.join(blacklist.select("feature"), "feature", "left_anti").groupBy("words").agg(F.min("feature").alias("feature"))
+    source = p.without(blacklist)[1]
     while level:
         level = [x for x in level if x.depth < max_depth and len(x.rows) >= min_split and sum(n > 0 for n in x.counts) > 1]
         if not level:
@@ -125,6 +131,10 @@ def grow(p: Problem, train: list[int] | None = None, criterion: str = "gini", ma
                 sides = [i for i in x.rows if has(i)], [i for i in x.rows if not has(i)]
                 x.left, x.right = (Node(s, count(s), x.depth + 1) for s in sides)
                 after += [x.left, x.right]
+                if on_split:
+                    on_split(x)
+        if on_level:
+            on_level(level[0].depth + 1, after)
         level = after
     return root, priors
 
@@ -134,7 +144,7 @@ def equivalents(p: Problem, root: Node, priors: Priors, criterion: str, train: l
     inner = [x for x in root.walk() if not x.leaf]
     if not inner:
         return []
-    every = p.features if blacklist is None else p.features.join(blacklist.select("feature"), "feature", "left_anti")
+    every = p.without(blacklist)[0]
     scores = split_scores(p, inner, priors, {"crossentropy": "cross-entropy"}.get(criterion, criterion), train, every)
     top = scores.groupBy("node").agg(F.expr("min(struct(score, -occurrences as o)) as x")).selectExpr("node", "x.score", "-x.o as occurrences")
     ties = scores.join(F.broadcast(top), ["node", "score", "occurrences"]).select("node", "feature").persist()  # a row a node
@@ -182,20 +192,71 @@ def prune_sequence(root: Node, priors: Priors) -> list[tuple[float, Node]]:
 
 
 def predict(root: Node, priors: Priors, cols: dict[str, int], n: int, rows: list[int]) -> dict[int, int]:
-    out = {}
-    for i in rows:
-        x = root
-        while not x.leaf:
-            x = x.left if cols[x.feature] >> (n - 1 - i) & 1 else x.right
-        out[i] = priors.predicted(x)
-    return out
+    return {i: priors.predicted(leaf_of(root, cols, n, i)) for i in rows}
+
+
+def leaf_of(x: Node, cols: dict[str, int], n: int, i: int) -> Node:
+    while not x.leaf:
+        x = x.left if cols[x.feature] >> (n - 1 - i) & 1 else x.right
+    return x
+
+
+def choose(x: Node, have: Column, at: Callable[[Node], Column]) -> Column:
+    """What at() gives for the leaf that a row's features lead to."""
+    return at(x) if x.leaf else F.when(F.array_contains(have, F.lit(x.feature)), choose(x.left, have, at)).otherwise(choose(x.right, have, at))
 
 
-def case_sql(x: Node, priors: Priors) -> str:
-    """The tree as one conditional expression over an array `have` of the example's features."""
+def expression(root: Node, priors: Priors, have: str = "have") -> Column:
+    """The class as a column over an array of the features that a row has; features are literals, whatever their letters."""
+    return choose(root, F.col(have), lambda x: F.lit(priors.predicted(x)))
+
+
+def probabilities(root: Node, priors: Priors, have: str = "have") -> Column:
+    """p(c|t) of the leaf, an array by class."""
+    return choose(root, F.col(have), lambda x: F.array(*map(F.lit, priors.given(x))))
+
+
+def case_sql(x: Node, priors: Priors, have: str = "have") -> str:
+    """The tree as SQL, for what takes no columns; quotes and backslashes of features are escaped."""
     if x.leaf:
         return str(priors.predicted(x))
-    return f"case when array_contains(have, '{x.feature}') then {case_sql(x.left, priors)} else {case_sql(x.right, priors)} end"
+    feature = x.feature.replace("\\", "\\\\").replace("'", "\\'")
+    return f"case when array_contains({have}, '{feature}') then {case_sql(x.left, priors, have)} else {case_sql(x.right, priors, have)} end"
+
+
+class DecisionTree:
+    """A learner of fixed settings, as an object; grow() is the function behind it."""
+
+    def __init__(self, criterion: str = "gini", max_depth: int = 10, min_samples_split: int = 2, class_importance: list[float] | None = None):
+        self.criterion, self.max_depth, self.min_split, self.weights, self.tree = criterion, max_depth, min_samples_split, class_importance, None
+
+    def fit(self, p: Problem, train: list[int] | None = None, **options) -> DecisionTree:
+        self.tree = grow(p, train, self.criterion, self.max_depth, self.min_split, self.weights, **options)
+        return self
+
+    def __len__(self) -> int:
+        return sum(not x.leaf for x in guarded(self.tree)[0].walk())
+
+    @property
+    def depth(self) -> int:
+        return max(x.depth for x in guarded(self.tree)[0].walk())
+
+    @property
+    def rule_importances(self) -> dict[str, float]:
+        return importances(*guarded(self.tree), {"crossentropy": "cross-entropy"}.get(self.criterion, self.criterion))
+
+    def _leaves(self, p: Problem) -> list[Node]:
+        root, _ = guarded(self.tree)
+        cols = columns(p, tree_features(root))
+        return [leaf_of(root, cols, p.n, i) for i in range(p.n)]
+
+    def predict(self, p: Problem, tags: list[str] | None = None) -> list:
+        """Classes, or their tags."""
+        got = [guarded(self.tree)[1].predicted(x) for x in self._leaves(p)]
+        return [tags[c] for c in got] if tags else got
+
+    def predict_proba(self, p: Problem) -> list[list[float]]:
+        return [guarded(self.tree)[1].given(x) for x in self._leaves(p)]
 
 
 def tree_features(root: Node) -> list[str]:
@@ -215,6 +276,18 @@ def risk_of(root: Node, priors: Priors, p: Problem, rows: list[int], cols: dict[
     return sum(got[i] != p.labels[i] for i in rows) / max(len(rows), 1)
 
 
+def step_value(steps: list[tuple[float, float]], a: float) -> float:
+    """The value of the last step that begins at a or before it."""
+    return steps[bisect_right([x for x, _ in steps], a) - 1][1]
+
+
+def looked_up(df: DataFrame, a: str, steps: list[tuple[float, float]], out: str, kind: str = "double") -> DataFrame:
+    """df with the values of steps (where they begin, value), half open, at column a; rows before the first step go. The steps are few and broadcast."""
+    ends = [x for x, _ in steps[1:]] + [float("inf")]
+    own = df.sparkSession.createDataFrame([(x, e, v) for (x, v), e in zip(steps, ends, strict=True)], f"lo double, hi double, v {kind}")
+    return df.join(F.broadcast(own.withColumnRenamed("v", out)), (F.col(a) >= F.col("lo")) & (F.col(a) < F.col("hi"))).drop("lo", "hi")
+
+
 def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, criteria=("gini",), depths=(10,), min_splits=(2,), weights=(None,), selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None) -> tuple[Node, Priors, dict]:
     """The best pruned tree over the grid. Ties: score, size, variance of the class importances, place in the grid; a more pruned tree wins among equals of one sequence."""
     size, classes, tried = genome_size or p.features.count(), max(p.labels) + 1, []
@@ -232,7 +305,7 @@ def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, cri
                 steps.append([(a, risk_of(t, q, p, outside, cols)) for a, t in prune_sequence(r, q)])
             for k, (a, _) in enumerate(master):
                 mid = math.sqrt(a * master[k + 1][0]) if k + 1 < len(master) else math.inf
-                scores.append(sum([r for x, r in st if x <= mid][-1] for st in steps) / len(steps))
+                scores.append(sum(step_value(st, mid) for st in steps) / len(steps))
         else:
             every = columns(p, tree_features(root))
             for _, t in master:
@@ -243,4 +316,4 @@ def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, cri
                 scores.append(tree_bound(len(train), len(z), len(wrong), sum(not x.leaf for x in t.walk()), size, classes, delta))
         k = max(range(len(master)), key=lambda k: (-scores[k], k))
         tried.append((scores[k], len(master[k][1].walk()), pvariance(w) if w else 0.0, place, master[k][1], priors, {"criterion": c, "max_depth": d, "min_split": s, "class_importance": w, "score": scores[k]}))
-    return min(tried, key=lambda x: x[:4])[4:]
+    return least(tried, True, True)[4:]

@@ -8,7 +8,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.bits import mask, masked_count, pack
+from ..functions.bits import has, mask, masked_count, pack, unpack
 from ..sources.views import sightings
 
 
@@ -33,24 +33,62 @@ class Problem:
     def mask(self, rows: list[int]) -> list[int]:
         return mask(rows, self.n)
 
+    def examples(self) -> DataFrame:
+        """gi, label."""
+        return self.features.sparkSession.createDataFrame(list(enumerate(self.labels)), "gi int, label int")
+
+    def having(self, names: list[str]) -> DataFrame:
+        """gi, label, have: which of a few features each example has; a model's expressions predict from it."""
+        own = unpack(self.features.where(F.col("feature").isin(sorted(set(names))))).groupBy("gi").agg(F.collect_set("feature").alias("have"))
+        return self.examples().join(own, "gi", "left").withColumn("have", F.coalesce("have", F.array().cast("array<string>")))
+
+    def without(self, blacklist: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Features and patterns that a blacklist leaves."""
+        if blacklist is None:
+            return self.features, self.patterns
+        left = self.features.join(blacklist.select("feature"), "feature", "left_anti")
+        return left, patterns(left)
+
     def close(self) -> None:
         self.patterns.unpersist()
         self.features.unpersist()
 
 
+def patterns(features: DataFrame) -> DataFrame:
+    return features.groupBy("words").agg(F.min("feature").alias("feature"), F.count("*").alias("n_features"))
+
+
+def of_features(labels: list[int], features: DataFrame) -> Problem:
+    features = features.persist(StorageLevel.MEMORY_AND_DISK)
+    return Problem(features, patterns(features).persist(StorageLevel.MEMORY_AND_DISK), labels)
+
+
 def packed(labels: list[int], edges: DataFrame, least: int = 1) -> Problem:
-    features = pack(edges, max(len(labels), 1), least).persist(StorageLevel.MEMORY_AND_DISK)
-    patterns = features.groupBy("words").agg(F.min("feature").alias("feature"), F.count("*").alias("n_features")).persist(StorageLevel.MEMORY_AND_DISK)
-    return Problem(features, patterns, labels)
+    return of_features(labels, pack(edges, least))
 
 
 def problem(examples: DataFrame, edges: DataFrame) -> Problem:
     return packed([r.label for r in examples.orderBy("gi").select("label").collect()], edges)
 
 
+#: The views that were packed last, at most HELD of them; earlier ones are let go.
+OPEN: dict[tuple, Problem] = {}
+HELD = 2
+
+
 def of_view(spark: SparkSession, sf_dir: str, view: str) -> Problem:
-    """Features count from two examples on."""
-    return packed(*sightings(spark, sf_dir, view), 2)
+    """Features count from two examples on. A view stays packed until others take its place, or the session's cache is cleared."""
+    key = (spark.sparkContext.applicationId, sf_dir, view)
+    known = OPEN.pop(key, None)
+    if known is None or not known.features.storageLevel.useMemory:
+        known = packed(*sightings(spark, sf_dir, view), 2)
+    OPEN[key] = known
+    while len(OPEN) > HELD:
+        first = next(iter(OPEN))
+        old = OPEN.pop(first)
+        if first[0] == key[0]:
+            old.close()
+    return known
 
 
 def sum_rows(features: DataFrame, of: list[int], n: int) -> DataFrame:
@@ -70,3 +108,38 @@ def dense_ranks(risk: DataFrame) -> DataFrame:
     """risk, rank over all rules: distinct risks are few, so only they are ranked."""
     own = risk.selectExpr("explode(array(risk, anti_risk)) as risk").distinct()
     return own.selectExpr("risk", "cast(dense_rank() over (order by risk) - 1 as int) as rank")
+
+
+def rules(features: DataFrame) -> DataFrame:
+    """feature, kind of all rules: presence and absence of each feature."""
+    own = features.select("feature")
+    return own.withColumn("kind", F.lit("presence")).unionByName(own.withColumn("kind", F.lit("absence")))
+
+
+def rule_text(kind: str = "kind", feature: str = "feature") -> str:
+    return f"concat(initcap({kind}), '(', {feature}, ')')"
+
+
+def get_columns(p: Problem, features: DataFrame) -> DataFrame:
+    """feature, gi, presence, absence of every example, for a few features with their words."""
+    df = features.select("feature", "words", F.explode(F.sequence(F.lit(0), F.lit(p.n - 1))).alias("gi"))
+    return df.select("feature", "gi", has("words", F.col("gi")).cast("int").alias("presence")).selectExpr("*", "1 - presence as absence")
+
+
+def info(p: Problem) -> DataFrame:
+    """examples, features, edges of a problem."""
+    n = F.aggregate("words", F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x["bits"]))
+    return p.features.agg(F.lit(p.n).cast("long").alias("examples"), F.count("*").alias("features"), F.coalesce(F.sum(n), F.lit(0).cast("long")).alias("edges"))
+
+
+def rule_risks(features: DataFrame, parts: dict[int | None, tuple[list[int], list[int]]], n: int) -> DataFrame:
+    """fold, feature, risk, anti_risk, rank, anti_rank for the training rows (positive and negative ones) of a split and its folds, in one scan."""
+    cells = []
+    for fold, (pos, neg) in parts.items():
+        r = F.bround((F.lit(len(pos)) - masked_count("words", mask(pos, n)) + masked_count("words", mask(neg, n))) / max(len(pos) + len(neg), 1), 5)
+        cells.append(F.struct(F.lit(fold).cast("int").alias("fold"), r.alias("risk")))
+    df = features.select("feature", F.explode(F.array(*cells)).alias("x")).selectExpr("x.fold", "feature", "x.risk", "bround(1 - x.risk, 5) as anti_risk")
+    own = df.selectExpr("fold", "explode(array(risk, anti_risk)) as risk").distinct()  # risks to five places: at most 100,001 a fold
+    ranks = F.broadcast(own.selectExpr("fold as f", "risk as r", "cast(dense_rank() over (partition by fold order by risk) - 1 as int) as k"))
+    out = df.join(ranks, F.expr("fold <=> f and risk = r")).withColumnRenamed("k", "rank").drop("f", "r")
+    return out.join(ranks, F.expr("fold <=> f and anti_risk = r")).withColumnRenamed("k", "anti_rank").select("fold", "feature", "risk", "anti_risk", "rank", "anti_rank")

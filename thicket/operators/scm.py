@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import logging
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.bits import masked_count, members
+from ..functions.bits import counted, masked_count, members
 from .matrix import Problem
 
 log = logging.getLogger(__name__)
@@ -41,6 +42,26 @@ class Model:
     def __str__(self) -> str:
         return (" and " if self.type == "conjunction" else " or ").join(map(str, self.rules))
 
+    def __len__(self) -> int:
+        return len(self.rules)
+
+    def __bool__(self) -> bool:
+        return True  # without rules too
+
+    def __iter__(self) -> Iterator[Rule]:
+        return iter(self.rules)
+
+    def add(self, rule: Rule) -> None:
+        self.rules.append(rule)
+
+    def remove(self, index: int) -> None:
+        for own in (self.rules, self.equivalent, self.importances):
+            if index < len(own):
+                del own[index]
+
+    def features(self) -> list[str]:
+        return [r.feature for r in self.rules]
+
     def predict(self, rows: dict[str, int], n: int) -> list[int]:
         """Classes of n examples, from the features' presence as whole numbers (bit n - 1 - gi)."""
         every = (1 << n) - 1
@@ -51,22 +72,77 @@ class Model:
             out = out & x if self.type == "conjunction" else out | x
         return [out >> (n - 1 - i) & 1 for i in range(n)]
 
+    def predict_proba(self, rows: dict[str, int], n: int) -> list[tuple[float, float]]:
+        """Of classes 0 and 1: rules say one or the other, and so do models."""
+        return [(1.0 - x, float(x)) for x in self.predict(rows, n)]
+
+    def expression(self, have: Column | str = "have") -> Column:
+        """The class as a column over an array of the features that a row has."""
+        said = [F.array_contains(have, F.lit(r.feature)) == F.lit(r.kind == "presence") for r in self.rules]
+        out = F.lit(self.type == "conjunction")
+        for x in said:
+            out = out & x if self.type == "conjunction" else out | x
+        return out.cast("int")
+
+    def probabilities(self, have: Column | str = "have") -> Column:
+        x = self.expression(have).cast("double")
+        return F.array(F.lit(1.0) - x, x)
+
+
+def guarded(model: Model | None) -> Model:
+    """A model that has been learnt; predicting before that is an error."""
+    if model is None:
+        raise RuntimeError("the model has not been learnt yet")
+    return model
+
+
+class SetCoveringMachine:
+    """A learner of fixed settings, as an object; fit() is the function behind it."""
+
+    def __init__(self, type: str = "conjunction", p: float = 1.0, max_rules: int = 10):
+        self.type, self.p, self.max_rules, self.model = type, p, max_rules, None
+
+    def fit(self, problem: Problem, train: list[int] | None = None, **options) -> SetCoveringMachine:
+        self.model = fit(problem, self.type, self.p, self.max_rules, train, **options)
+        return self
+
+    @property
+    def rules(self) -> list[Rule]:
+        return guarded(self.model).rules
+
+    @property
+    def rule_importances(self) -> list[float]:
+        return guarded(self.model).importances
+
+    def predict(self, problem: Problem) -> list[int]:
+        model = guarded(self.model)
+        return model.predict(columns(problem, model.features()), problem.n)
+
+    def predict_proba(self, problem: Problem) -> list[tuple[float, float]]:
+        model = guarded(self.model)
+        return model.predict_proba(columns(problem, model.features()), problem.n)
+
 
 def columns(p: Problem, names: list[str]) -> dict[str, int]:
     """The presence of a few features, as whole numbers: the only columns that leave the executors."""
     out = {}
     for r in p.features.where(F.col("feature").isin(sorted(set(names)))).collect() if names else []:
-        out[r.feature] = sum(1 << (p.n - 1 - gi) for gi in members([w % (1 << 64) for w in r.words]))
+        out[r.feature] = whole(r.words, p.n)
     return out
 
 
+def whole(words: list, n: int) -> int:
+    """A feature's presence as one whole number."""
+    return sum(1 << (n - 1 - gi) for gi in members((w.at, w.bits % (1 << 64)) for w in words))
+
+
 def scored(p: Problem, pos: list[int], neg: list[int], cost: float, train_pos: list[int], train_neg: list[int], source: DataFrame | None = None) -> DataFrame:
-    """feature, kind, neg_cover, pos_err, utility, risk of each rule; risk is that over the whole training set."""
+    """feature, words, kind, neg_cover, pos_err, utility, risk of each rule; risk is that over the whole training set."""
     count = lambda rows: masked_count(F.col("words"), p.mask(rows))
     n_pos, n_neg, t_pos, t_neg = len(pos), len(neg), len(train_pos), len(train_neg)
-    df = (p.patterns if source is None else source).select("feature", count(pos).alias("hp"), count(neg).alias("hn"), count(train_pos).alias("tp"), count(train_neg).alias("tn"))
-    df = df.selectExpr("feature", "hp", "hn", f"bround(({t_pos} - tp + tn) / {t_pos + t_neg}, 5) as r")
-    df = df.selectExpr("feature", f"stack(2, 'presence', {n_neg} - hn, {n_pos} - hp, r, 'absence', hn, hp, bround(1 - r, 5)) as (kind, neg_cover, pos_err, risk)")
+    df = (p.patterns if source is None else source).select("feature", "words", count(pos).alias("hp"), count(neg).alias("hn"), count(train_pos).alias("tp"), count(train_neg).alias("tn"))
+    df = df.selectExpr("feature", "words", "hp", "hn", f"bround(({t_pos} - tp + tn) / {t_pos + t_neg}, 5) as r")
+    df = df.selectExpr("feature", "words", f"stack(2, 'presence', {n_neg} - hn, {n_pos} - hp, r, 'absence', hn, hp, bround(1 - r, 5)) as (kind, neg_cover, pos_err, risk)")
     return df.withColumn("utility", F.expr(f"neg_cover - {cost!r}D * pos_err"))
 
 
@@ -82,10 +158,17 @@ def tie_order(conjunction: bool) -> list[Column]:
     return [F.asc("risk") if conjunction else F.desc("risk"), F.desc("kind"), F.asc("feature")]
 
 
-def fit(p: Problem, type: str, cost: float, max_rules: int = 10, train: list[int] | None = None, blacklist: DataFrame | None = None, on_iteration=None, most: int = 0, seed: int = 0) -> Model:
-    """Greedy covering. The driver holds which examples are left; each step is one narrow scan of the persisted patterns.
+def first(close: DataFrame, conjunction: bool) -> Row | None:
+    """The rule that comes first by tie_order(), with its words: a minimum of structs, combined in every task."""
+    place = F.struct(F.col("risk") if conjunction else -F.col("risk"), F.when(F.col("kind") == "presence", 0).otherwise(1), "feature")
+    return (close.agg(F.min_by(F.struct("feature", "kind", "words", "risk", "utility", "neg_cover", "pos_err"), place).alias("x")).first() or [None])[0]
+
 
-    With most, a second scan a step finds the rules that are as good as the chosen one; of more than most, seed draws.
+def fit(p: Problem, type: str, cost: float, max_rules: int = 10, train: list[int] | None = None, blacklist: DataFrame | None = None, on_iteration=None, most: int = 0, seed: int = 0, tiebreaker=None) -> Model:
+    """Greedy covering. The driver holds which examples are left; each step is one job over the persisted patterns: the best utility, and the first rule that is as good.
+
+    With most, a second job a step finds the rules that are as good as the chosen one; of more than most, seed draws. tiebreaker(rules, conjunction), if
+    given, chooses from the table of equally good rules (a row with feature, kind, words and risk, or None); on_iteration(model, row) is told of each rule.
     """
     rows = range(p.n) if train is None else train
     conjunction = type == "conjunction"
@@ -95,27 +178,24 @@ def fit(p: Problem, type: str, cost: float, max_rules: int = 10, train: list[int
     t_pos, t_neg = list(pos), list(neg)
     if not conjunction:
         pos, neg = neg, pos
-    source, every = None, p.features
-    if blacklist is not None:
-        every = p.features.join(blacklist.select("feature"), "feature", "left_anti")
-        source = every.groupBy("words").agg(F.min("feature").alias("feature"))
+    every, source = p.without(blacklist)
     model, start, outputs = Model(type), sorted(pos + neg), []
-    while neg and len(model.rules) < max_rules:
-        found = best(scored(p, pos, neg, cost, t_pos, t_neg, source), conjunction).orderBy(*tie_order(conjunction)).limit(1).collect()
+    while neg and len(model) < max_rules:
+        found = (tiebreaker or first)(best(scored(p, pos, neg, cost, t_pos, t_neg, source), conjunction), conjunction)
         if not found:
             break
-        rule = Rule(found[0].feature, found[0].kind)
+        rule = Rule(found.feature, found.kind)
         if most:
-            ties = best(scored(p, pos, neg, cost, t_pos, t_neg, every), conjunction).where(F.col("risk") == found[0].risk)
-            drawn = [Rule(r.feature, r.kind) for r in ties.orderBy(F.xxhash64("feature", "kind", F.lit(seed)), "feature", "kind").limit(most).collect()]
+            ties = best(scored(p, pos, neg, cost, t_pos, t_neg, every), conjunction).where(F.col("risk") == found.risk)
+            drawn = [Rule(r.feature, r.kind) for r in ties.select("feature", "kind").orderBy(F.xxhash64("feature", "kind", F.lit(seed)), "feature", "kind").limit(most).collect()]
             model.equivalent.append(sorted((r if conjunction else r.inverse() for r in drawn), key=lambda r: (r.feature, r.kind)))
-        x = columns(p, [rule.feature]).get(rule.feature, 0)
+        x = whole(found.words, p.n)
         ok = lambda i, x=x, r=rule: bool(x >> (p.n - 1 - i) & 1) == (r.kind == "presence")
         pos, neg = [i for i in pos if ok(i)], [i for i in neg if ok(i)]
         outputs.append({i: ok(i) for i in start})
-        model.rules.append(rule if conjunction else rule.inverse())
+        model.add(rule if conjunction else rule.inverse())
         if on_iteration:
-            on_iteration(model, found[0])
+            on_iteration(model, found)
     zero = [i for i in start if any(not o[i] for o in outputs)]
     model.importances = [sum(not o[i] for i in zero) / len(zero) if zero else 0.0 for o in outputs]
     return model
@@ -129,9 +209,9 @@ def fit_all(p: Problem, jobs: list[tuple[str, float, list[int]]], max_rules: int
 
     Searches whose examples left are the same share their counts; masks are data, so no step compiles code of its own.
     """
-    source = p.patterns
+    source = p.without(blacklist)[1]
     if blacklist is not None:
-        source = p.features.join(blacklist.select("feature"), "feature", "left_anti").groupBy("words").agg(F.min("feature").alias("feature")).persist()
+        source = source.persist()
     models, left, outputs, cols = [Model(t) for t, _, _ in jobs], [], [[] for _ in jobs], {}
     for t, _, rows in jobs:
         sides = [i for i in rows if p.labels[i] == 1], [i for i in rows if p.labels[i] == 0]
@@ -151,7 +231,7 @@ def fit_all(p: Problem, jobs: list[tuple[str, float, list[int]]], max_rules: int
         for (pos, neg, rows), own in states.items():
             every = [i for i in rows if p.labels[i] == 1], [i for i in rows if p.labels[i] == 0]
             lines.append((*(p.mask(x) for x in (pos, neg, *every)), *map(len, (pos, neg, *every)), own))
-        count = lambda m: F.aggregate(F.zip_with("words", m, lambda w, x: F.bit_count(w.bitwiseAND(x)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+        count = lambda m: counted("words", F.col(m))
         df = source.select("feature", "words").crossJoin(F.broadcast(p.features.sparkSession.createDataFrame(lines, STATES)))  # a row a state
         df = df.select("feature", "jobs", "n_pos", "n_neg", "t_pos", "t_neg", count("pos").alias("hp"), count("neg").alias("hn"), count("train_pos").alias("tp"), count("train_neg").alias("tn"))
         df = df.selectExpr("feature", "jobs", "n_pos", "n_neg", "hp", "hn", "bround((t_pos - tp + tn) / (t_pos + t_neg), 5) as r")
@@ -220,6 +300,26 @@ def prefix_risks(p: Problem, model: Model, test: list[int], max_rules: int, cols
     return out + [out[-1]] * (max_rules + 1 - len(out))
 
 
+def best_length(risks: DataFrame) -> DataFrame:
+    """length, score: of the risks (length, risk) of all folds, the least mean, and of equal ones the least length."""
+    return risks.groupBy("length").agg(F.avg("risk").alias("score")).orderBy("score", "length").limit(1)
+
+
+def close_to(a: float, b: float) -> bool:
+    """Equal within the tolerance of utilities; infinities are equal to themselves."""
+    return a == b or abs(a - b) <= ATOL + RTOL * abs(b)
+
+
+def least(tried: list[tuple], close: bool, lower_wins: bool = False) -> tuple:
+    """The first of the tuples in order, their first being scores. With close, scores close to the best so far are ties; with lower_wins not if they are lower."""
+    best = tried[0]
+    for x in tried[1:]:
+        tie = x[0] == best[0] or close and close_to(x[0], best[0])
+        if x[0] < best[0] and (lower_wins or not tie) or tie and x[1:4] < best[1:4]:
+            best = x
+    return best
+
+
 def learn_scm(p: Problem, train: list[int], folds: list[int] | None = None, types=("conjunction", "disjunction"), costs=P_GRID, max_rules: int = 10, selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None, most: int = 0, seed: int = 0) -> tuple[Model, dict]:
     """The best model over the grid, trained on all of train. folds[k] is the fold of train[k]. Ties: score, fewer rules, p nearer to 1, place in the grid."""
     size = genome_size or p.features.count()
@@ -233,14 +333,16 @@ def learn_scm(p: Problem, train: list[int], folds: list[int] | None = None, type
         own = models[place * len(parts) : (place + 1) * len(parts)]
         if selection == "cv":
             by_fold = [prefix_risks(p, m, outside, max_rules, cols) for m, (_, outside) in zip(own, parts, strict=True)]
-            mean = [sum(x) / len(x) for x in zip(*by_fold, strict=True)]
+            mean = [round(sum(x) / len(x), 12) for x in zip(*by_fold, strict=True)]
             score = min(mean)
             tried.append((score, mean.index(score), abs(1 - c), place, t, c, None))
         else:
             options = [Model(t, own[0].rules[:k], importances=own[0].importances[:k]) for k in range(len(own[0].rules) + 1)]
-            score, k = min((model_bound(p, o, train, size, delta, cols=cols), k) for k, o in enumerate(options))
+            bounds = [model_bound(p, o, train, size, delta, cols=cols) for o in options]
+            score = min(bounds)
+            k = bounds.index(score)
             tried.append((score, k, abs(1 - c), place, t, c, options[k]))
-    score, k, _, _, t, c, model = min(tried, key=lambda x: x[:4])
+    score, k, _, _, t, c, model = least(tried, selection == "cv")
     if model is None or most:
         model = fit(p, t, c, k, train, blacklist, None, most, seed)
     return model, {"type": t, "p": c, "max_rules": k, "score": score}

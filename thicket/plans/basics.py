@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, kmers, metrics
-from ..operators import matrix, splits
+from ..operators import cart, matrix, scm, splits
+from ..sources import ingest
 from ..sources.formats import encode, unpivot
-from ..sources.views import duck, load
+from ..sources.views import duck, load, read, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,10 +26,6 @@ def query(sql: str | None):
     return keep
 
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 DOC = duck("doc")
 
 
@@ -43,7 +40,7 @@ KMER = f"WITH s AS (SELECT doc_id AS gi, {SEQ} AS s FROM documents), k AS (SELEC
 
 
 def sequences(spark, d):
-    return read(spark, d, "documents").selectExpr("doc_id as gi", "upper(regexp_replace(lower(text), '[^acgt]', '')) as seq")
+    return spread(read(spark, d, "documents").select("doc_id", "text")).selectExpr("doc_id as gi", "upper(regexp_replace(lower(text), '[^acgt]', '')) as seq")
 
 
 @query(KMER + " SELECT gi, kmer, count(*)::BIGINT AS n FROM k GROUP BY ALL")
@@ -69,12 +66,8 @@ def kmer_canonical(spark, d):
 
 @query(KMER + " SELECT f AS feature, dense_rank() OVER (ORDER BY f)::BIGINT - 1 AS kmer_id, n FROM (SELECT kmer AS f, count(DISTINCT gi)::BIGINT AS n FROM k GROUP BY 1)")
 def kmer_matrix(spark, d):
-    """kmer_id counts k-mers in order of their letters: ranks of range partitions plus the sizes of those before, no single sorted task."""
     own = kmers.presence(kmers.enumerate_kmers(sequences(spark, d), 9)).groupBy("feature").agg(F.count("*").alias("n"))
-    part = own.withColumn("part", F.expr("substring(feature, 1, 3)"))  # 64 prefixes
-    before = part.groupBy("part").count().selectExpr("part", "sum(count) over (order by part) - count as before")
-    rank = part.selectExpr("*", "row_number() over (partition by part order by feature) as i")
-    return rank.join(F.broadcast(before), "part").selectExpr("feature", "before + i - 1 as kmer_id", "n")
+    return kmers.numbered(own).select("feature", "kmer_id", "n")
 
 
 @query("SELECT c_custkey AS example_id, c_mktsegment AS tag, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INT AS label FROM customer")
@@ -84,12 +77,12 @@ def label_encode(spark, d):
 
 @query("SELECT doc_id, quality FROM documents JOIN labels USING (doc_id)")
 def metadata_inner(spark, d):
-    return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id").select("doc_id", "quality")
+    return ingest.matched(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id").select("doc_id", "quality")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def metadata_missing_anti(spark, d):
-    return read(spark, d, "documents").select("doc_id").join(read(spark, d, "labels"), "doc_id", "left_anti")
+    return ingest.unmatched(read(spark, d, "documents"), read(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT doc_id, (row_number() OVER (ORDER BY quality, doc_id) - 1)::INT AS gi FROM labels JOIN documents USING (doc_id)")
@@ -99,7 +92,7 @@ def genome_order(spark, d):
 
 @query(DOC + " SELECT count(DISTINCT gi)::BIGINT AS examples, count(DISTINCT f)::BIGINT AS features, count(*)::BIGINT AS edges FROM e")
 def dataset_info(spark, d):
-    return load(spark, d, "doc")[1].agg(F.countDistinct("gi").alias("examples"), F.countDistinct("feature").alias("features"), F.count("*").alias("edges"))
+    return matrix.info(matrix.of_view(spark, d, "doc"))
 
 
 @query(DOC + " SELECT label, count(*)::BIGINT AS n FROM ex GROUP BY 1")
@@ -123,7 +116,7 @@ WORD = "sum(CASE WHEN gi % 64 = 0 THEN -9223372036854775808::HUGEINT ELSE (1::HU
 
 @query(DOC + f" SELECT f AS feature, (gi // 64)::INT AS word, {WORD} AS bits FROM e GROUP BY 1, 2")
 def pack_bits(spark, d):
-    return matrix.of_view(spark, d, "doc").features.select("feature", F.posexplode("words").alias("word", "bits")).where("bits <> 0")
+    return matrix.of_view(spark, d, "doc").features.select("feature", F.explode("words").alias("w")).selectExpr("feature", "w.at as word", "w.bits")
 
 
 @query(DOC + " SELECT f AS feature, gi FROM e")
@@ -134,8 +127,8 @@ def unpack_bits(spark, d):
 @query(DOC + " SELECT f AS feature, (gi // 64)::INT AS word, count(*)::INT AS n FROM e WHERE gi % 2 = 0 GROUP BY 1, 2")
 def popcount(spark, d):
     p = matrix.of_view(spark, d, "doc")
-    m = p.mask([i for i in range(p.n) if i % 2 == 0])
-    df = p.features.select("feature", F.posexplode(F.zip_with("words", F.array(*map(F.lit, m)), lambda w, x: F.bit_count(w.bitwiseAND(x)))).alias("word", "n"))
+    m = F.array(*map(F.lit, p.mask([i for i in range(p.n) if i % 2 == 0])))
+    df = p.features.select("feature", F.explode("words").alias("w")).select("feature", F.col("w.at").alias("word"), F.bit_count(F.col("w.bits").bitwiseAND(F.get(m, F.col("w.at")))).alias("n"))
     return df.where("n > 0")
 
 
@@ -163,9 +156,7 @@ def risk_dense_rank(spark, d):
 @query(DOC + ", f5 AS (SELECT f FROM fs ORDER BY f LIMIT 5) SELECT f AS feature, gi, (e.gi IS NOT NULL)::INT AS presence, (e.gi IS NULL)::INT AS absence FROM f5 CROSS JOIN ex LEFT JOIN e USING (f, gi)")
 def get_columns(spark, d):
     p = matrix.of_view(spark, d, "doc")
-    few = p.features.orderBy("feature").limit(5)  # the feature is a list of columns
-    df = few.select("feature", "words", F.explode(F.sequence(F.lit(0), F.lit(p.n - 1))).alias("gi"))
-    return df.select("feature", "gi", bits.has(F.col("words"), F.col("gi")).cast("int").alias("presence")).selectExpr("*", "1 - presence as absence")
+    return matrix.get_columns(p, p.features.orderBy("feature").limit(5))  # the query's own list of columns
 
 
 @query(DOC + " SELECT f AS feature, count(*)::BIGINT AS present, count(*) FILTER (gi % 3 = 0)::BIGINT AS in_third, count(*) FILTER (gi % 3 <> 0)::BIGINT AS left_over FROM e GROUP BY 1")
@@ -177,34 +168,31 @@ def remove_rows(spark, d):
 
 @query(DOC + " SELECT gi, (EXISTS (SELECT 1 FROM e WHERE e.gi = ex.gi AND f = 'the'))::INT AS presence, (NOT EXISTS (SELECT 1 FROM e WHERE e.gi = ex.gi AND f = 'the'))::INT AS absence FROM ex")
 def rule_classify(spark, d):
-    examples, edges = load(spark, d, "doc")
-    have = edges.where("feature = 'the'").select("gi", F.lit(1).alias("x"))
-    return examples.join(have, "gi", "left").selectExpr("gi", "coalesce(x, 0) as presence", "1 - coalesce(x, 0) as absence")
+    have = matrix.of_view(spark, d, "doc").having(["the"])
+    said = [scm.Model("conjunction", [scm.Rule("the", k)]).expression().alias(k) for k in ("presence", "absence")]
+    return have.select("gi", *said)
 
 
 @query(DOC + " SELECT 'Presence(' || f || ')' AS rule FROM fs UNION ALL SELECT 'Absence(' || f || ')' FROM fs")
 def rule_string(spark, d):
-    df = load(spark, d, "doc")[1].select("feature").distinct().select("feature", F.explode(F.array(F.lit("presence"), F.lit("absence"))).alias("kind"))
-    return df.selectExpr("concat(initcap(kind), '(', feature, ')') as rule")
+    return matrix.rules(matrix.of_view(spark, d, "doc").features).selectExpr(f"{matrix.rule_text()} as rule")
 
 
 @query(DOC + " SELECT kind, count(*)::BIGINT AS n FROM (SELECT 'presence' AS kind FROM fs UNION ALL SELECT 'absence' FROM fs) GROUP BY 1")
 def rules_union(spark, d):
-    f = load(spark, d, "doc")[1].select("feature").distinct()
-    return f.withColumn("kind", F.lit("presence")).unionByName(f.withColumn("kind", F.lit("absence"))).groupBy("kind").agg(F.count("*").alias("n"))
+    return matrix.rules(matrix.of_view(spark, d, "doc").features).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(DOC + ", h AS (SELECT f, count(*)::BIGINT AS n FROM e GROUP BY 1) SELECT f AS feature, n FROM h WHERE f NOT IN (SELECT f FROM h WHERE n >= 100)")
 def blacklist_antijoin(spark, d):
-    n = load(spark, d, "doc")[1].groupBy("feature").agg(F.count("*").alias("n"))
-    return n.join(n.where("n >= 100").select("feature"), "feature", "left_anti")
+    p = matrix.of_view(spark, d, "doc")
+    n = bits.masked_count("words", p.mask(range(p.n))).alias("n")
+    return p.without(p.features.select("feature", n).where("n >= 100"))[0].select("feature", n)
 
 
 @query("SELECT t.type, p.p FROM (VALUES ('conjunction'), ('disjunction')) t(type) CROSS JOIN (VALUES (0.1::DOUBLE), (0.316::DOUBLE), (0.562::DOUBLE), (1::DOUBLE), (1.778::DOUBLE), (3.162::DOUBLE), (10::DOUBLE), (999999::DOUBLE)) p(p)")
 def hp_grid(spark, d):
-    from ..operators.scm import P_GRID
-
-    return spark.createDataFrame([(t, c) for t in ("conjunction", "disjunction") for c in P_GRID], "type string, p double")
+    return spark.createDataFrame([(t, c) for t in ("conjunction", "disjunction") for c in scm.P_GRID], "type string, p double")
 
 
 ROLE = "CASE WHEN example_id % 5 = 0 THEN 'test' ELSE 'train' END"
@@ -212,7 +200,10 @@ ROLE = "CASE WHEN example_id % 5 = 0 THEN 'test' ELSE 'train' END"
 
 @query(DOC + f" SELECT {ROLE} AS role, count(*)::BIGINT AS n, sum(label)::BIGINT AS positives FROM ex GROUP BY 1")
 def split_stats(spark, d):
-    return load(spark, d, "doc")[0].selectExpr(f"{ROLE} as role", "label").groupBy("role").agg(F.count("*").alias("n"), F.sum("label").alias("positives"))
+    examples = load(spark, d, "doc")[0]
+    known = {r.example_id: r.gi for r in examples.collect()}
+    made = splits.by_ids(known, [x for x in known if x % 5], [x for x in known if x % 5 == 0], 42)
+    return splits.summary(splits.table(spark, *made), examples)
 
 
 @query(DOC + ", t AS (SELECT (row_number() OVER (ORDER BY gi) - 1) % 5 AS fold FROM ex WHERE example_id % 5 <> 0) SELECT fold::INT AS fold, count(*)::BIGINT AS n FROM t GROUP BY 1")
@@ -225,14 +216,13 @@ def fold_sizes(spark, d):
 
 @query(DOC + " SELECT gi, example_id FROM ex WHERE example_id IN (SELECT item_id FROM benchmark)")
 def split_ids(spark, d):
-    examples = load(spark, d, "doc")[0]
-    return examples.join(read(spark, d, "benchmark").select(F.col("item_id").alias("example_id")).distinct(), "example_id").select("gi", "example_id")
+    return splits.located(load(spark, d, "doc")[0], read(spark, d, "benchmark").select(F.col("item_id").alias("example_id")))[0]
 
 
 @query("SELECT count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS own FROM (SELECT doc_id FROM labels WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 5 <> 0)")
 def split_overlap_check(spark, d):
-    x = read(spark, d, "labels").select("doc_id")
-    return x.where("doc_id % 5 = 0").unionAll(x.where("doc_id % 5 <> 0")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("own"))
+    x = read(spark, d, "labels")
+    return splits.overlap(x.where("doc_id % 5 = 0"), x.where("doc_id % 5 <> 0"), "doc_id")
 
 
 PRED = "SELECT quality AS label, toxic AS pred FROM labels"
@@ -252,6 +242,6 @@ def confusion_matrix(spark, d):
 
 @query("WITH s AS (SELECT k, k * 0.25::DOUBLE AS lo, CASE WHEN k = 7 THEN 'Infinity'::DOUBLE ELSE (k + 1) * 0.25::DOUBLE END AS hi FROM range(8) t(k)) SELECT event_id, s.k::BIGINT AS step FROM events JOIN s ON abs(value) / 20::DOUBLE >= lo AND abs(value) / 20::DOUBLE < hi")
 def alpha_range_join(spark, d):
-    """Half-open steps of a few alphas: their side is eight rows."""
-    s = spark.range(8).selectExpr("id as step", "id * 0.25D as lo", "if(id = 7, double('Infinity'), (id + 1) * 0.25D) as hi")
-    return read(spark, d, "events").selectExpr("event_id", "abs(value) / 20D as a").join(F.broadcast(s), F.expr("a >= lo and a < hi")).select("event_id", "step")
+    """Half-open steps of a few alphas."""
+    events = read(spark, d, "events").selectExpr("event_id", "abs(value) / 20D as a")
+    return cart.looked_up(events, "a", [(k * 0.25, k) for k in range(8)], "step", "long").select("event_id", "step")
\ No newline at end of file

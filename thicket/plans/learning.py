@@ -81,8 +81,7 @@ def scm_fit_disj(spark, d):
 def scm_iter2(spark, d):
     """Examples that are left after the first rule."""
     p, model = fitted(spark, d, "conjunction", 1)
-    pred = model.predict(scm.columns(p, [r.feature for r in model.rules]), p.n)
-    return spark.createDataFrame([(p.labels[i],) for i in range(p.n) if pred[i]], "label int").groupBy("label").agg(F.count("*").alias("n"))
+    return p.having(model.features()).where(model.expression() == 1).groupBy("label").agg(F.count("*").alias("n"))
 
 
 def holds(k: int) -> str:
@@ -94,8 +93,7 @@ PREDICTED = f"pr AS (SELECT gi, label, ({holds(1)} AND {holds(2)})::INT AS pred
 
 def predicted(spark, d, type="conjunction", steps=2, view="doc"):
     p, model = fitted(spark, d, type, steps, view=view)
-    pred = model.predict(scm.columns(p, [r.feature for r in model.rules]), p.n)
-    return p, model, spark.createDataFrame([(i, p.labels[i], pred[i]) for i in range(p.n)], "gi int, label int, pred int")
+    return p, model, p.having(model.features()).select("gi", "label", model.expression().alias("pred"))
 
 
 @query(scm_sql(DOC, 2) + f", {PREDICTED} SELECT gi, label, pred FROM pr")
@@ -166,7 +164,7 @@ def scm_cv_length1(spark, d):
 
 @query("SELECT doc_id % 4 AS length, avg(quality)::DOUBLE AS score FROM labels GROUP BY 1 ORDER BY score, length LIMIT 1")
 def cv_mean_by_length(spark, d):
-    return spark.read.parquet(f"{d}/labels.parquet").groupBy(F.expr("doc_id % 4").alias("length")).agg(F.avg("quality").alias("score")).orderBy("score", "length").limit(1)
+    return scm.best_length(spark.read.parquet(f"{d}/labels.parquet").selectExpr("doc_id % 4 as length", "quality as risk"))
 
 
 def cart_sql(steps: int, criterion: str = "gini") -> str:
@@ -241,8 +239,7 @@ sm AS (SELECT has, arg_max(label, (n, -label)) AS pred, max(n) AS most, sum(n) A
 @query(cart_sql(1) + SIDE + " SELECT gi, label, pred FROM s JOIN sm USING (has)")
 def tree_predict(spark, d):
     p, root, priors = grown(spark, d, 1)
-    got = cart.predict(root, priors, scm.columns(p, cart.tree_features(root)), p.n, list(range(p.n)))
-    return spark.createDataFrame([(i, p.labels[i], got[i]) for i in range(p.n)], "gi int, label int, pred int")
+    return p.having(cart.tree_features(root)).select("gi", "label", cart.expression(root, priors).alias("pred"))
 
 
 @query(cart_sql(1) + SIDE + ", g AS (SELECT (SELECT sum(most) FROM sm) AS deep, (SELECT max(n) FROM (SELECT sum(n) AS n FROM sc GROUP BY label)) AS flat, (SELECT sum(n) FROM sm) AS n) SELECT round((deep - flat)::DOUBLE / n, 9) AS alpha FROM g")

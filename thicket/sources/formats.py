@@ -26,16 +26,19 @@ def paths(spark: SparkSession, listing: str) -> DataFrame:
 
 
 def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, name, seq (upper case) of every record."""
-    whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    record = whole.select("path", F.explode(F.expr("filter(split(concat('\n', value), '\n>'), (r, i) -> i > 0)")).alias("r"))
-    return record.selectExpr("path", "trim(substring_index(r, '\n', 1)) as name", "upper(regexp_replace(substring(r, length(substring_index(r, '\n', 1)) + 1), '\\\\s', '')) as seq")
+    """path, name, seq (upper case) of every record. Records are lines that end before the next `>`, so a large file is read in parts."""
+    record = spark.read.text(path, lineSep="\n>").withColumn("path", F.input_file_name()).selectExpr("path", "trim(LEADING '>' FROM value) as r")
+    df = record.selectExpr("path", "trim(BOTH ' \r' FROM substring_index(r, '\n', 1)) as name", "upper(regexp_replace(substring(r, length(substring_index(r, '\n', 1)) + 1), '\\\\s', '')) as seq")
+    return df.where("name <> '' or seq <> ''")
 
 
 def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """path, seq: the second of each four lines, of plain or gzip files."""
-    whole = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    return whole.select("path", F.explode(F.expr("filter(split(value, '\n'), (l, i) -> i % 4 = 1)")).alias("seq")).withColumn("seq", F.expr("upper(trim(seq))"))
+    """path, seq of records of four lines, from plain files, which are read in parts, or gzip ones, which are not.
+
+    A record ends before the next line that begins with `@`. Where that is a line of qualities, what follows has no third line with a `+`, and is none.
+    """
+    record = spark.read.text(path, lineSep="\n@").withColumn("path", F.input_file_name()).selectExpr("path", "split(value, '\n') as l")
+    return record.where("size(l) >= 3 and startswith(l[2], '+')").selectExpr("path", "upper(trim(BOTH ' \r' FROM l[1])) as seq")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
@@ -44,13 +47,12 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode(tags: DataFrame) -> DataFrame:
-    """example_id, tag, label: labels count the distinct tags in order."""
+    """example_id, tag, label: labels count the distinct tags in order; there are from 2 to 255."""
     own = tags.select("tag").distinct().selectExpr("tag", "cast(dense_rank() over (order by tag) - 1 as int) as label")
-    return tags.join(F.broadcast(own), "tag") if own.count() <= 255 else _too_many()
-
-
-def _too_many():
-    raise ValueError("at most 255 classes")
+    n = own.count()
+    if not 2 <= n <= 255:
+        raise ValueError(f"there are {n} classes; from 2 to 255 can be learnt")
+    return tags.join(F.broadcast(own), "tag")
 
 
 def ids(spark: SparkSession, path: str) -> list[str]:

@@ -16,6 +16,16 @@ log = logging.getLogger(__name__)
 LONGEST = 128
 
 
+def matched(ids: DataFrame, given: DataFrame, key: str = "example_id") -> DataFrame:
+    """Examples with their metadata; those of one side alone go."""
+    return ids.select(key).join(given, key)
+
+
+def unmatched(a: DataFrame, b: DataFrame, key: str = "example_id") -> DataFrame:
+    """Ids of a that b lacks."""
+    return a.select(key).join(b.select(key), key, "left_anti")
+
+
 def examples(ids: DataFrame, metadata: str | None) -> tuple[DataFrame, DataFrame | None]:
     """examples(gi, example_id, label) and tags(label, tag). Ids without a label and labels without an example are named in a warning and left out; without metadata labels are null."""
     spark = ids.sparkSession
@@ -28,11 +38,11 @@ def examples(ids: DataFrame, metadata: str | None) -> tuple[DataFrame, DataFrame
         if repeated:
             raise ValueError(f"labelled twice: {', '.join(sorted(r.example_id for r in repeated))}")
         for a, b, what in ((ids, given, "without a label"), (given, ids, "without data")):
-            lost = sorted(r.example_id for r in a.select("example_id").join(b.select("example_id"), "example_id", "left_anti").collect())
+            lost = sorted(r.example_id for r in unmatched(a, b).collect())
             if lost:
                 log.warning("left out, %s: %s", what, ", ".join(lost))
-        own = encode(given.join(ids.select("example_id"), "example_id"))
-        known, tags = own.select("example_id", "label"), own.select("label", "tag").distinct()
+        own = encode(given)  # all labels count, those without data too
+        known, tags = matched(ids, own).select("example_id", "label"), own.select("label", "tag").distinct()
     return known.selectExpr("cast(row_number() over (order by label, example_id) - 1 as int) as gi", "example_id", "label"), tags
 
 
