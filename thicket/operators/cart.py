@@ -11,7 +11,7 @@ from statistics import pvariance
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bits import masked_count
+from ..functions.bits import counted
 from .matrix import Problem
 from .scm import columns, compression_set, guarded, least
 
@@ -80,63 +80,96 @@ class Priors:
         return sum(a * (1 - a) for a in q) if criterion == "gini" else -sum(a * math.log(a) for a in q if a)
 
 
-def impurity_sql(joint: list[str], criterion: str) -> str:
-    """p(t) i(t) from the joint probabilities of a node; 0 for an empty one."""
-    t = " + ".join(joint)
-    if criterion == "gini":
-        return f"case when {t} = 0 then 0D else ({t}) - ({' + '.join(f'{j} * {j}' for j in joint)}) / ({t}) end"
-    return "(" + " + ".join(f"case when {j} = 0 then 0D else -{j} * ln({j} / ({t})) end" for j in joint) + ")"
+def weighed(counts: Column, weight: Column, entropy: Column) -> Column:
+    """p(t) i(t) of a node from its counts by class; 0 for an empty one. Sums go in the order of classes."""
+    joint = F.zip_with(weight, counts, lambda w, n: w * n)
+    zero = F.lit(0.0)
+    t = F.aggregate(joint, zero, lambda a, j: a + j)
+    gini = F.when(t == 0, zero).otherwise(t - F.aggregate(joint, zero, lambda a, j: a + j * j) / F.when(t == 0, 1.0).otherwise(t))
+    return F.when(entropy, F.aggregate(joint, zero, lambda a, j: a + F.when(j == 0, zero).otherwise(-j * F.ln(F.when(j == 0, 1.0).otherwise(j / t))))).otherwise(gini)
+
+
+STATES = "job int, node int, masks array<array<bigint>>, train array<bigint>, totals array<bigint>, weight array<double>, entropy boolean"
+
+
+def scores_of(p: Problem, states: list[tuple], source: DataFrame) -> DataFrame:
+    """job, node, feature, score, occurrences: open nodes of any trees in one scan, masks being data; splits with an empty side are left out."""
+    df = source.select("feature", "words").crossJoin(F.broadcast(source.sparkSession.createDataFrame(states, STATES)))  # a row an open node
+    df = df.select("job", "node", "feature", "totals", "weight", "entropy", counted("words", F.col("train")).alias("occurrences"), F.transform("masks", lambda m: counted("words", m)).alias("l"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, n: a + n)
+    df = df.where((total("l") > 0) & (total("l") < total("totals")))
+    right = F.zip_with("totals", "l", lambda n, m: n - m)
+    score = weighed(F.col("l"), F.col("weight"), F.col("entropy")) + weighed(right, F.col("weight"), F.col("entropy"))
+    return df.select("job", "node", "feature", F.round(score, 12).alias("score"), "occurrences")
+
+
+def state(p: Problem, job: int, node: int, x: Node, priors: Priors, criterion: str, train: list[int]) -> tuple:
+    by_class = [p.mask([i for i in x.rows if p.labels[i] == c]) for c in range(len(priors.per_row))]
+    return job, node, by_class, train, x.counts, priors.per_row, criterion != "gini"
 
 
 def split_scores(p: Problem, nodes: list[Node], priors: Priors, criterion: str, train: list[int], source: DataFrame | None = None) -> DataFrame:
-    """node, feature, score, occurrences: all open nodes of a level in one scan; splits with an empty side are left out."""
-    classes = len(priors.per_row)
-    by_class = [[[i for i in x.rows if p.labels[i] == c] for c in range(classes)] for x in nodes]
-    base = (p.patterns if source is None else source).select("feature", masked_count(F.col("words"), p.mask(train)).alias("occurrences"), *(masked_count(F.col("words"), p.mask(by_class[k][c])).alias(f"c{k}_{c}") for k in range(len(nodes)) for c in range(classes)))
-    parts = []
-    for k, x in enumerate(nodes):
-        left = [f"{priors.per_row[c]!r}D * c{k}_{c}" for c in range(classes)]
-        right = [f"{priors.per_row[c]!r}D * ({x.counts[c]} - c{k}_{c})" for c in range(classes)]
-        some = " + ".join(f"c{k}_{c}" for c in range(classes))
-        parts.append(f"struct({k} as node, if({some} > 0 and {some} < {sum(x.counts)}, round({impurity_sql(left, criterion)} + {impurity_sql(right, criterion)}, 12), null) as score)")
-    return base.selectExpr("feature", "occurrences", f"explode(array({', '.join(parts)})) as x").selectExpr("x.node", "feature", "x.score", "occurrences").where("score is not null")
+    """node, feature, score, occurrences of the nodes of one tree."""
+    mask = p.mask(train)
+    return scores_of(p, [state(p, 0, k, x, priors, criterion, mask) for k, x in enumerate(nodes)], p.patterns if source is None else source).drop("job")
 
 
 def best_splits(scores: DataFrame) -> DataFrame:
-    """node, feature, score: least score, then most occurrences, then first name."""
-    return scores.groupBy("node").agg(F.expr("min(struct(score, -occurrences as o, feature)) as x")).selectExpr("node", "x.feature", "x.score")
+    """job, node, feature, score: least score, then most occurrences, then first name."""
+    return scores.groupBy("job", "node").agg(F.expr("min(struct(score, -occurrences as o, feature)) as x")).selectExpr("job", "node", "x.feature", "x.score")
 
 
-def grow(p: Problem, train: list[int] | None = None, criterion: str = "gini", max_depth: int = 10, min_split: int = 2, weights: list[float] | None = None, blacklist: DataFrame | None = None, classes: int | None = None, on_level=None, on_split=None) -> tuple[Node, Priors]:
-    """on_split(node) is told of each split, on_level(depth, nodes) of each level that has been split."""
-    criterion = {"crossentropy": "cross-entropy"}.get(criterion, criterion)
-    if criterion not in ("gini", "cross-entropy") or max_depth < 1 or min_split < 2:
-        raise ValueError("criterion is gini or cross-entropy, max_depth at least 1, min_split at least 2")
-    rows = list(range(p.n)) if train is None else train
+@dataclass
+class Growth:
+    """What a tree is grown from."""
+
+    rows: list[int]
+    criterion: str = "gini"
+    max_depth: int = 10
+    min_split: int = 2
+    weights: list[float] | None = None
+
+    def __post_init__(self):
+        self.criterion = {"crossentropy": "cross-entropy"}.get(self.criterion, self.criterion)
+        if self.criterion not in ("gini", "cross-entropy") or self.max_depth < 1 or self.min_split < 2:
+            raise ValueError("criterion is gini or cross-entropy, max_depth at least 1, min_split at least 2")
+
+    def open(self, x: Node) -> bool:
+        return x.depth < self.max_depth and len(x.rows) >= self.min_split and sum(n > 0 for n in x.counts) > 1
+
+
+def grow_all(p: Problem, jobs: list[Growth], blacklist: DataFrame | None = None, classes: int | None = None, on_level=None, on_split=None) -> tuple[list[tuple[Node, Priors]], dict[str, int]]:
+    """The trees of all jobs, and the columns of their features. A level of all trees is one scan.
+
+    on_split(node) is told of each split, on_level(depth, nodes) of each level that has been split.
+    """
     c = classes or max(p.labels) + 1
-    count = lambda rows: [sum(p.labels[i] == k for i in rows) for k in range(c)]
-    root = Node(rows, count(rows), 0)
-    priors, level = Priors(root.counts, weights), [root]
-    source = p.without(blacklist)[1]
-    while level:
-        level = [x for x in level if x.depth < max_depth and len(x.rows) >= min_split and sum(n > 0 for n in x.counts) > 1]
-        if not level:
-            break
-        found = {r.node: r for r in best_splits(split_scores(p, level, priors, criterion, rows, source)).collect()}
-        cols, after = columns(p, [r.feature for r in found.values()]), []
-        for k, x in enumerate(level):
+    count = lambda rows: [sum(n) for n in zip(*([p.labels[i] == k for k in range(c)] for i in rows), strict=True)] if rows else [0] * c
+    roots = [Node(j.rows, count(j.rows), 0) for j in jobs]
+    priors, masks = [Priors(x.counts, j.weights) for x, j in zip(roots, jobs, strict=True)], [p.mask(j.rows) for j in jobs]
+    source, cols, level = p.without(blacklist)[1], {}, list(enumerate(roots))
+    while level := [(j, x) for j, x in level if jobs[j].open(x)]:
+        states = [state(p, j, k, x, priors[j], jobs[j].criterion, masks[j]) for k, (j, x) in enumerate(level)]
+        found = {r.node: r.feature for r in best_splits(scores_of(p, states, source)).collect()}
+        cols |= columns(p, [f for f in found.values() if f not in cols])
+        after = []
+        for k, (j, x) in enumerate(level):
             if k in found:
-                x.feature = found[k].feature
+                x.feature = found[k]
                 has = lambda i, f=x.feature: cols[f] >> (p.n - 1 - i) & 1
-                sides = [i for i in x.rows if has(i)], [i for i in x.rows if not has(i)]
-                x.left, x.right = (Node(s, count(s), x.depth + 1) for s in sides)
-                after += [x.left, x.right]
+                x.left, x.right = (Node(s, count(s), x.depth + 1) for s in ([i for i in x.rows if has(i)], [i for i in x.rows if not has(i)]))
+                after += [(j, x.left), (j, x.right)]
                 if on_split:
                     on_split(x)
         if on_level:
-            on_level(level[0].depth + 1, after)
+            on_level(level[0][1].depth + 1, [x for _, x in after])
         level = after
-    return root, priors
+    return list(zip(roots, priors, strict=True)), cols
+
+
+def grow(p: Problem, train: list[int] | None = None, criterion: str = "gini", max_depth: int = 10, min_split: int = 2, weights: list[float] | None = None, blacklist: DataFrame | None = None, classes: int | None = None, on_level=None, on_split=None) -> tuple[Node, Priors]:
+    rows = list(range(p.n)) if train is None else train
+    return grow_all(p, [Growth(rows, criterion, max_depth, min_split, weights)], blacklist, classes, on_level, on_split)[0][0]
 
 
 def equivalents(p: Problem, root: Node, priors: Priors, criterion: str, train: list[int], most: int = 10_000, seed: int = 0, blacklist: DataFrame | None = None) -> list[list[str]]:
@@ -289,29 +322,28 @@ def looked_up(df: DataFrame, a: str, steps: list[tuple[float, float]], out: str,
 
 
 def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, criteria=("gini",), depths=(10,), min_splits=(2,), weights=(None,), selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None) -> tuple[Node, Priors, dict]:
-    """The best pruned tree over the grid. Ties: score, size, variance of the class importances, place in the grid; a more pruned tree wins among equals of one sequence."""
+    """The best pruned tree over the grid. Ties: score, size, variance of the class importances, place in the grid; a more pruned tree wins among equals of one sequence.
+
+    The trees of all settings, and of all folds, grow in common scans.
+    """
     size, classes, tried = genome_size or p.features.count(), max(p.labels) + 1, []
-    for place, (c, d, s, w) in enumerate((c, d, s, w) for c in criteria for d in depths for s in min_splits for w in weights):
-        root, priors = grow(p, train, c, d, s, w, blacklist, classes)
-        master = prune_sequence(root, priors)
-        scores = []
+    grid = [(c, d, s, w) for c in criteria for d in depths for s in min_splits for w in weights]
+    parts = [(train, [])]
+    if selection == "cv":
+        parts += [([i for i, g in zip(train, folds, strict=True) if g != f], [i for i, g in zip(train, folds, strict=True) if g == f]) for f in sorted(set(folds))]
+    trees, cols = grow_all(p, [Growth(inside, c, d, s, w) for c, d, s, w in grid for inside, _ in parts], blacklist, classes)
+    for place, (c, d, s, w) in enumerate(grid):
+        (root, priors), *inner = trees[place * len(parts) : (place + 1) * len(parts)]
+        master, scores = prune_sequence(root, priors), []
         if selection == "cv":
-            steps = []
-            for f in sorted(set(folds)):
-                inside = [i for i, g in zip(train, folds, strict=True) if g != f]
-                outside = [i for i, g in zip(train, folds, strict=True) if g == f]
-                r, q = grow(p, inside, c, d, s, w, blacklist, classes)
-                cols = columns(p, tree_features(r))
-                steps.append([(a, risk_of(t, q, p, outside, cols)) for a, t in prune_sequence(r, q)])
+            steps = [[(a, risk_of(t, q, p, outside, cols)) for a, t in prune_sequence(r, q)] for (r, q), (_, outside) in zip(inner, parts[1:], strict=True)]
             for k, (a, _) in enumerate(master):
                 mid = math.sqrt(a * master[k + 1][0]) if k + 1 < len(master) else math.inf
                 scores.append(sum(step_value(st, mid) for st in steps) / len(steps))
         else:
-            every = columns(p, tree_features(root))
             for _, t in master:
-                cols = {f: every[f] for f in tree_features(t)}
-                got = predict(t, priors, cols, p.n, train)
-                z = compression_set(list(cols.values()), train, p.n) if cols else []
+                got, own = predict(t, priors, cols, p.n, train), [cols[f] for f in tree_features(t)]
+                z = compression_set(own, train, p.n) if own else []
                 wrong = {i for i in train if got[i] != p.labels[i]} - set(z)
                 scores.append(tree_bound(len(train), len(z), len(wrong), sum(not x.leaf for x in t.walk()), size, classes, delta))
         k = max(range(len(master)), key=lambda k: (-scores[k], k))
