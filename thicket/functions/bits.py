@@ -31,7 +31,7 @@ def counted(words: Column | str, of: Column) -> Column:
 
 def masked_count(words: Column | str, of: list[int]) -> Column:
     """How many examples of the mask have the feature."""
-    return counted(words, F.array(*map(F.lit, of))) if any(of) else F.lit(0).cast("long")
+    return counted(words, F.expr(f"array({', '.join(f'{w}L' for w in of)})")) if any(of) else F.lit(0).cast("long")
 
 
 def has(words: Column | str, gi: Column) -> Column:

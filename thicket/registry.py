@@ -1,6 +1,6 @@
 """All queries of this library and their SQL."""
 
-from .plans import basics, learning  # noqa: F401
+from .plans import basics, learning, states  # noqa: F401
 
 
 def queries() -> dict:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 import zlib
 from dataclasses import dataclass
 
@@ -43,6 +45,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which a cluster shares; a local session without one gets a local folder."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: a dataset needs a folder that all executors share")
+        top = f"file://{tempfile.gettempdir()}/thicket"
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """SQL over the tables of a folder; they are registered under names of this library's own, so no view of the caller's is replaced."""
     own = f"thicket_{zlib.crc32(sf_dir.encode()):08x}_"
