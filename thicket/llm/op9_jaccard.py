@@ -52,7 +52,12 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
         return h
     n = min(len(h), size)
     out = windows(h, n)
-    return np.unique(out if n == size else mix(out + U(n)))
+    if n < size:
+        out = mix(out + U(n))
+    out.sort()
+    first = np.ones(len(out), dtype=bool)
+    np.not_equal(out[1:], out[:-1], out=first[1:])
+    return out[first]
 
 
 def sets(c: Chunk, size: int) -> list[np.ndarray]:
@@ -67,7 +72,7 @@ def bounds(n: int, pct: int) -> tuple[int, int, int]:
 
 def counted(it: Iterator[pa.RecordBatch], size: int, pct: int) -> Iterator[pa.RecordBatch]:
     """Tokens with their count in a chunk: those of the prefixes by hash, and any that is frequent in the chunk."""
-    for c in chunks(it, lower=True):
+    for c in chunks(it, lower=True, numbers=False):
         own = list({s.tobytes(): s for s in sets(c, size) if len(s)}.values())
         if own:
             token, n = np.unique(np.concatenate(own), return_counts=True)
@@ -93,7 +98,7 @@ SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("r", pa.int64()),
 
 
 def described(it: Iterator[pa.RecordBatch], size: int, pct: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for c in chunks(it, lower=True):
+    for c in chunks(it, lower=True, numbers=False):
         own = sets(c, size)
         found = [keys(s, frequent, pct) if len(s) and ok else (s[:0], np.empty(0, int), 0, 0) for s, ok in zip(own, c.known, strict=True)]
         key = np.concatenate([f[0] for f in found]).view(np.int64)

@@ -64,14 +64,15 @@ def numbered(key: np.ndarray) -> np.ndarray:
 
 
 class Chunk:
-    """Some documents: ids (null: -1 in ids, False in known), raw texts, and their words; document k has words lo[k] to hi[k]."""
+    """Some documents: ids (null: -1 in ids, False in known), raw texts, and their words; document k has words lo[k] to hi[k]. Without numbers, words have hashes alone."""
 
-    def __init__(self, ids: list[int | None], raw: list[bytes], lower: bool = False):
+    def __init__(self, ids: list[int | None], raw: list[bytes], lower: bool = False, numbers: bool = True):
         self.raw, self.known = raw, np.array([x is not None for x in ids], dtype=bool)
         self.ids = np.array([-1 if x is None else x for x in ids], dtype=np.int64)
         parts = [(x.lower() if lower else x).split() for x in raw]  # of bytes: A-Z alone are lower-cased, and spaces are those above
         size = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.code, self.hash = coded(list(chain.from_iterable(parts)))
+        words = list(chain.from_iterable(parts))
+        self.code, self.hash = coded(words) if numbers else (None, hashed(words))
         self.hi = np.cumsum(size)
         self.lo = self.hi - size
         self.doc = np.repeat(np.arange(len(raw)), size)
@@ -89,17 +90,17 @@ class Chunk:
         return out
 
 
-def chunks(it: Iterator[pa.RecordBatch], lower: bool = False) -> Iterator[Chunk]:
+def chunks(it: Iterator[pa.RecordBatch], lower: bool = False, numbers: bool = True) -> Iterator[Chunk]:
     ids: list[int | None] = []
     raw: list[bytes] = []
     held = 0
     for batch in it:
         for i, t in zip(batch.column("doc_id").to_pylist(), texts(batch), strict=True):
             if raw and held + len(t) > CHUNK:
-                yield Chunk(ids, raw, lower)
+                yield Chunk(ids, raw, lower, numbers)
                 ids, raw, held = [], [], 0
             ids.append(i)
             raw.append(t)
             held += len(t)
     if raw:
-        yield Chunk(ids, raw, lower)
+        yield Chunk(ids, raw, lower, numbers)
