@@ -42,7 +42,7 @@ def numbers(raw: list[bytes], n_chars: np.ndarray) -> np.ndarray:
 
 def hashed(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, place and weight of the words, in order of row and place."""
-    c = Chunk([0] * len(raw), raw, lower=True)
+    c = Chunk([0] * len(raw), raw, lower=True, numbers=False)
     key, count = np.unique(c.doc.astype(U) * U(WORDS) + (c.hash & U(WORDS - 1)), return_counts=True)
     row, place, x = (key // U(WORDS)).astype(np.int64), (key % U(WORDS)).astype(np.int64), np.log1p(count)
     norm = np.sqrt(np.bincount(row, x * x, minlength=len(raw)))
