@@ -233,6 +233,30 @@ def test_expressions_and_objects(spark):
     assert seen
 
 
+def test_progress(spark):
+    rows, labels = drawn(4)
+    p = problem(spark, rows, labels)
+    train, _, folds = splits.by_proportion(60, 0.8, 1, 2)
+    for learn, options in ((scm.learn_scm, {"costs": (1.0,), "max_rules": 3}), (cart.learn_tree, {"depths": (2, 4)})):
+        told = []
+        learn(p, train, folds, progress=told.append, **options)
+        assert told == sorted(told) and told[-1] == 1.0 and len(told) > 2
+
+
+def test_models_on_a_stream(spark, tmp_path):
+    rows, labels = drawn(6)
+    p = problem(spark, rows, labels)
+    model, (root, priors) = scm.fit(p, "conjunction", 1.0, 3), cart.grow(p, max_depth=3)
+    have = p.having(sorted(rows))
+    have.select("gi", "have").repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("gi int, have array<string>").parquet(f"{tmp_path}/in")
+    for name, made in (("rules", model.expression()), ("tree", cart.expression(root, priors)), ("text", cart.case_sql(root, priors))):
+        predict_stream(stream, made).writeStream.format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/{name}").start().awaitTermination(120)
+        want = have.select("gi", (matrix.F.expr(made) if isinstance(made, str) else made).alias("c")).collect()
+        assert {r.gi: r.prediction for r in spark.table(name).collect()} == {r.gi: r.c for r in want}
+        spark.catalog.dropTempView(name)
+
+
 def test_labels_without_data_count(spark, tmp_path):
     (tmp_path / "m.tsv").write_text("kmers\tg1\tg2\nAA\t1\t0\nAC\t1\t1\n")
     (tmp_path / "l.txt").write_text("g1 c\ng2 a\nlost b\n")

@@ -6,6 +6,7 @@ import argparse
 import json
 import os
 import random
+import sys
 import time
 from itertools import product
 
@@ -79,6 +80,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--max-equiv-rules", type=int, default=10_000)
         p.add_argument("--random-seed", type=int)
         p.add_argument("--output-dir", default=".")
+        p.add_argument("-x", "--progress", action="store_true", help="tell on standard error how far the search is")
         if name == "scm":
             p.add_argument("--model-type", nargs="+", default=["conjunction", "disjunction"], choices=["conjunction", "disjunction"])
             p.add_argument("--p", nargs="+", type=float, default=list(scm.P_GRID))
@@ -154,6 +156,7 @@ def learn(spark, a) -> None:
     k = len(p.features.first().feature) if a.kmer_blacklist else 0
     out = blacklist(spark, a.kmer_blacklist, k) if a.kmer_blacklist else None
     common = {"selection": a.hp_choice, "genome_size": a.bound_max_genome_size, "blacklist": out}
+    common["progress"] = (lambda share: print(f"{100 * share:.0f} %", file=sys.stderr)) if a.progress else None
     if a.action == "scm":
         if len(tags) != 2:
             raise ValueError("set covering machines learn two classes")

@@ -321,17 +321,17 @@ def looked_up(df: DataFrame, a: str, steps: list[tuple[float, float]], out: str,
     return df.join(F.broadcast(own.withColumnRenamed("v", out)), (F.col(a) >= F.col("lo")) & (F.col(a) < F.col("hi"))).drop("lo", "hi")
 
 
-def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, criteria=("gini",), depths=(10,), min_splits=(2,), weights=(None,), selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None) -> tuple[Node, Priors, dict]:
+def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, criteria=("gini",), depths=(10,), min_splits=(2,), weights=(None,), selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None, progress=None) -> tuple[Node, Priors, dict]:
     """The best pruned tree over the grid. Ties: score, size, variance of the class importances, place in the grid; a more pruned tree wins among equals of one sequence.
 
-    The trees of all settings, and of all folds, grow in common scans.
+    The trees of all settings, and of all folds, grow in common scans. progress(share) is told how far it is, by levels of depth.
     """
     size, classes, tried = genome_size or p.features.count(), max(p.labels) + 1, []
     grid = [(c, d, s, w) for c in criteria for d in depths for s in min_splits for w in weights]
     parts = [(train, [])]
     if selection == "cv":
         parts += [([i for i, g in zip(train, folds, strict=True) if g != f], [i for i, g in zip(train, folds, strict=True) if g == f]) for f in sorted(set(folds))]
-    trees, cols = grow_all(p, [Growth(inside, c, d, s, w) for c, d, s, w in grid for inside, _ in parts], blacklist, classes)
+    trees, cols = grow_all(p, [Growth(inside, c, d, s, w) for c, d, s, w in grid for inside, _ in parts], blacklist, classes, on_level=progress and (lambda depth, _: progress(depth / (max(depths) + 1))))
     for place, (c, d, s, w) in enumerate(grid):
         (root, priors), *inner = trees[place * len(parts) : (place + 1) * len(parts)]
         master, scores = prune_sequence(root, priors), []
@@ -348,4 +348,6 @@ def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, cri
                 scores.append(tree_bound(len(train), len(z), len(wrong), sum(not x.leaf for x in t.walk()), size, classes, delta))
         k = max(range(len(master)), key=lambda k: (-scores[k], k))
         tried.append((scores[k], len(master[k][1].walk()), pvariance(w) if w else 0.0, place, master[k][1], priors, {"criterion": c, "max_depth": d, "min_split": s, "class_importance": w, "score": scores[k]}))
+    if progress:
+        progress(1.0)
     return least(tried, True, True)[4:]

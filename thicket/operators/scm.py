@@ -204,10 +204,10 @@ def fit(p: Problem, type: str, cost: float, max_rules: int = 10, train: list[int
 STATES = "pos array<bigint>, neg array<bigint>, train_pos array<bigint>, train_neg array<bigint>, n_pos long, n_neg long, t_pos long, t_neg long, jobs array<struct<job: int, cost: double, conjunction: boolean>>"
 
 
-def fit_all(p: Problem, jobs: list[tuple[str, float, list[int]]], max_rules: int = 10, blacklist: DataFrame | None = None) -> tuple[list[Model], dict[str, int]]:
+def fit_all(p: Problem, jobs: list[tuple[str, float, list[int]]], max_rules: int = 10, blacklist: DataFrame | None = None, progress=None) -> tuple[list[Model], dict[str, int]]:
     """The models that fit() gives for each type, cost and training rows, and the columns of their features. All searches take each step in common scans.
 
-    Searches whose examples left are the same share their counts; masks are data, so no step compiles code of its own.
+    Searches whose examples left are the same share their counts; masks are data, so no step compiles code of its own. progress(share) is told how far it is.
     """
     source = p.without(blacklist)[1]
     if blacklist is not None:
@@ -219,7 +219,9 @@ def fit_all(p: Problem, jobs: list[tuple[str, float, list[int]]], max_rules: int
             raise ValueError("both classes are needed to learn")
         left.append(sides if t == "conjunction" else sides[::-1])
     start, open_ = [a + b for a, b in left], list(range(len(jobs)))
-    for _ in range(max_rules):
+    for step in range(max_rules):
+        if progress:
+            progress(step / max_rules)
         open_ = [j for j in open_ if left[j][1]]
         if not open_:
             break
@@ -320,7 +322,7 @@ def least(tried: list[tuple], close: bool, lower_wins: bool = False) -> tuple:
     return best
 
 
-def learn_scm(p: Problem, train: list[int], folds: list[int] | None = None, types=("conjunction", "disjunction"), costs=P_GRID, max_rules: int = 10, selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None, most: int = 0, seed: int = 0) -> tuple[Model, dict]:
+def learn_scm(p: Problem, train: list[int], folds: list[int] | None = None, types=("conjunction", "disjunction"), costs=P_GRID, max_rules: int = 10, selection: str = "cv", delta: float = 0.05, genome_size: int | None = None, blacklist: DataFrame | None = None, most: int = 0, seed: int = 0, progress=None) -> tuple[Model, dict]:
     """The best model over the grid, trained on all of train. folds[k] is the fold of train[k]. Ties: score, fewer rules, p nearer to 1, place in the grid."""
     size = genome_size or p.features.count()
     if selection not in ("cv", "bound"):
@@ -328,7 +330,7 @@ def learn_scm(p: Problem, train: list[int], folds: list[int] | None = None, type
         return fit(p, t, c, max_rules, train, blacklist, None, most, seed), {"type": t, "p": c, "max_rules": max_rules}
     grid, tried = [(t, c) for t in types for c in costs], []
     parts = [(train, [])] if selection == "bound" else [([i for i, g in zip(train, folds, strict=True) if g != f], [i for i, g in zip(train, folds, strict=True) if g == f]) for f in sorted(set(folds))]
-    models, cols = fit_all(p, [(t, c, inside) for t, c in grid for inside, _ in parts], max_rules, blacklist)
+    models, cols = fit_all(p, [(t, c, inside) for t, c in grid for inside, _ in parts], max_rules, blacklist, progress)
     for place, (t, c) in enumerate(grid):
         own = models[place * len(parts) : (place + 1) * len(parts)]
         if selection == "cv":
@@ -345,4 +347,6 @@ def learn_scm(p: Problem, train: list[int], folds: list[int] | None = None, type
     score, k, _, _, t, c, model = least(tried, selection == "cv")
     if model is None or most:
         model = fit(p, t, c, k, train, blacklist, None, most, seed)
+    if progress:
+        progress(1.0)
     return model, {"type": t, "p": c, "max_rules": k, "score": score}

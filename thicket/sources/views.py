@@ -36,9 +36,9 @@ NAMES = re.compile(r"\b(documents|labels|customer|orders|lineitem|part|events|em
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of few and small files as one part a core, so that what is done to its rows is shared; larger ones come in parts already."""
+    """A table that is read in fewer parts than there are cores is dealt to all of them, so that what is done to its rows is shared; larger ones come in parts already."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
