@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -11,6 +12,11 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    LIBC = ctypes.CDLL(None)
+    LIBC.malloc_trim.argtypes = [ctypes.c_size_t]
+except (OSError, AttributeError):  # another C library
+    LIBC = None
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows and bytes of one Arrow batch; a worker holds one batch at a time.
 BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
@@ -71,6 +77,13 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
+def trim() -> None:
+    """Give back to the system what a worker has freed; idle workers would hold it beside the ones at work."""
+    pa.default_memory_pool().release_unused()
+    if LIBC is not None:
+        LIBC.malloc_trim(0)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a text column, null as empty."""
     col = batch.column(column)

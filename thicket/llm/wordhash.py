@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from xxhash import xxh3_64_intdigest
 
-from .common import texts
+from .common import texts, trim
 
 #: Bytes of text that are handled together.
 CHUNK = 4 << 20
@@ -91,6 +91,7 @@ class Chunk:
 
 
 def chunks(it: Iterator[pa.RecordBatch], lower: bool = False, numbers: bool = True) -> Iterator[Chunk]:
+    """Chunks of the batches' documents. What a chunk took is given back before the next."""
     ids: list[int | None] = []
     raw: list[bytes] = []
     held = 0
@@ -99,8 +100,11 @@ def chunks(it: Iterator[pa.RecordBatch], lower: bool = False, numbers: bool = Tr
             if raw and held + len(t) > CHUNK:
                 yield Chunk(ids, raw, lower, numbers)
                 ids, raw, held = [], [], 0
+                trim()
             ids.append(i)
             raw.append(t)
             held += len(t)
     if raw:
         yield Chunk(ids, raw, lower, numbers)
+    del ids, raw
+    trim()
