@@ -1,6 +1,11 @@
 """What has to hold at sizes that small data do not show."""
 
-from thicket.operators import matrix
+import random
+import time
+
+import pytest
+
+from thicket.operators import cart, matrix, scm
 
 
 def problem(spark, rows, labels):
@@ -15,3 +20,49 @@ def test_columns_are_dealt_out(spark):
     got = matrix.get_columns(p, p.features.orderBy("feature").limit(2))
     assert sorted(map(tuple, got.collect())) == [(f, i, int(i in rows[f]), int(i not in rows[f])) for f in "ab" for i in range(201)]
     assert got.rdd.getNumPartitions() > 1
+
+
+def greedy(cols, rows, n):
+    out, left = [], [c for c in cols if any(c >> (n - 1 - i) & 1 for i in rows)]
+    while left:
+        out.append(max(rows, key=lambda i: sum(c >> (n - 1 - i) & 1 for c in left)))
+        left = [c for c in left if not c >> (n - 1 - out[-1]) & 1]
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 63, 70, 128])
+def test_compression_set_is_the_greedy_cover(n):
+    r = random.Random(n)
+    cols = [r.getrandbits(n) & r.getrandbits(n) for _ in range(30)] + [0]
+    rows = r.sample(range(n), -(-n * 2 // 3))
+    assert scm.compression_set(cols, rows, n) == greedy(cols, rows, n)
+    assert scm.compression_set(cols, [], n) == []
+
+
+def test_compression_set_of_many_examples():
+    """Forty seconds by a look at each example and feature; a fraction of one by columns."""
+    r, n = random.Random(0), 60_000
+    cols, began = [r.getrandbits(n) for _ in range(400)], time.time()
+    got = scm.compression_set(cols, list(range(n)), n)
+    assert time.time() - began < 10
+    assert all(any(c >> (n - 1 - i) & 1 for i in got) for c in cols)
+
+
+def test_bounds_of_pruned_trees_take_no_pass_over_the_examples(spark, monkeypatch):
+    """The errors of a pruned tree are those of its leaves' rows; they and the score are what a pass finds."""
+    r = random.Random(3)
+    rows = {f"f{k}": [i for i in range(150) if r.random() < 0.4] for k in range(12)}
+    p = problem(spark, rows, [r.randint(0, 2) for _ in range(150)])
+    train = [i for i in range(150) if i % 3]
+    passes, predict = [], cart.predict
+    monkeypatch.setattr(cart, "predict", lambda *a: passes.append(1) or predict(*a))
+    root, priors, how = cart.learn_tree(p, train, selection="bound", depths=(5,))
+    assert not passes
+    full, priors = cart.grow(p, train, max_depth=5)
+    cols, bounds = scm.columns(p, [f"f{k}" for k in range(12)]), []
+    for _, t in cart.prune_sequence(full, priors):
+        z = greedy([cols[f] for f in cart.tree_features(t)], train, p.n)
+        wrong = {i for i in train if priors.predicted(cart.leaf_of(t, cols, p.n, i)) != p.labels[i]} - set(z)
+        bounds.append(cart.tree_bound(len(train), len(z), len(wrong), sum(not x.leaf for x in t.walk()), 12, 3))
+        assert cart.predict(t, priors, cols, p.n, train) == {i: priors.predicted(cart.leaf_of(t, cols, p.n, i)) for i in train}
+    assert len(bounds) > 2 and how["score"] == min(bounds)

@@ -8,12 +8,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from statistics import pvariance
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bits import counted
+from ..sources.views import spread
 from .matrix import Problem
-from .scm import columns, compression_set, guarded, least
+from .scm import columns, compression_set, guarded, least, spelled
 
 
 @dataclass
@@ -147,7 +149,7 @@ def grow_all(p: Problem, jobs: list[Growth], blacklist: DataFrame | None = None,
     count = lambda rows: [sum(n) for n in zip(*([p.labels[i] == k for k in range(c)] for i in rows), strict=True)] if rows else [0] * c
     roots = [Node(j.rows, count(j.rows), 0) for j in jobs]
     priors, masks = [Priors(x.counts, j.weights) for x, j in zip(roots, jobs, strict=True)], [p.mask(j.rows) for j in jobs]
-    source, cols, level = p.without(blacklist)[1], {}, list(enumerate(roots))
+    source, cols, level = spread(p.without(blacklist)[1]), {}, list(enumerate(roots))  # few features are many words, once there are many examples
     while level := [(j, x) for j, x in level if jobs[j].open(x)]:
         states = [state(p, j, k, x, priors[j], jobs[j].criterion, masks[j]) for k, (j, x) in enumerate(level)]
         found = {r.node: r.feature for r in best_splits(scores_of(p, states, source)).collect()}
@@ -225,7 +227,16 @@ def prune_sequence(root: Node, priors: Priors) -> list[tuple[float, Node]]:
 
 
 def predict(root: Node, priors: Priors, cols: dict[str, int], n: int, rows: list[int]) -> dict[int, int]:
-    return {i: priors.predicted(leaf_of(root, cols, n, i)) for i in rows}
+    """The class of each row; rows go down the tree together, one look at a column a node."""
+    out, todo = {}, [(root, np.asarray(rows, int))]
+    while todo:
+        x, own = todo.pop()
+        if x.leaf:
+            out |= dict.fromkeys(own.tolist(), priors.predicted(x))
+        elif len(own):
+            has = spelled(cols[x.feature], n)[own] == 1
+            todo += [(x.left, own[has]), (x.right, own[~has])]
+    return out
 
 
 def leaf_of(x: Node, cols: dict[str, int], n: int, i: int) -> Node:
@@ -342,10 +353,11 @@ def learn_tree(p: Problem, train: list[int], folds: list[int] | None = None, cri
                 scores.append(sum(step_value(st, mid) for st in steps) / len(steps))
         else:
             for _, t in master:
-                got, own = predict(t, priors, cols, p.n, train), [cols[f] for f in tree_features(t)]
+                own = [cols[f] for f in tree_features(t)]
                 z = compression_set(own, train, p.n) if own else []
-                wrong = {i for i in train if got[i] != p.labels[i]} - set(z)
-                scores.append(tree_bound(len(train), len(z), len(wrong), sum(not x.leaf for x in t.walk()), size, classes, delta))
+                wrong = sum(len(x.rows) - x.counts[priors.predicted(x)] for x in t.leaves())  # the rows of its leaves are those of train
+                wrong -= sum(priors.predicted(leaf_of(t, cols, p.n, i)) != p.labels[i] for i in z)
+                scores.append(tree_bound(len(train), len(z), wrong, sum(not x.leaf for x in t.walk()), size, classes, delta))
         k = max(range(len(master)), key=lambda k: (-scores[k], k))
         tried.append((scores[k], len(master[k][1].walk()), pvariance(w) if w else 0.0, place, master[k][1], priors, {"criterion": c, "max_depth": d, "min_split": s, "class_importance": w, "score": scores[k]}))
     if progress:

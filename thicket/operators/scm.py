@@ -7,10 +7,11 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ..functions.bits import counted, masked_count, members
+from ..functions.bits import counted, masked_count
 from .matrix import Problem
 
 log = logging.getLogger(__name__)
@@ -133,7 +134,15 @@ def columns(p: Problem, names: list[str]) -> dict[str, int]:
 
 def whole(words: list, n: int) -> int:
     """A feature's presence as one whole number."""
-    return sum(1 << (n - 1 - gi) for gi in members((w.at, w.bits % (1 << 64)) for w in words))
+    own = bytearray(8 * -(-n // 64))
+    for w in words:
+        own[8 * w.at : 8 * w.at + 8] = w.bits.to_bytes(8, "big", signed=True)
+    return int.from_bytes(own, "big") >> -n % 64
+
+
+def spelled(x: int, n: int) -> np.ndarray:
+    """A feature's presence by example, from its whole number."""
+    return np.unpackbits(np.frombuffer((x << -n % 8).to_bytes(-(-n // 8), "big"), np.uint8), count=n)
 
 
 def scored(p: Problem, pos: list[int], neg: list[int], cost: float, train_pos: list[int], train_neg: list[int], source: DataFrame | None = None) -> DataFrame:
@@ -259,13 +268,20 @@ def fit_all(p: Problem, jobs: list[tuple[str, float, list[int]]], max_rules: int
 
 def compression_set(cols: list[int], rows: list[int], n: int) -> list[int]:
     """Greedy cover of the model's features by examples that have them; features that no example has can't be covered."""
-    left = [c for c in cols if any(c >> (n - 1 - i) & 1 for i in rows)]
+    at = np.asarray(rows, int)
+    left = [c for c in cols if spelled(c, n)[at].any()]
     if len(left) < len(cols):
         log.warning("%d model features are in no training example", len(cols) - len(left))
+    have = np.zeros(len(at), int)  # how many of the features left each example has
+    for c in left:
+        have += spelled(c, n)[at]
     out = []
     while left:
-        i = max(rows, key=lambda i: sum(c >> (n - 1 - i) & 1 for c in left))
+        i = rows[int(have.argmax())]
         out.append(i)
+        for c in left:
+            if c >> (n - 1 - i) & 1:
+                have -= spelled(c, n)[at]
         left = [c for c in left if not c >> (n - 1 - i) & 1]
     return out
 
