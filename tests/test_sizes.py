@@ -3,8 +3,10 @@
 import random
 import time
 
+import duckdb
 import pytest
 
+from thicket import registry
 from thicket.operators import cart, matrix, scm
 
 
@@ -66,3 +68,33 @@ def test_bounds_of_pruned_trees_take_no_pass_over_the_examples(spark, monkeypatc
         bounds.append(cart.tree_bound(len(train), len(z), len(wrong), sum(not x.leaf for x in t.walk()), 12, 3))
         assert cart.predict(t, priors, cols, p.n, train) == {i: priors.predicted(cart.leaf_of(t, cols, p.n, i)) for i in train}
     assert len(bounds) > 2 and how["score"] == min(bounds)
+
+
+def beside_sql(spark, folder, name, **tables):
+    """The rows of a query and of its SQL over small tables, given as their SQL."""
+    c = duckdb.connect()
+    for t, text in tables.items():
+        c.execute(f"COPY ({text}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = c.execute(registry.oracle_sql()[name])
+    cols = [x[0] for x in want.description]
+    return sorted(map(tuple, registry.queries()[name](spark, str(folder)).select(cols).collect()), key=str), sorted(want.fetchall(), key=str)
+
+
+ODD = {
+    "no words": ["a b", "b a", "12 34"],
+    "no text": ["a b", "b a", None],
+    "words of its own": ["a b", "b a", "c d"],
+    "no feature": ["a", "b"],
+    "a dotted capital": ["İstanbul", "istanbul", "stanbul i"],
+}
+
+
+@pytest.mark.parametrize("odd", ODD)
+@pytest.mark.parametrize("twice", [False, True])
+def test_info_counts_what_sql_counts(spark, tmp_path, odd, twice):
+    """Examples are those with a feature; an id that is labelled twice is two examples, but counts once for how often a feature is."""
+    rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS doc_id, {'NULL' if x is None else repr(x)}::VARCHAR AS text" for i, x in enumerate(ODD[odd]))
+    labels = f"SELECT doc_id, (doc_id % 2)::INT AS quality FROM ({rows})" + (" UNION ALL SELECT 0, 0 UNION ALL SELECT 2, 1" if twice else "")
+    got, want = beside_sql(spark, tmp_path, "dataset_info", documents=rows, labels=labels)
+    assert got == want

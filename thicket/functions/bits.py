@@ -29,19 +29,25 @@ def counted(words: Column | str, of: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x["bits"].bitwiseAND(F.get(of, x["at"]))))
 
 
+def literal(of: list[int]) -> Column:
+    """A mask as a column."""
+    return F.expr(f"array({', '.join(f'{w}L' for w in of)})")
+
+
 def masked_count(words: Column | str, of: list[int]) -> Column:
     """How many examples of the mask have the feature."""
-    return counted(words, F.expr(f"array({', '.join(f'{w}L' for w in of)})")) if any(of) else F.lit(0).cast("long")
+    return counted(words, literal(of)) if any(of) else F.lit(0).cast("long")
 
 
 def has(words: Column | str, gi: Column) -> Column:
     return F.exists(words, lambda x: (x["at"] == F.floor(gi / 64)) & (F.getbit(x["bits"], (63 - gi % 64).cast("int")) == 1))
 
 
-def pack(edges: DataFrame, least: int = 1) -> DataFrame:
-    """feature, words from feature, gi (edges may repeat), for features of at least so many examples: one combined shuffle by feature and word, one by feature."""
+def pack(edges: DataFrame, least: int = 1, of: list[int] | None = None) -> DataFrame:
+    """feature, words from feature, gi (edges may repeat), for features of at least so many examples (of a mask, if given): one combined shuffle by feature and word, one by feature."""
     part = edges.groupBy("feature", F.expr("cast(gi div 64 as int) as at")).agg(F.expr("bit_or(shiftleft(1L, cast(63 - gi % 64 as int))) as bits"))
-    whole = part.groupBy("feature").agg(F.expr("array_sort(collect_list(struct(at, bits))) as words"), F.sum(F.bit_count("bits")).alias("n"))
+    own = "bits" if of is None else F.col("bits").bitwiseAND(F.get(literal(of), F.col("at")))
+    whole = part.groupBy("feature").agg(F.expr("array_sort(collect_list(struct(at, bits))) as words"), F.sum(F.bit_count(own)).alias("n"))
     return whole.where(F.col("n") >= least).select("feature", "words")
 
 

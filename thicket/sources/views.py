@@ -19,10 +19,11 @@ class View:
     duck: str  # the same for the oracle
 
 
+# Spark alone would lower-case İ to two characters, i and a dot that ends a word.
 TOKENS = "SELECT doc_id AS example_id, {} AS feature FROM documents JOIN labels USING (doc_id)"
 VIEWS = {
-    "doc": View("SELECT doc_id AS example_id, quality AS label FROM labels JOIN documents USING (doc_id)", TOKENS.format("explode(regexp_extract_all(lower(text), '[a-z]+', 0))"), TOKENS.format("unnest(regexp_extract_all(lower(text), '[a-z]+'))")),
-    "tox": View("SELECT doc_id AS example_id, toxic AS label FROM labels JOIN documents USING (doc_id)", TOKENS.format("explode(regexp_extract_all(lower(text), '[a-z]+', 0))"), TOKENS.format("unnest(regexp_extract_all(lower(text), '[a-z]+'))")),
+    "doc": View("SELECT doc_id AS example_id, quality AS label FROM labels JOIN documents USING (doc_id)", TOKENS.format("explode(regexp_extract_all(lower(replace(text, 'İ', 'i')), '[a-z]+', 0))"), TOKENS.format("unnest(regexp_extract_all(lower(text), '[a-z]+'))")),
+    "tox": View("SELECT doc_id AS example_id, toxic AS label FROM labels JOIN documents USING (doc_id)", TOKENS.format("explode(regexp_extract_all(lower(replace(text, 'İ', 'i')), '[a-z]+', 0))"), TOKENS.format("unnest(regexp_extract_all(lower(text), '[a-z]+'))")),
     "cust": View(
         "SELECT c_custkey AS example_id, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS label FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey)",
         *["SELECT o_custkey AS example_id, p_brand || '/' || p_type AS feature FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey"] * 2),
@@ -76,13 +77,18 @@ def load(spark: SparkSession, sf_dir: str, view: str) -> tuple[DataFrame, DataFr
     return examples, edges.join(often, "feature").join(examples.select("gi", "example_id"), "example_id").select("feature", "gi")
 
 
-def sightings(spark: SparkSession, sf_dir: str, view: str) -> tuple[list[int], DataFrame]:
-    """Labels by gi, and feature, gi of every sighting, repeats and rare features included: packing folds and drops them without a join of edges.
+def sightings(spark: SparkSession, sf_dir: str, view: str) -> tuple[list[int], DataFrame, list[int] | None]:
+    """Labels by gi; feature, gi of every sighting, repeats and rare features included: packing folds and drops them without a join of edges; and, if ids repeat,
+    the first example of each: an id counts once for how often a feature is.
 
     Examples are ordered once; the join with them works on a local table of their ids.
     """
     own = ordered(spark, sf_dir, view).orderBy("gi").toArrow()
-    return own["label"].to_pylist(), sql(spark, sf_dir, VIEWS[view].edges).join(spark.createDataFrame(own.select(["gi", "example_id"])), "example_id").select("feature", "gi")
+    first: dict = {}
+    for gi, x in enumerate(own["example_id"].to_pylist()):
+        first.setdefault(x, gi)
+    edges = sql(spark, sf_dir, VIEWS[view].edges).join(spark.createDataFrame(own.select(["gi", "example_id"])), "example_id").select("feature", "gi")
+    return own["label"].to_pylist(), edges, None if len(first) == own.num_rows else list(first.values())
 
 
 def duck(view: str) -> str:
