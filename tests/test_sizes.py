@@ -98,3 +98,31 @@ def test_info_counts_what_sql_counts(spark, tmp_path, odd, twice):
     labels = f"SELECT doc_id, (doc_id % 2)::INT AS quality FROM ({rows})" + (" UNION ALL SELECT 0, 0 UNION ALL SELECT 2, 1" if twice else "")
     got, want = beside_sql(spark, tmp_path, "dataset_info", documents=rows, labels=labels)
     assert got == want
+
+
+def events(rows):
+    """user, value, hour and type of a few events."""
+    say = lambda x: "NULL" if x is None else repr(x)
+    return " UNION ALL ".join(f"SELECT {k}::BIGINT AS event_id, TIMESTAMP '2024-01-01 0{h}:00:00' AS ts, {say(u)}::BIGINT AS user_id, {say(t)}::VARCHAR AS event_type, {say(v)}::DOUBLE AS value" for k, (u, v, h, t) in enumerate(rows))
+
+
+FEW = [(u, 9.0 if u < 4 else 1.0, h, t) for u in range(8) for h, t in [(1, "a" if u < 4 else "b"), (2, "c")]]
+
+
+@pytest.mark.parametrize("rows", [FEW, FEW[:-1], [*FEW, (None, 1.0, 2, "c"), (2, 8.0, 3, None), (5, 1.0, 3, None)], [*FEW, (9, None, 1, "a"), (8, None, 2, "b"), (7, 1.0, 1, "a")]], ids=["one rule", "a rare absence", "null users and types", "null values"])
+def test_predictions_of_fewer_rules_are_those_of_sql(spark, tmp_path, rows):
+    """The first rule tells all examples apart, so there is no second: what it does not settle is null."""
+    got, want = beside_sql(spark, tmp_path, "predict_disj", events=events(rows))
+    assert got == want
+
+
+def test_one_rule_leaves_unknown_classes(spark, tmp_path):
+    got, _ = beside_sql(spark, tmp_path, "predict_disj", events=events(FEW))
+    assert [x[2] for x in got] == [None] * 4 + [1] * 4
+
+
+@pytest.mark.parametrize("name", ["predict_conj", "classified_correct", "classified_errors"])
+def test_conjunctions_of_fewer_rules_are_those_of_sql(spark, tmp_path, name):
+    rows = " UNION ALL ".join(f"SELECT {i}::BIGINT AS doc_id, '{'good' if i % 2 else 'bad'} text' AS text" for i in range(6))
+    got, want = beside_sql(spark, tmp_path, name, documents=rows, labels="SELECT i AS doc_id, (i % 2)::INT AS quality FROM range(6) t(i)")
+    assert got == want

@@ -66,8 +66,8 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
 
 
 def ordered(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """examples; gi follows label, then id. Examples are the small side: they are numbered in one task."""
-    return sql(spark, sf_dir, f"SELECT CAST(row_number() OVER (ORDER BY label, example_id) - 1 AS INT) AS gi, example_id, CAST(label AS INT) AS label FROM ({VIEWS[view].examples})")
+    """examples; gi follows label, then id, nulls last. Examples are the small side: they are numbered in one task."""
+    return sql(spark, sf_dir, f"SELECT CAST(row_number() OVER (ORDER BY label NULLS LAST, example_id NULLS LAST) - 1 AS INT) AS gi, example_id, CAST(label AS INT) AS label FROM ({VIEWS[view].examples})")
 
 
 def load(spark: SparkSession, sf_dir: str, view: str) -> tuple[DataFrame, DataFrame]:
@@ -87,7 +87,7 @@ def sightings(spark: SparkSession, sf_dir: str, view: str) -> tuple[list[int], D
     first: dict = {}
     for gi, x in enumerate(own["example_id"].to_pylist()):
         first.setdefault(x, gi)
-    edges = sql(spark, sf_dir, VIEWS[view].edges).join(spark.createDataFrame(own.select(["gi", "example_id"])), "example_id").select("feature", "gi")
+    edges = sql(spark, sf_dir, VIEWS[view].edges).join(spark.createDataFrame(own.select(["gi", "example_id"])), "example_id").where("feature is not null").select("feature", "gi")
     return own["label"].to_pylist(), edges, None if len(first) == own.num_rows else list(first.values())
 
 
