@@ -219,6 +219,42 @@ def test_jaccard_join(spark, monkeypatch, size, pct, small, counted):
     assert {r.doc_id: r.component_id for r in got} == brute_join(rows, size, pct)
 
 
+@pytest.mark.parametrize("cell", [3, 1024])
+def test_jaccard_in_cells(spark, monkeypatch, cell):
+    """What stars leave open is found however blocks are cut, for documents of several texts too."""
+    monkeypatch.setattr(op9, "SMALL", 2)
+    monkeypatch.setattr(op9, "COUNTED", 3)
+    monkeypatch.setattr(op9, "CELL", cell, raising=False)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(90)]
+    near = lambda at, to: [f"x{i}-{r.randrange(3)}" if at <= i < to else w for i, w in enumerate(base)]
+    kinds = [near(0, 25), near(30, 55), near(60, 85), base]
+    texts = [" ".join(kind[: r.choice([90, 90, 70])] + [f"y{r.randrange(4)}"] * r.randrange(3)) for kind in kinds for _ in range(12)]
+    rows = [(r.randrange(40), t) for t in texts] + made(3, 60)
+    got = op9.join(frame(spark, rows), 3, 80).collect()
+    assert {x.doc_id: x.component_id for x in got} | {None: None} == brute_join(rows, 3, 80)
+
+
+def test_jaccard_tasks(spark):
+    """Keys that hundreds of unlinked documents share do not cost the square of their pieces in tasks, where uneven joins are split finely."""
+    passage, sc = [f"p{i}" for i in range(100)], spark.sparkContext
+    rows = [(i, " ".join(passage + [f"own{i}-{k}" for k in range(55)])) for i in range(400)]
+    conf = {"shuffle.partitions": "48", "autoBroadcastJoinThreshold": "-1", "adaptive.coalescePartitions.enabled": "false", "adaptive.advisoryPartitionSizeInBytes": "1k", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "files.maxPartitionBytes": "32k", "files.openCostInBytes": "1k"}
+    old = {f"spark.sql.{k}": spark.conf.get(f"spark.sql.{k}") for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        sc.setJobGroup("jaccard tasks", "")
+        got = op9.join(frame(spark, rows), 3, 80).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert all(x.doc_id == x.component_id for x in got) and len(got) == 400
+    seen = [sc.statusTracker().getStageInfo(s) for j in sc.statusTracker().getJobIdsForGroup("jaccard tasks") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert 0 < max(s.numTasks for s in seen if s) <= 2 * 48
+
+
 @pytest.mark.parametrize(("small", "block"), [(2, 3), (48, 256)])
 def test_jaccard_links(spark, monkeypatch, small, block):
     """Links are counted in full in groups larger than a key's SMALL too, and for documents of several texts."""

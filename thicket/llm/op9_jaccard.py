@@ -42,6 +42,8 @@ FREQUENT, COUNTED, LOCAL = 65_536, 48, 4
 SMALL = 48
 #: Sets of a larger key that are compared with each other in one block, where all links are counted.
 BLOCK = 256
+#: Sets of a key in one block where different components are compared; two blocks meet in one task, so no key's square does.
+CELL = 1024
 #: What a shared pair of neighbours counts for, beside 1 for a single token.
 WHOLE = 3
 
@@ -211,12 +213,20 @@ def join(docs: DataFrame, size: int = 5, pct: int = 80, links: bool = False, tab
     label = components(found, tables)
     # what the stars left open: sets of a larger key that are still in different components
     named = tables.cut(many.join(label, many.doc_id == label.node, "left").selectExpr("key", "doc_id", "n", "r", "m", "w", "coalesce(component, doc_id) as label"))
-    open_ = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    # a key's largest component and its other sets are dealt into blocks; each two blocks are a cell, but for two of the largest component
+    most_of = named.groupBy("key", "label").agg(F.count("*").alias("here")).groupBy("key").agg(F.max(F.struct("here", "label")).alias("x"), F.sum("here").alias("n_all"), F.count("*").alias("labels"))
+    open_ = most_of.where("labels > 1").selectExpr("key", "x.label as main", f"cast(ceil(x.here / {CELL}) as int) as mains", f"cast(ceil((n_all - x.here) / {CELL}) as int) as others")
     rest = named.join(open_, "key")
-    held_by = rest.where(f"w = {WHOLE}").groupBy("doc_id").agg(F.collect_set("key").alias("ks"))
-    rest = tables.cut(rest.join(held_by, "doc_id", "left"))
-    once = f"(a.w < {WHOLE} or array_min(array_intersect(a.ks, b.ks)) = a.key)"  # at the first key that both hold
-    meet = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key and a.doc_id < b.doc_id and a.label <> b.label and {fits} and {once}")).selectExpr(*pick)
+    kind = ["doc_id", "n", "r", "m", "w"]
+    held_by = rest.where(f"w = {WHOLE}").groupBy(*kind).agg(F.collect_set("key").alias("ks"))
+    rest = rest.join(held_by, kind, "left").selectExpr(*kind, "key", "label", "filter(ks, k -> k < key) as before", "others + if(label = main, 0, mains) as cells", "if(label = main, others + pmod(xxhash64(doc_id), mains), pmod(xxhash64(doc_id), others)) as own")
+    cells = tables.cut(rest).selectExpr("*", "explode(sequence(0, cells - 1)) as other").selectExpr("*", "least(own, other) as lo", "greatest(own, other) as hi")
+    once = f"(a.w < {WHOLE} or not arrays_overlap(a.before, b.before))"  # at the first key that both hold
+    cell = "a.key = b.key and a.lo = b.lo and a.hi = b.hi and (a.lo < a.hi or a.doc_id < b.doc_id) and a.label <> b.label"
+    # dealt out here: cells are small, and a join that splits uneven parts on both sides would run the square of the pieces as tasks
+    side = lambda own: cells.where(f"own = {own}").repartition("key", "lo", "hi")
+    meet = side("lo").alias("a").join(side("hi").alias("b"), F.expr(f"{cell} and {fits} and {once}"))
+    meet = meet.selectExpr("least(a.doc_id, b.doc_id) as a", "greatest(a.doc_id, b.doc_id) as b", *pick[2:])
     more = scored(scored(meet).unionByName(small))
     more = tables.cut(more.where(likely).select("a", "b").join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
@@ -228,7 +238,6 @@ def join(docs: DataFrame, size: int = 5, pct: int = 80, links: bool = False, tab
         return out.drop("sig")
 
     # sets that share a larger key meet in blocks of it, at the first key of a kind that both hold; sets that share none are all in small
-    kind = ["doc_id", "n", "r", "m", "w"]
     blocks = many.join(many.groupBy(*kind).agg(F.collect_set("key").alias("ks")), kind).selectExpr("*", f"cast(ceil(df / {BLOCK}) as int) as blocks")
     blocks = blocks.selectExpr("*", "cast(pmod(xxhash64(doc_id), blocks) as int) as own").selectExpr("*", "explode(sequence(0, blocks - 1)) as other")
     blocks = tables.cut(blocks.selectExpr(*kind, "key", "ks", "own", "least(own, other) as lo", "greatest(own, other) as hi"))
